@@ -25,7 +25,7 @@ from .bpe import CACHED_PIECES, text_groups
 from .common import shuffle_partitions, write_table
 
 MAGIC, BLOCK, LEVEL = b"TFBP", 1 << 16, 3
-HEAD = struct.Struct("<4sIB")
+HEAD = "<4sIB"
 
 
 def pack_block(ids: np.ndarray, level: int = LEVEL) -> bytes:
@@ -34,15 +34,15 @@ def pack_block(ids: np.ndarray, level: int = LEVEL) -> bytes:
     planes = int(ids.max(initial=0)).bit_length()
     pack = zstandard.ZstdCompressor(level=level).compress
     frames = [pack(np.packbits((ids >> np.uint32(k) & np.uint32(1)).astype(np.uint8)).tobytes()) for k in range(planes)]
-    return HEAD.pack(MAGIC, len(ids), planes) + struct.pack(f"<{planes}I", *map(len, frames)) + b"".join(frames)
+    return struct.pack(HEAD, MAGIC, len(ids), planes) + struct.pack(f"<{planes}I", *map(len, frames)) + b"".join(frames)
 
 
 def unpack_block(block: bytes) -> np.ndarray:
-    magic, n, planes = HEAD.unpack_from(block)
+    magic, n, planes = struct.unpack_from(HEAD, block)
     if magic != MAGIC:
         raise ValueError("not a block of bit planes")
-    lengths = struct.unpack_from(f"<{planes}I", block, HEAD.size)
-    ids, at, unpack = np.zeros(n, "<u4"), HEAD.size + 4 * planes, zstandard.ZstdDecompressor().decompress
+    lengths = struct.unpack_from(f"<{planes}I", block, struct.calcsize(HEAD))
+    ids, at, unpack = np.zeros(n, "<u4"), struct.calcsize(HEAD) + 4 * planes, zstandard.ZstdDecompressor().decompress
     for k, length in enumerate(lengths):
         plane = unpack(block[at : at + length])
         ids |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n).astype("<u4") << np.uint32(k)

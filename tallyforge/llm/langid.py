@@ -12,7 +12,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from functools import partial
 
 import numpy as np
@@ -127,7 +127,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model: LanguageModel = shared.value
+    model = LanguageModel(*shared.value)
     k = len(model.langs)
     known: dict[str, int] = {}
     table = np.zeros((1024, k + 1))
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     first language in order. With no labelled row to learn from all is ``und``. Repeated rows give repeated rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
     return rows.mapInArrow(partial(_predict, shared=shared), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
@@ -182,7 +182,7 @@ def identify_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def keep_identified(docs: DataFrame, text: str = "text", **names: str) -> DataFrame:
     """The rows of ``docs`` whose text isn't rejected, with all their columns and repeats."""
     model = train(docs, text=text, **names)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bitplane import read_index, write_ids
 from .bpe import bpe_encode
 from .common import table
+from .embed_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .langid import identify_language
 from .line_dedup import line_dedup
@@ -50,7 +51,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pii, op4_line_dedup, op5_mixing, op6_token_planes, op7_bpe, op8_language, op9_exact_dedup)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pii, op4_line_dedup, op5_mixing, op6_token_planes, op7_bpe, op8_language, op9_exact_dedup, op10_embedding_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
@@ -58,6 +63,23 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_embedding_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings
+        ),
+        link AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93
+        ),
+        reach(node, root) AS (
+          SELECT vec_id, vec_id FROM v
+          UNION
+          SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.node WHERE r.root < l.b
+        ),
+        part AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+        SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, p.component_id, v.vec_id = p.component_id AS kept
+        FROM v JOIN part p ON p.node = v.vec_id
+    """,
     "op4_line_dedup": r"""
         WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
         win AS (
