@@ -16,6 +16,7 @@ from .exact_dedup import exact_dedup
 from .langid import identify_language
 from .line_dedup import line_dedup
 from .mixing import mix
+from .ngram_join import ngram_join
 from .pii import find_pii
 from .suffix_dedup import suffix_dedup
 
@@ -26,6 +27,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op3_pii, op4_line_dedup, op5_mixing, op6_token_planes, op7_bpe, op8_language, op9_exact_dedup, op10_embedding_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_pii, op4_line_dedup, op5_mixing, op6_token_planes, op7_bpe, op8_language, op9_exact_dedup, op10_embedding_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
