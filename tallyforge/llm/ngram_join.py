@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -124,25 +124,29 @@ def _large_bucket(rows: pa.Table, last: bool) -> pa.Table:
     return pa.concat_tables([edges, pa.table({"a": pa.array(ids[left[of[at]]], pa.int64()), "b": pa.array([None] * len(at), pa.int64()), "path": pa.array(paths, pa.int64())})])
 
 
+def _bucket(last: bool) -> Callable[[pa.Table], pa.Table]:
+    return lambda rows: _large_bucket(rows, last)
+
+
 EDGES = "a long, b long, path long"
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
+def candidate_edges(sets: DataFrame, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """Star edges (a, b) between sets that may be similar; ``sets`` has rep, sketch and paths."""
     sketches = sets.select("rep", "sketch")
     rows = sets.select("rep", F.explode("paths").alias("path"))
     spark, found, used = sets.sparkSession, [], []
-    for level in range(DEPTH + 1):
+    for level in range(depth + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         here = materialize(rows.join(sizes, "path"), "paths")
         used.append(here)
-        small = here.filter(F.col("n") <= SMALL).join(sketches, "rep").select("path", "rep", "sketch").groupBy("path").applyInArrow(_small_bucket, EDGES)
-        found.append(materialize(small.select("a", "b"), "candidates"))
-        large = here.filter(F.col("n") > SMALL)
+        few = here.filter(F.col("n") <= small).join(sketches, "rep").select("path", "rep", "sketch").groupBy("path").applyInArrow(_small_bucket, EDGES)
+        found.append(materialize(few.select("a", "b"), "candidates"))
+        large = here.filter(F.col("n") > small)
         if large.isEmpty():
             break
-        last = level == DEPTH
-        large = large.withColumn("tiles", F.ceil(F.col("n") / SMALL).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).join(sketches, "rep")
+        last = level == depth
+        large = large.withColumn("tiles", F.ceil(F.col("n") / small).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).join(sketches, "rep")
         every = F.sequence(F.lit(0), F.col("tiles") - 1)
         if last:
             # what still shares all these picks is compared tile by tile, each against all of the bucket
@@ -154,11 +158,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
             members = large.withColumn("side", F.lit(0))
         columns = ["path", "tile", "side", "rep", "sketch"]
         both = members.select(*columns, F.lit(False).alias("pivot")).unionByName(pivots.select(*columns, F.lit(True).alias("pivot")))
-
-        def bucket(table: pa.Table, last: bool = last) -> pa.Table:
-            return _large_bucket(table, last)
-
-        out = materialize(both.groupBy("path", "tile", "side").applyInArrow(bucket, EDGES), "candidates")
+        out = materialize(both.groupBy("path", "tile", "side").applyInArrow(_bucket(last), EDGES), "candidates")
         used.append(out)
         found.append(out.filter("path is null").select("a", "b"))
         rows = out.filter("path is not null").select(F.col("a").alias("rep"), "path")
@@ -216,14 +216,14 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
             yield pa.record_batch({"rep": reps[some], "links": links[some], "root": local_roots(i, j, reps)[some]})
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """doc_id, n_links, class_id, kept for each row of ``docs``.
 
     Documents link when the Jaccard similarity of their shingle sets is at least ``similarity``; n_links counts other
     documents linked directly, equal ones included, and class_id is the smallest doc_id that links reach. Words are
     runs of bytes other than ASCII white space, with A to Z as a to z; a text of one to four words has a single shingle.
     Texts without a word (null, empty) and rows without a doc_id link with nothing. Repeated rows count as further
-    documents. kept marks the document that stands for its class. An empty table gives no rows.
+    documents. ``small`` and ``tile`` bound what one task compares at once. kept marks the document that stands for its class. An empty table gives no rows.
     """
     key = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
@@ -231,9 +231,9 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     sketched = materialize(rows.mapInArrow(run, "doc_id long, key binary, set_key binary, size long, sketch binary, paths array<long>"), "sketches")
     usable = sketched.filter("doc_id is not null and size > 0")
     sets = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("key").alias("key"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "sets")
-    groups = connected_components(candidate_edges(sets)).withColumnsRenamed({"node": "rep", "component": "group"})
+    groups = connected_components(candidate_edges(sets, small)).withColumnsRenamed({"node": "rep", "component": "group"})
     groups = materialize(groups, "groups")
-    tiles = groups.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = groups.groupBy("group").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     chosen = sets.select("rep", "n", "key").join(groups, "rep").join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int"))
     texts = rows.select("key", "text").join(chosen.select("key", "group", "tile", "rep", "n"), "key").dropDuplicates(["key"])
     dealt = texts.select("group", "tile", "rep", "n", "text").repartition("group", "tile").sortWithinPartitions("group", "tile", "rep")
