@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHED_PIECES, text_groups
+from .bpe import CACHED_PIECES, splitter, text_groups
 from .common import shuffle_partitions, write_table
 
 MAGIC, BLOCK, LEVEL = b"TFBP", 1 << 16, 3
@@ -59,15 +59,15 @@ class Encoder:
         with open(tokenizer_path, encoding="utf-8") as f:
             self.tokenizer = Tokenizer.from_str(f.read())
         self.tokenizer.encode_special_tokens = True
-        self.split, self.known = regex.compile(pattern), {}
+        self.split, self.known = splitter(pattern), {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.split.findall(t) for t in texts]
+        pieces = self.split(texts)
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
-        new = list(set().union(*pieces) - self.known.keys())
+        new = [p for p in set().union(*pieces) if p not in self.known]
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+            self.known[piece] = array("I", found.ids).tobytes()
         return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
 
 

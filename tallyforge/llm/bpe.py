@@ -1,31 +1,61 @@
 """Byte-level BPE by recursive DuckDB queries, one small database for each task.
 
 A text is split by a pattern into pieces. The pieces that a task hasn't met before become token-position rows,
-which a recursive query joins with the merge table: in each round every unfinished piece contracts its
-minimum-rank pair, leftmost first, until no pair can merge. (All places of that one pair contract in the same round
-where they don't overlap; a pair that a merge makes never ranks lower, so the result is that of one merge at a
-time.) Decoding joins ids with the vocabulary and concatenates in order of position.
+which a query joins with the merge table, and a recursion contracts the leftmost minimum-rank pair of every
+unfinished piece in each round, until no pair can merge. Long pieces would need too many rounds: there all places
+of the minimum-rank pair contract in the same round where they don't overlap (a pair that a merge makes never ranks
+lower, so the result is the same). Decoding joins ids with the vocabulary and concatenates in order of position.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import split_texts
+
 #: Pieces that a task remembers before it starts afresh; characters of text that it splits at a time.
 CACHED_PIECES = 200_000
 GROUP_CHARS = 1_000_000
 MEMORY = "400MB"
 
+#: Pieces of more bytes are long.
+LONG = 96
+
 ENCODE = """
+WITH RECURSIVE first AS (
+  SELECT s.piece, s.pos, s.tok, coalesce(m.rank, 2147483647) AS rank
+  FROM (SELECT *, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS next_tok FROM start) s
+  LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next_tok
+), step(piece, toks, ranks, low) AS (
+  -- ranks[i] is the rank of the pair that begins at i, so the last one never merges
+  SELECT piece, list(tok ORDER BY pos), list(rank ORDER BY pos), min(rank) FROM first GROUP BY piece
+  UNION ALL
+  SELECT piece, toks, ranks, list_min(ranks) FROM (
+    SELECT p.piece,
+           toks[:nth - 1] || [m.merged] || toks[nth + 2:] AS toks,
+           CASE WHEN nth > 1 THEN ranks[:nth - 2] || [coalesce(l.rank, 2147483647)] ELSE [] END
+             || [coalesce(r.rank, 2147483647)] || ranks[nth + 2:] AS ranks
+    FROM (SELECT *, list_position(ranks, low) AS nth FROM step WHERE low < 2147483647) p
+    JOIN merges m ON m.a = p.toks[nth] AND m.b = p.toks[nth + 1]
+    LEFT JOIN merges l ON l.a = p.toks[nth - 1] AND l.b = m.merged
+    LEFT JOIN merges r ON r.a = m.merged AND r.b = p.toks[nth + 2]
+  )
+)
+SELECT piece, toks FROM step WHERE low = 2147483647
+"""
+
+ENCODE_LONG = """
 WITH RECURSIVE step(piece, pos, tok, live) AS (
   SELECT piece, pos, tok, true FROM start
   UNION ALL
@@ -69,7 +99,7 @@ class DuckBpe:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges: dict[str, list[int]] = {"a": [], "b": [], "rank": [], "merged": []}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -86,20 +116,33 @@ class DuckBpe:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
+    @staticmethod
+    def _positions(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Number and position of each row, for sequences of these sizes one after another."""
+        number = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        starts = np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0, np.int64)
+        return number, (np.arange(len(number)) - np.repeat(starts, sizes)).astype(np.int32)
+
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece; pieces are not empty."""
-        rows = [(i, j, self.byte_ids[b]) for i, p in enumerate(pieces) for j, b in enumerate(p)]
-        piece, pos, tok = zip(*rows, strict=True) if rows else ((), (), ())
-        self._load("start", pa.table({"piece": pa.array(piece, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())}))
-        found = dict(self.db.execute(ENCODE).fetchall())
-        return [found[i] for i in range(len(pieces))]
+        found: list[list[int]] = [[]] * len(pieces)
+        for query, some in ((ENCODE, [i for i, p in enumerate(pieces) if len(p) <= LONG]), (ENCODE_LONG, [i for i, p in enumerate(pieces) if len(p) > LONG])):
+            if some:
+                number, pos = self._positions([len(pieces[i]) for i in some])
+                tok = self.byte_ids[np.frombuffer(b"".join([pieces[i] for i in some]), np.uint8)]
+                self._load("start", pa.table({"piece": number, "pos": pos, "tok": tok}))
+                got = self.db.sql(query).to_arrow_table()
+                for i, ids in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+                    found[some[i]] = ids
+        return found
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """Bytes of each sequence of ids."""
-        rows = [(i, j, t) for i, s in enumerate(sequences) for j, t in enumerate(s)]
-        seq, pos, ids = zip(*rows, strict=True) if rows else ((), (), ())
-        self._load("ids", pa.table({"seq": pa.array(seq, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())}))
-        found = dict(self.db.execute(DECODE).fetchall())
+        number, pos = self._positions([len(s) for s in sequences])
+        ids = np.fromiter((t for s in sequences for t in s), np.int32, len(number))
+        self._load("ids", pa.table({"seq": number, "pos": pos, "id": ids}))
+        got = self.db.sql(DECODE).to_arrow_table()
+        found = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
         return [bytes.fromhex(found.get(i, "")) for i in range(len(sequences))]
 
 
@@ -124,6 +167,14 @@ class PieceTable:
             self.ids[p], self.n[p], self.decoded[p] = " ".join(map(str, tokens)), len(tokens), raw
 
 
+def splitter(pattern: str) -> Callable[[list[str]], list[list[str]]]:
+    """A function from texts to their pieces; the public pattern has a quicker equal."""
+    if pattern == PATTERN:
+        return split_texts
+    find = regex.compile(pattern).findall
+    return lambda texts: [find(t) for t in texts]
+
+
 def text_groups(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[list[str]]:
     """Consecutive texts (null as empty) in groups of about ``most`` characters, at least one text each."""
     group, size = [], 0
@@ -138,11 +189,11 @@ def text_groups(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[list[str]
 
 
 def _rows(batches: Iterator[pa.RecordBatch], ranks, pattern: str, full: bool) -> Iterator[pa.RecordBatch]:
-    split, known = regex.compile(pattern), PieceTable(ranks.value)
+    split, known = splitter(pattern), PieceTable(ranks.value)
     for batch in batches:
         counts, ids, shas, back = [], [], [], []
         for group in text_groups(batch.column(1)):
-            split_group = [split.findall(text) for text in group]
+            split_group = split(group)
             known.learn(set().union(*split_group))
             for pieces in split_group:
                 joined = " ".join(map(known.ids.__getitem__, pieces))

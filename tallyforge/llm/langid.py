@@ -132,7 +132,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     known: dict[str, int] = {}
     table = np.zeros((1024, k + 1))
 
-    def learn(words: set[str]) -> None:
+    def learn(words: list[str]) -> None:
         nonlocal table
         for word in words:
             b = subwords(word)
@@ -148,8 +148,9 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             words = WORD.findall((text.as_py() or "").lower())
             if len(known) > CACHED_WORDS:
                 known.clear()
-            learn(set(words) - known.keys())
-            if not k or not words or not any(c.isalpha() for w in set(words) for c in w):
+            distinct = set(words)
+            learn([w for w in distinct if w not in known])
+            if not k or not any(c.isalpha() for w in distinct for c in w):
                 langs.append("und")
                 scores.append(0.0)
                 rejected.append(True)
