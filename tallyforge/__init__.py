@@ -1,8 +1 @@
 """Analytics over longitudinal entity data, written as DataFrame to DataFrame functions on Spark."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# tasks get this package's functions by value, so executors need not have the package on their path
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
