@@ -1,19 +1,18 @@
 """Language ID: averaged hashed subword embeddings under a linear softmax, with calibrated rejection.
 
-A word's subwords are itself and its character 2- to 4-grams with word marks, hashed into a fixed number of
-buckets. A text is the mean embedding of all its subwords. The model is trained by stochastic gradient descent in
+A word is a run of letters, in lower case; its subwords are itself and its character 2- to 4-grams with word marks,
+hashed into a fixed number of buckets by array operations over many texts at once. A text is the mean embedding of all
+its subwords. The model is trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows; a temperature and a rejection threshold are fitted on a part
 of the sample that training doesn't see.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +20,73 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
-BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 16, 6, 2.0
+BITS, DIM, EPOCHS, RATE = 15, 16, 6, 2.0
+BUCKETS = 1 << BITS
 #: Bound on the labelled rows that training takes of each language (in expectation; rows are chosen by a hash of doc_id).
 SAMPLE_PER_LANG = 600
-#: Words that a task remembers before it starts afresh.
-CACHED_WORDS = 200_000
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of a word; of a very long word each n-gram still counts."""
-    marked = f"<{word}>"
-    grams = [marked] + [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+#: Characters that are hashed at a time.
+GROUP_CHARS = 250_000
+
+
+@cache
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def _groups(texts: Iterator[str]) -> Iterator[list[tuple[int, str]]]:
+    """(number, part) of texts in groups of bounded size; long texts are cut at spaces, or anywhere if there are none."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while True:
+            end = len(text)
+            if end - at > GROUP_CHARS:
+                end = text.rfind(" ", at + 1, at + GROUP_CHARS)
+                end = at + GROUP_CHARS if end < 0 else end
+            group.append((i, text[at:end].lower()))
+            size += end - at
+            if size >= GROUP_CHARS:
+                yield group
+                group, size = [], 0
+            at = end
+            if at >= len(text):
+                break
+    if group:
+        yield group
+
+
+def subwords(parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(part, bucket) of each subword of lower-case texts; once for each kind of subword, parts ascending."""
+    points = np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le"), "<u4")
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    is_letter = letters()[points]
+    first = is_letter & ~np.concatenate([[False], is_letter[:-1]])
+    at = np.flatnonzero(is_letter)
+    word = np.cumsum(first)[at] - 1
+    if not len(at):
+        return
+    sizes = np.bincount(word) + 2
+    starts = np.cumsum(sizes) - sizes
+    # each word as its letters between two marks
+    marked = np.zeros(int(sizes.sum()), np.uint32)
+    marked[np.arange(len(at)) + 2 * word + 1] = points[at]
+    marked[starts], marked[starts + sizes - 1] = ord("<"), ord(">")
+    part = np.repeat(np.searchsorted(ends, np.flatnonzero(first), "right"), sizes)
+    room = np.repeat(starts + sizes, sizes) - np.arange(len(marked))
+
+    def bucket(h: np.ndarray) -> np.ndarray:
+        h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+        return ((h ^ h >> np.uint32(12)) * np.uint32(0x297A2D39) >> np.uint32(32 - BITS)).astype(np.int64)
+
+    h = marked.copy()
+    for n in (2, 3, 4):
+        h = h[:-1] * np.uint32(0x01000193) ^ marked[n - 1 :]
+        fits = room[: len(h)] >= n
+        yield part[: len(h)][fits], bucket(h[fits] + np.uint32(n))
+    powers = np.cumprod(np.concatenate([[1], np.full(int(sizes.max()) - 1, 0x01000193)]).astype(np.uint32), dtype=np.uint32)
+    whole = np.add.reduceat(marked * powers[np.arange(len(marked)) - np.repeat(starts, sizes)], starts, dtype=np.uint32)
+    yield part[starts], bucket(whole + np.uint32(1))
 
 
 @dataclass(frozen=True)
@@ -56,16 +109,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"doc_id": [], "lang": [], "bucket": [], "weight": []}
         for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts: Counter[int] = Counter()
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                for b in subwords(word):
-                    counts[b] += n
-            if counts:
-                total = sum(counts.values())
+            counts = np.zeros(BUCKETS, np.int64)
+            for group in _groups(iter([text])):
+                for _, bucket in subwords([p for _, p in group]):
+                    counts += np.bincount(bucket, minlength=BUCKETS)
+            some = np.flatnonzero(counts)
+            if len(some):
                 out["doc_id"].append(doc_id)
                 out["lang"].append(lang)
-                out["bucket"].append(list(counts))
-                out["weight"].append([v / total for v in counts.values()])
+                out["bucket"].append(some.astype(np.int32))
+                out["weight"].append((counts[some] / counts.sum()).astype(np.float32))
         yield pa.record_batch({"doc_id": pa.array(out["doc_id"], pa.int64()), "lang": pa.array(out["lang"], pa.string()), "bucket": pa.array(out["bucket"], pa.list_(pa.int32())), "weight": pa.array(out["weight"], pa.list_(pa.float32()))})
 
 
@@ -129,38 +182,24 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = LanguageModel(*shared.value)
     k = len(model.langs)
-    known: dict[str, int] = {}
-    table = np.zeros((1024, k + 1))
-
-    def learn(words: list[str]) -> None:
-        nonlocal table
-        for word in words:
-            b = subwords(word)
-            at = known[word] = len(known)
-            if at >= len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
-            table[at, :k] = model.logits[b].sum(axis=0)
-            table[at, k] = len(b)
-
     for batch in batches:
-        langs, scores, rejected = [], [], []
-        for text in batch.column(1):
-            words = WORD.findall((text.as_py() or "").lower())
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            distinct = set(words)
-            learn([w for w in distinct if w not in known])
-            if not k or not any(c.isalpha() for w in distinct for c in w):
-                langs.append("und")
-                scores.append(0.0)
-                rejected.append(True)
-                continue
-            sums = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-            p = softmax((sums[:k] / sums[k] + model.bias) / model.temperature)
-            langs.append(model.langs[int(p.argmax())])
-            scores.append(float(p.max()))
-            rejected.append(bool(p.max() < model.threshold))
-        yield pa.record_batch([*batch.columns[:1], *batch.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*(n for n in batch.schema.names if n != "text"), "lang_pred", "score", "rejected"])
+        n = batch.num_rows
+        sums, counts = np.zeros((n, k)), np.zeros(n)
+        for group in _groups(x.as_py() or "" for x in batch.column(1)):
+            rows = np.array([i for i, _ in group])
+            for part, bucket in subwords([p for _, p in group]):
+                np.add.at(counts, rows, np.bincount(part, minlength=len(rows)))
+                for j in range(k):
+                    np.add.at(sums[:, j], rows, np.bincount(part, weights=model.logits[bucket, j], minlength=len(rows)))
+        if k:
+            p = softmax((sums / np.maximum(counts, 1)[:, None] + model.bias) / model.temperature)
+            best, score = p.argmax(axis=1), p.max(axis=1)
+        else:
+            best, score = np.zeros(n, int), np.zeros(n)
+        known = (counts > 0) & (k > 0)
+        langs = [model.langs[b] if ok else "und" for b, ok in zip(best, known, strict=True)]
+        added = [pa.array(langs, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(~known | (score < model.threshold))]
+        yield pa.record_batch([*batch.columns[:1], *batch.columns[2:], *added], names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "rejected"])
 
 
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
