@@ -1,0 +1,69 @@
+"""From raw documents to token ids: five stages, each over all that the one before it kept.
+
+Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame. All but the last return the columns of
+documents; ``run`` writes each result as Parquet in the shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm.bpe import bpe_encode
+from tallyforge.llm.common import materialize, table
+from tallyforge.llm.langid import keep_identified
+from tallyforge.llm.line_dedup import line_dedup
+from tallyforge.llm.mixing import mixed_rows
+from tallyforge.llm.ngram_join import ngram_join
+from tallyforge.session import ship
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those that the model rejects go."""
+    ship(spark)
+    return keep_identified(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later occurrences of repeated three-line windows; n_chars follows the text.
+
+    A document that loses all its lines stays, with an empty text.
+    """
+    ship(spark)
+    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the smallest doc_id.
+
+    Rows that share a doc_id are kept or dropped together.
+    """
+    ship(spark)
+    dropped = ngram_join(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix of sources takes, each as often as it takes them."""
+    ship(spark)
+    return mixed_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each row, with its decoded bytes' digest."""
+    ship(spark)
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
+
+#: Similarity by sampling, the seeded choice of documents and BPE merges have no SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
