@@ -1,0 +1,308 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from tallyforge.llm.bitplane import crc32_joined, pack_block, read_index, read_segments, unpack_block, write_ids
+from tallyforge.llm.bpe import DuckBpe, bpe_decode, bpe_encode, read_ranks
+from tallyforge.llm.components import connected_components
+from tallyforge.llm.embed_dedup import near_vectors
+from tallyforge.llm.exact_dedup import chunk_ends, exact_dedup
+from tallyforge.llm.langid import identify_language, keep_identified
+from tallyforge.llm.line_dedup import line_dedup
+from tallyforge.llm.mixing import mix, mixed_rows, route, source_targets
+from tallyforge.llm.ngram_join import ngram_join, runs_needed
+from tallyforge.llm.pieces import split_texts
+from tallyforge.llm.pii import find_pii, redact
+from tallyforge.llm.suffix_dedup import COVER, V, suffix_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, hash long"
+
+
+def words(rng: random.Random, n: int, size: int = 400) -> str:
+    return " ".join(f"w{rng.randrange(size)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(4)
+    base, passage = words(rng, 80), words(rng, 60)
+    near = base.split()
+    near[40] = "changed"
+    texts = [None, "", "a", "four words are here", base, base, " ".join(near), passage + " " + words(rng, 50), words(rng, 40) + "\n" + passage, "x" * 3000, "né " * 200 + "日本", "1 " * 400]
+    texts += ["one line here\ntwo line here\nthree line here\nfour line here\nfive", "zero\none line here\ntwo line here\nthree line here\nother\n\n\n\n\n"]
+    texts += [words(rng, 30) for _ in range(12)] + [words(rng, 9000, 5000)]
+    out = [(i, t, ["en", "de", None][i % 3], [None, "b", "a", "b"][i % 4], None if t is None else len(t), "clash", 7) for i, t in enumerate(texts)]
+    return [*out, out[4], (None, base, None, None, 1, None, None), (None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_suffix_dedup(docs, rows):
+    assert {(a - b) % V for a in COVER for b in COVER} == set(range(V))
+    raw = [(r[0], (r[1] or "").encode()) for r in rows]
+    seen = Counter(t[i : i + 200] for _, t in raw for i in range(len(t) - 199))
+    want = Counter()
+    for doc_id, t in raw:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        want[doc_id, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()] += 1
+    assert Counter(map(tuple, suffix_dedup(docs).collect())) == want
+    assert sum(k[2] for k in want) > 3000
+
+
+def shingles(text):
+    found = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+@pytest.mark.parametrize("small", [256, 3])
+def test_ngram_join(docs, rows, small):
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    near = lambda a, b: a and b and len(a & b) >= 0.8 * len(a | b)
+    want, root = Counter(), {r[0]: r[0] for r in rows if r[0] is not None}
+    linked = [[j for j, (y, b) in enumerate(sets) if i != j and x is not None and y is not None and near(a, b)] for i, (x, a) in enumerate(sets)]
+    for _ in rows:
+        for i, others in enumerate(linked):
+            for j in others:
+                root[sets[i][0]] = root[sets[j][0]] = min(root[sets[i][0]], root[sets[j][0]])
+    for (doc_id, _), others in zip(sets, linked, strict=True):
+        of = root.get(doc_id)
+        want[doc_id, len(others), of, of == doc_id] += 1
+    assert Counter(map(tuple, ngram_join(docs, small=small, tile=small).collect())) == want
+    assert root[6] == 4
+
+
+def test_runs_needed():
+    assert runs_needed(0.8, 0.999) == 5
+    assert runs_needed(0.9, 0.99) <= runs_needed(0.8, 0.999)
+
+
+def luhn(s):
+    return sum(d - 9 * (d > 9) for d in (int(c) * (1 + k % 2) for k, c in enumerate(reversed(s)))) % 10 == 0
+
+
+def base_pii(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_pii(spark, empty):
+    rng = random.Random(2)
+    bits = ["@", "a", "b.c", ".", "1", "22", "255", "256", "4111 1111 1111 1111", "4111111111111111", "+", "+1 (555) 123-4567", "-", " ", "x@y.z", "é", "1.2.3.4", "%"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(400)] + [None, "", "9" * 50_000, "a" * 50_000 + "@", "1.2.3.4." * 500]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = base_pii(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest(), t
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(w[0] == k for w in want) for k in ("email", "ip", "card", "phone")]
+    more = ["IBAN DE89370400440532013000 please", "DE89370400440532013001", "my ssn is 123-45-6789", "123-45-6789", "call 555-123-4567 now"]
+    spans = [r.spans for r in find_pii(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert spans == ["iban:5:27", "", "ssn:10:21", "", "tel:5:17"]
+    assert redact(more[0], spans[0]) == "IBAN <iban> please"
+    assert find_pii(empty).count() == 0
+
+
+def test_line_dedup(docs, rows, empty):
+    seen, want = set(), Counter()
+    texts = {}
+    for doc_id, text in sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = (text or "").split("\n")
+        gone = set()
+        for i in range(len(lines) - 2):
+            window = tuple(lines[i : i + 3])
+            gone |= {i, i + 1, i + 2} if window in seen else set()
+            seen.add(window)
+        texts[doc_id, text] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
+    for r in rows:
+        want[r[0], texts[r[0], r[1]][0], texts[r[0], r[1]][1], r[5]] += 1
+    got = line_dedup(docs)
+    assert Counter(map(tuple, got.select("doc_id", "text", "n_removed", "kept").collect())) == want
+    assert sum(k[2] for k in want) >= 5
+    assert line_dedup(empty).count() == 0
+
+
+def test_targets_and_flow():
+    target = source_targets({"a": 10, "b": 100, None: 50})
+    assert target["a"] == 20 and abs(sum(target.values()) - 240) < 1e-9
+    assert target["b"] / target[None] == pytest.approx(2)
+    flow = route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 18, "b": 12})
+    assert sum(flow.values()) == pytest.approx(30) and all(x <= 20 for x in flow.values())
+    # a word is used again only where the first uses are spent
+    assert flow == pytest.approx({("a",): 10, ("a", "b"): 10, ("b",): 10})
+
+
+def test_mix(spark, docs, rows, empty):
+    plan = mix(docs).collect()
+    assert len(plan) == len(rows)
+    sizes = Counter(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows)
+    assert Counter(r["size"] for r in plan) == sizes
+    assert all(r.taken <= 2 * r["size"] for r in plan)
+    rng = random.Random(8)
+    many = [(i, words(rng, rng.randrange(1, 40)), rng.choice(["x", "y", "y", "y", "z", None])) for i in range(3000)]
+    df = spark.createDataFrame(many, "doc_id long, text string, source string")
+    plan = mix(df).collect()
+    assert sorted(map(tuple, plan)) == sorted(map(tuple, mix(df.repartition(5)).collect()))
+    taken, target = defaultdict(int), {}
+    name = {i: s for i, _, s in many}
+    for r in plan:
+        taken[name[r.doc_id]] += r.taken
+        target[name[r.doc_id]] = r.target
+    assert all(abs(taken[s] - target[s]) <= 40 for s in target)
+    assert sum(r.copies for r in plan) == mixed_rows(df).count()
+    overlap = spark.createDataFrame([(i, "a b c", ["p", "q"] if i % 3 else ["p"]) for i in range(90)], "doc_id long, text string, source array<string>")
+    assert sum(r.taken for r in mix(overlap, weights=(1.0,)).collect()) <= 2 * 270
+    assert mix(empty).count() == 0
+
+
+def test_blocks():
+    rng = np.random.default_rng(1)
+    for ids in (np.zeros(0, np.uint32), np.zeros(5, np.uint32), rng.integers(0, 50257, 1000), rng.integers(0, 2**32, 77, dtype=np.uint64).astype(np.uint32)):
+        assert (unpack_block(pack_block(ids.astype(np.uint32))) == ids).all()
+    parts = [b"", b"abc", b"x" * 999, b"12"]
+    assert crc32_joined([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
+def test_token_files(spark, docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want, start = Counter(), 0
+    ids = [np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4") for r in order]
+    files = write_ids(docs, path, public_tokenizers.PATTERN, 2, block=64)
+    got = sorted(read_index(spark, files, 64).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [r[0] for r in order]
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    want = Counter((r[0], len(i), zlib.crc32(i.tobytes())) for r, i in zip(order, ids, strict=True))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    parts = sorted(read_segments(spark, files, 64, with_ids=True).collect(), key=lambda r: (r.shard, r.local, r.number))
+    back = defaultdict(list)
+    for r in parts:
+        back[r.doc_id] += r.ids
+    assert back[26] == next(i.tolist() for r, i in zip(order, ids, strict=True) if r[0] == 26)
+    assert read_index(spark, write_ids(empty, path, public_tokenizers.PATTERN, 2)).count() == 0
+
+
+def test_pieces():
+    import regex
+
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    rng = random.Random(3)
+    some = ["'", "s", "t", "r", "e", "v", "l", "m", "d", " ", "  ", "\n", "\t", " ", "1", "é", "!", "日", "٣", "\x1c", "S"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    assert split_texts(texts) == [find(t) for t in texts]
+
+
+def test_bpe(spark, docs, rows):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for r in rows:
+        ids = library.encode_ordinary(r[1] or "")
+        want[r[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] += 1
+    got = bpe_encode(docs, path, public_tokenizers.PATTERN, with_ids=True)
+    assert Counter(map(tuple, got.drop("ids").collect())) == want
+    back = {r.doc_id: bytes(r.decoded) for r in bpe_decode(got.filter("doc_id is not null"), path).collect()}
+    assert back == {r[0]: (r[1] or "").encode() for r in rows if r[0] is not None}
+    rng = random.Random(1)
+    pieces = list({"".join(rng.choice("abcdeé日0123 $") for _ in range(rng.randint(1, 130))) for _ in range(500)} | {"a" * 3000, " " * 333, "\n" * 99})
+    assert DuckBpe(ranks).encode([p.encode() for p in pieces]) == [library._core_bpe.encode_single_piece(p.encode()) for p in pieces]
+    assert base64.b64decode("YQ==") in ranks
+
+
+def test_language(spark, docs, empty, rows):
+    rng = random.Random(6)
+    vocab = {"aa": ["the", "and", "house", "water"], "bb": ["der", "und", "haus", "wasser"], "cc": ["le", "et", "maison", "eau"]}
+    many = [(i, " ".join(rng.choice(vocab[k]) for _ in range(20)), k) for i in range(300) for k in [rng.choice(list(vocab))]]
+    many += [(1000, None, "aa"), (1001, "12 34 !!", "bb"), (1002, "und wasser", None)]
+    got = {r.doc_id: r for r in identify_language(spark.createDataFrame(many, "doc_id long, text string, lang string")).collect()}
+    assert got[1000].lang_pred == got[1001].lang_pred == "und" and got[1000].rejected
+    assert got[1002].lang_pred == "bb"
+    held = [(i, k) for i, _, k in many[:300] if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert held and all(got[i].held_out and got[i].lang_pred == k for i, k in held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert {r.lang_pred for r in identify_language(spark.createDataFrame(many, "doc_id long, text string, lang string").withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))).collect()} == {"und"}
+    assert identify_language(empty).count() == 0
+    kept = keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} >= {r[0] for r in rows if r[1] and r[0] == 4}
+    assert all(any(c.isalpha() for c in r.text) for r in kept.collect())
+
+
+def test_exact_dedup(docs, rows, empty):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r[0])
+    last = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = Counter((r[0], last[t], len(groups[t]), r[0] == last[t], hashlib.sha256(t.encode()).hexdigest()) for r in rows for t in [r[1] or ""])
+    for size in (16, 1):  # identifiers of one byte stand for many contents, which then count in full
+        assert Counter(map(tuple, exact_dedup(docs, digest_bytes=size).collect())) == want
+    assert exact_dedup(empty).count() == 0
+    data = np.frombuffer(random.Random(1).randbytes(200_000), np.uint8)
+    ends = chunk_ends(data)
+    assert ends[-1] == len(data) and len(ends) > 10
+    assert {e + 7 for e in chunk_ends(data)} & set(chunk_ends(np.concatenate([data[:7], data])))
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, (base[i % 30] + rng.normal(0, 0.12, 8)).tolist(), i % 2) for i in range(120)]
+    rows += [(200, [0.0] * 8, 0), (201, None, 0), (202, [1.0] * 7 + [None], 0), (203, [float("nan")] * 8, 0), (204, [float("inf")] * 8, 1), (205, base[0].tolist(), None), (None, base[0].tolist(), 0), (206, [], 0)]
+    rows += [rows[4], (207, rows[4][1], 0), (208, [2 * x for x in rows[5][1]], 1), (209, [1.0, 2.0], 0), (210, [1.0, 2.1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    ok = lambda v: bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    links, root = [0] * len(rows), {r[0]: r[0] for r in rows}
+    pairs = []
+    for i, (a, x, k) in enumerate(rows):
+        for j, (b, y, m) in enumerate(rows):
+            if i < j and k is not None and k == m and a is not None and b is not None and ok(x) and ok(y) and len(x) == len(y):
+                x_, y_ = np.array(x), np.array(y)
+                if x_ @ y_ / (np.linalg.norm(x_) * np.linalg.norm(y_)) >= 0.93:
+                    pairs.append((a, b))
+                    links[i] += 1
+                    links[j] += 1
+    for _ in rows:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = Counter((r[0], n, root[r[0]], r[0] == root[r[0]]) for r, n in zip(rows, links, strict=True))
+    for tile in (1024, 7):
+        assert Counter(map(tuple, near_vectors(df, tile=tile).collect())) == want
+    assert sum(links) > 40
+    assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3), (200, 201), (201, 200)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
