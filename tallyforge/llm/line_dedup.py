@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
 WINDOW = 3
 
 
-def _windows(lines: Column, window: int) -> Column:
-    """128-bit hashes of all runs of ``window`` consecutive lines, as an array in order."""
-    n = F.greatest(F.size(lines) - window + 1, F.lit(0))
-    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("a"), F.xxhash64(F.lit(11), x).alias("b")))
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(hashes, i, window))
-    packed = F.transform(runs, lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(7), w).alias("b")))
-    return F.when(n > 0, packed).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """A row for each run of ``window`` consecutive lines, with a 128-bit hash of it."""
+    for batch in batches:
+        hashes, sizes = [], []
+        for text in batch.column(2):
+            lines = [hashlib.blake2b(x, digest_size=16).digest() for x in (text.as_py() or "").encode().split(b"\n")]
+            n = max(0, len(lines) - window + 1)
+            hashes += [hashlib.blake2b(b"".join(lines[i : i + window]), digest_size=16).digest() for i in range(n)]
+            sizes.append(n)
+        rows = np.repeat(np.arange(batch.num_rows), sizes)
+        pos = np.arange(len(rows)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes) if sizes else rows
+        words = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+        yield pa.record_batch({"doc_id": batch.column(0).take(pa.array(rows)), "text_key": batch.column(1).take(pa.array(rows)), "pos": pa.array(pos, pa.int32()), "a": pa.array(words[:, 0].copy()), "b": pa.array(words[:, 1].copy())})
 
 
 def repeated_positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -24,14 +38,29 @@ def repeated_positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Occurrences are ordered by doc_id, then text_key (a hash of the text), then place; the first one is left out.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(_windows(F.split("text", "\\n"), window)).alias("pos", "w"))
-    rows = materialize(rows.select("doc_id", "text_key", "pos", "w.a", "w.b"), "windows")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), F.col(text).alias("text"))
+    rows = materialize(rows.mapInArrow(partial(_windows, window=window), "doc_id long, text_key long, pos int, a long, b long"), "windows")
     first = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = rows.join(first, ["a", "b"])
     return again.filter(~F.struct("doc_id", "text_key", "pos").eqNullSafe(F.col("first"))).select("doc_id", "text_key", "pos")
 
 
+def _cut(batches: Iterator[pa.RecordBatch], text: str, window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Texts without their covered lines; the last column has the places of later windows, or null."""
+    for batch in batches:
+        texts, places = batch.column(batch.schema.get_field_index(text)), batch.column(batch.num_columns - 1)
+        n_lines = pc.if_else(pc.is_valid(texts), pc.add(pc.count_substring(texts.fill_null(""), "\n"), 1), 0)
+        hit = pc.is_valid(places)
+        removed, changed = np.zeros(batch.num_rows, np.int64), []
+        for i in np.flatnonzero(hit.to_numpy(zero_copy_only=False)):
+            covered = {p + k for p in places[i].as_py() for k in range(window)}
+            lines = texts[i].as_py().split("\n")
+            removed[i] = len(covered)
+            changed.append("\n".join([x for k, x in enumerate(lines) if k not in covered]))
+        new = {text: pc.replace_with_mask(texts, hit, pa.array(changed, texts.type)), "n_lines": n_lines.cast(pa.int64()), "n_removed": pa.array(removed)}
+        yield pa.record_batch([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
+
+
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the lines of later occurrences of repeated windows taken out of ``text``.
 
@@ -43,13 +72,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     gone = repeated_positions(docs, doc_id, text, window).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "__gone")
     keys = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__of": F.xxhash64(F.coalesce(text, F.lit("")))})
-    both = keys.join(gone, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__key")), "left")
-    lines = F.split(F.col(text), "\\n")
-    covered = F.array_distinct(F.flatten(F.transform("__gone", lambda p: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: p + k))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    out = both.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.coalesce(F.size(covered), F.lit(0)).cast("long"),
-        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")),
-    })
-    return out.select(*dict.fromkeys([*docs.columns, "n_lines", "n_removed"]))
+    both = keys.join(gone, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__key")), "left").select(*docs.columns, "__gone")
+    counts = ["n_lines", "n_removed"]
+    schema = T.StructType([f for f in docs.schema if f.name not in counts] + [T.StructField(c, T.LongType()) for c in counts])
+    return both.mapInArrow(partial(_cut, text=text, window=window, names=schema.names), schema)
