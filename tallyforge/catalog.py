@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import relational
+from .plans import analytic, relational
 from .plans.base import Query
 
-MODULES = [relational]
+MODULES = [relational, analytic]
 
 
 def queries() -> dict[str, Query]:
