@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import analytic, relational
+from .plans import analytic, relational, scoring, texts
 from .plans.base import Query
 
-MODULES = [relational, analytic]
+MODULES = [relational, analytic, scoring, texts]
 
 
 def queries() -> dict[str, Query]:

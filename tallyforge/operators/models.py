@@ -1,0 +1,98 @@
+"""Statistical models as column expressions and MLlib fits."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def poisson(k: Column, rate: Column) -> Column:
+    return F.exp(-rate) * F.pow(rate, k) / F.factorial(k.cast("int"))
+
+
+def score_matrix(pairs: DataFrame, home_rate: str, away_rate: str, rho: Column, goals: int = 9) -> DataFrame:
+    """Each pair of rates as (h, a, p) rows: Poisson scores with the low-score correction, normalised to 1."""
+    scores = F.sequence(F.lit(0), F.lit(goals))
+    cells = pairs.withColumn("h", F.explode(scores)).withColumn("a", F.explode(scores))
+    x, y, h, a = F.col(home_rate), F.col(away_rate), F.col("h"), F.col("a")
+    fix = F.when((h == 0) & (a == 0), 1 - x * y * rho).when((h == 0) & (a == 1), 1 + x * rho).when((h == 1) & (a == 0), 1 + y * rho).when((h == 1) & (a == 1), 1 - rho).otherwise(1.0)
+    raw = cells.withColumn("p", F.greatest(F.lit(0.0), poisson(h, x) * poisson(a, y) * fix))
+    return raw.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(*pairs.columns)))
+
+
+def market_blend(model: Column, market: Column, weight: float = 0.65) -> Column:
+    """Geometric mean of two rates; a missing or zero market leaves the model's."""
+    return F.when(F.coalesce(market, F.lit(0.0)) > 0, F.pow(model, 1 - weight) * F.pow(market, weight)).otherwise(model)
+
+
+def shin(probs: Column, rounds: int = 60) -> Column:
+    """Implied probabilities without the margin, by Shin's insider share in [0, 0.2] found by iteration."""
+    total = F.aggregate(probs, F.lit(0.0), lambda s, p: s + p)
+    root = lambda z, p: F.sqrt(z * z + 4 * (1 - z) * p * p / total)
+    step = lambda z: F.greatest(F.lit(0.0), F.least(F.lit(0.2), (F.aggregate(probs, F.lit(0.0), lambda s, p: s + root(z, p)) - 2) / (F.size(probs) - 2)))
+    z = F.when(F.size(probs) > 2, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), lambda z, _: step(z))).otherwise(0.0)
+    return F.transform(F.array(F.struct(z.alias("z"), probs.alias("p"))), lambda s: _normal(F.transform(s.p, lambda p: (root(s.z, p) - s.z) / (2 * (1 - s.z)))))[0]
+
+
+def _normal(values: Column) -> Column:
+    return F.transform(values, lambda v: v / F.aggregate(values, F.lit(0.0), lambda s, x: s + x))
+
+
+def rate_grid(spark) -> DataFrame:
+    """Home, draw, away and over-2.5 probabilities of every pair of rates from 0.2 to 4 in steps of 0.05.
+
+    77 x 77 rows, computed once and broadcast to whatever is fitted to it.
+    """
+    rows, pmf = [], {k: [math.exp(-k / 20) * (k / 20) ** n / math.factorial(n) for n in range(9)] for k in range(4, 81)}
+    for i, x in pmf.items():
+        for j, y in pmf.items():
+            draw = sum(x[n] * y[n] for n in range(9))
+            home = sum(x[h] * sum(y[:h]) for h in range(9))
+            total = sum(x) * sum(y)
+            low = sum(x[h] * y[a] for h in range(3) for a in range(3 - h))
+            rows.append((i / 20, j / 20, home, draw, total - home - draw, total - low))
+    return spark.createDataFrame(rows, "lh double, la double, p_home double, p_draw double, p_away double, p_over double")
+
+
+def fit_rates(markets: DataFrame, grid: DataFrame, key: str, home: str, draw: str, away: str) -> DataFrame:
+    """(key, lh, la): the grid's rates nearest to each market; ties go to the smaller ones.
+
+    Markets are few distinct price triples: each distinct one meets the broadcast grid once.
+    """
+    prices = markets.select(home, draw, away).distinct()
+    off = lambda p, c: F.pow(F.col(p) - F.col(c), 2)
+    error = off("p_home", home) + off("p_draw", draw) + off("p_away", away)
+    best = prices.join(F.broadcast(grid)).groupBy(home, draw, away).agg(F.min_by(F.struct("lh", "la"), F.struct(error.alias("e"), F.col("lh"), F.col("la"))).alias("r"))
+    return markets.join(best, [home, draw, away]).select(key, "r.lh", "r.la")
+
+
+def nb_survival(mean: Column, dispersion: Column, threshold: int) -> Column:
+    """P(X >= threshold) of a negative binomial with variance mean + mean^2 / dispersion, by the mass recurrence."""
+    q = mean / (mean + dispersion)
+    first = F.pow(dispersion / (mean + dispersion), dispersion)
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, threshold - 1))), F.struct(first.alias("p"), first.alias("c")), lambda s, k: F.struct((s.p * q * (k - 1 + dispersion) / k).alias("p"), (s.c + s.p * q * (k - 1 + dispersion) / k).alias("c")))
+    return 1 - (state.c if threshold > 1 else first if threshold == 1 else F.lit(0.0))
+
+
+def season_weight(seasons_ago: Column, factor: float = 0.72) -> Column:
+    return F.pow(F.lit(factor), seasons_ago)
+
+
+def team_strengths(sides: DataFrame, team: str, opponent: str, goals: str, weight: str, ridge: float = 1.0):
+    """Attack and defence of each team by a weighted ridge Poisson regression: (team, attack, defence) and the model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    stages = []
+    for name in (team, opponent):
+        stages += [StringIndexer(inputCol=name, outputCol=f"{name}_i", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol=f"{name}_i", outputCol=f"{name}_v", dropLast=False)]
+    stages += [VectorAssembler(inputCols=[f"{team}_v", f"{opponent}_v"], outputCol="x"), GeneralizedLinearRegression(family="poisson", link="log", featuresCol="x", labelCol=goals, weightCol=weight, regParam=ridge / 1000, maxIter=25)]
+    model = Pipeline(stages=stages).fit(sides)
+    names, fit = model.stages[0].labels, model.stages[-1]
+    n = len(names)
+    means = [sum(fit.coefficients[i * n : (i + 1) * n]) / n for i in (0, 1)]
+    rows = [(names[i], float(fit.coefficients[i] - means[0]), float(-(fit.coefficients[n + i] - means[1]))) for i in range(n)]
+    return sides.sparkSession.createDataFrame(rows, f"{team} string, attack double, defence double"), fit
