@@ -30,9 +30,11 @@ from .embed_dedup import local_roots
 from .shingles import shingle_sets
 
 SIMILARITY, RECALL = 0.8, 0.999
-SKETCH, BRANCH, SMALL, DEPTH, PIVOTS, TILE = 128, 2.5, 256, 5, 32, 256
-#: Shares of two sketches that agree, for a candidate in a small bucket, near a pivot, and very near it.
-CANDIDATE, NEAR, VERY_NEAR = 0.72, 0.56, 0.84
+SKETCH, BRANCH, SMALL, DEPTH, PIVOTS, TILE = 128, 2.0, 256, 4, 64, 256
+#: Shares of two sketches that agree, for a candidate in a small bucket, near a pivot, and very near it. What has 0.8 of
+#: its union in common with a set lacks a ninth of its tokens, so it is near a pivot that the set is very near, with
+#: three deviations of sampling to spare.
+CANDIDATE, NEAR, VERY_NEAR = 0.72, 0.54, 0.75
 
 
 def runs_needed(similarity: float, recall: float, branch: float = BRANCH) -> int:
