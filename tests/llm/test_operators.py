@@ -95,7 +95,7 @@ def test_ngram_join(docs, rows, small):
 
 
 def test_runs_needed():
-    assert runs_needed(0.8, 0.999) == 5
+    assert runs_needed(0.8, 0.999, branch=2.5) == 5 and runs_needed(0.8, 0.999, branch=2.0) == 7
     assert runs_needed(0.9, 0.99) <= runs_needed(0.8, 0.999)
 
 
