@@ -76,6 +76,18 @@ SHARD = pa.schema([("shard", pa.int32()), ("number", pa.int64()), ("n", pa.int64
 SHARD_DDL = "shard int, number long, n long, first_start long, doc_ids array<long>, lengths array<long>, block binary"
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(tokenizer_path: str, pattern: str) -> Encoder:
+    """This Python worker's encoder; it outlives a task, and knows one tokenizer at a time."""
+    key = tokenizer_path, pattern
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
 class _Writer:
     """Cuts one shard's ids into blocks."""
 
@@ -108,7 +120,7 @@ class _Writer:
 def _shard_rows(batches: Iterator[pa.RecordBatch], tokenizer_path: str, pattern: str, end_id: int, block: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    writer, encode = _Writer(TaskContext.get().partitionId(), block), Encoder(tokenizer_path, pattern)
+    writer, encode = _Writer(TaskContext.get().partitionId(), block), encoder(tokenizer_path, pattern)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         ids = iter(batch.column(0).to_pylist())

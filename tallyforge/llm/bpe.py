@@ -1,6 +1,6 @@
-"""Byte-level BPE by recursive DuckDB queries, one small database for each task.
+"""Byte-level BPE by recursive DuckDB queries, one small database for each Python worker.
 
-A text is split by a pattern into pieces. The pieces that a task hasn't met before become token-position rows,
+A text is split by a pattern into pieces. The pieces that a worker hasn't met before become token-position rows,
 which a query joins with the merge table, and a recursion contracts the leftmost minimum-rank pair of every
 unfinished piece in each round, until no pair can merge. Long pieces would need too many rounds: there all places
 of the minimum-rank pair contract in the same round where they don't overlap (a pair that a merge makes never ranks
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .pieces import split_texts
 
-#: Pieces that a task remembers before it starts afresh; characters of text that it splits at a time.
-CACHED_PIECES = 200_000
-GROUP_CHARS = 1_000_000
+#: Pieces that a Python worker remembers before it starts afresh; characters of text that it splits at a time.
+CACHED_PIECES = 400_000
+GROUP_CHARS = 3_000_000
 MEMORY = "400MB"
 
 #: Pieces of more bytes are long.
@@ -88,6 +88,16 @@ SELECT i.seq, string_agg(v.hex, '' ORDER BY i.pos) AS hex
 FROM ids i JOIN vocab v ON v.id = i.id GROUP BY i.seq
 """
 
+#: What is kept of encoded pieces: ids as text, their number, and the bytes that they decode to.
+DIGEST = """
+SELECT e.piece, array_to_string(e.toks, ' ') AS ids, len(e.toks) AS n, d.raw
+FROM encoded e JOIN (
+  SELECT i.piece, from_hex(string_agg(v.hex, '' ORDER BY i.pos)) AS raw
+  FROM (SELECT piece, unnest(toks) AS id, generate_subscripts(toks, 1) AS pos FROM encoded) i
+  JOIN vocab v ON v.id = i.id GROUP BY i.piece
+) d ON d.piece = e.piece
+"""
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -123,18 +133,26 @@ class DuckBpe:
         starts = np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0, np.int64)
         return number, (np.arange(len(number)) - np.repeat(starts, sizes)).astype(np.int32)
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece; pieces are not empty."""
-        found: list[list[int]] = [[]] * len(pieces)
+    def _encode(self, pieces: list[bytes]) -> None:
+        """Fill the table ``encoded`` with (piece, toks) of each piece, by its place."""
+        self.db.execute("CREATE OR REPLACE TABLE encoded (piece INTEGER, toks INTEGER[])")
         for query, some in ((ENCODE, [i for i, p in enumerate(pieces) if len(p) <= LONG]), (ENCODE_LONG, [i for i, p in enumerate(pieces) if len(p) > LONG])):
             if some:
                 number, pos = self._positions([len(pieces[i]) for i in some])
                 tok = self.byte_ids[np.frombuffer(b"".join([pieces[i] for i in some]), np.uint8)]
-                self._load("start", pa.table({"piece": number, "pos": pos, "tok": tok}))
-                got = self.db.sql(query).to_arrow_table()
-                for i, ids in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-                    found[some[i]] = ids
-        return found
+                self._load("start", pa.table({"piece": np.array(some, np.int32)[number], "pos": pos, "tok": tok}))
+                self.db.execute(f"INSERT INTO encoded {query}")
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece; pieces are not empty."""
+        self._encode(pieces)
+        return [ids for (ids,) in self.db.execute("SELECT toks FROM encoded ORDER BY piece").fetchall()]
+
+    def digest(self, pieces: list[bytes]) -> Iterator[tuple[int, str, int, bytes]]:
+        """(place, ids as text, their number, decoded bytes) of each piece, in any order."""
+        self._encode(pieces)
+        got = self.db.sql(DIGEST).to_arrow_table()
+        return zip(*(c.to_pylist() for c in got.columns), strict=True)
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """Bytes of each sequence of ids."""
@@ -147,7 +165,7 @@ class DuckBpe:
 
 
 class PieceTable:
-    """What a task knows of pieces: ids as text, how many, and the bytes that decoding the ids gave."""
+    """What a worker knows of pieces: ids as text, how many, and the bytes that decoding the ids gave."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bpe = DuckBpe(ranks)
@@ -160,11 +178,21 @@ class PieceTable:
             for known in (self.ids, self.n, self.decoded):
                 known.clear()
         new = [p for p in pieces if p not in self.ids]
-        if not new:
-            return
-        ids = self.bpe.encode([p.encode() for p in new])
-        for p, tokens, raw in zip(new, ids, self.bpe.decode(ids), strict=True):
-            self.ids[p], self.n[p], self.decoded[p] = " ".join(map(str, tokens)), len(tokens), raw
+        if new:
+            for i, ids, n, raw in self.bpe.digest([p.encode() for p in new]):
+                p = new[i]
+                self.ids[p], self.n[p], self.decoded[p] = ids, n, raw
+
+
+_TABLES: dict[str, PieceTable] = {}
+
+
+def piece_table(ranks_path: str, ranks) -> PieceTable:
+    """This Python worker's table for a rank file; it outlives a task, and knows one rank file at a time."""
+    if ranks_path not in _TABLES:
+        _TABLES.clear()
+        _TABLES[ranks_path] = PieceTable(ranks.value)
+    return _TABLES[ranks_path]
 
 
 def splitter(pattern: str) -> Callable[[list[str]], list[list[str]]]:
@@ -188,8 +216,8 @@ def text_groups(column: pa.Array, most: int = GROUP_CHARS) -> Iterator[list[str]
         yield group
 
 
-def _rows(batches: Iterator[pa.RecordBatch], ranks, pattern: str, full: bool) -> Iterator[pa.RecordBatch]:
-    split, known = splitter(pattern), PieceTable(ranks.value)
+def _rows(batches: Iterator[pa.RecordBatch], ranks_path: str, ranks, pattern: str, full: bool) -> Iterator[pa.RecordBatch]:
+    split, known = splitter(pattern), piece_table(ranks_path, ranks)
     for batch in batches:
         counts, ids, shas, back = [], [], [], []
         for group in text_groups(batch.column(1)):
@@ -215,7 +243,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(partial(_rows, ranks=ranks, pattern=pattern, full=with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(partial(_rows, ranks_path=ranks_path, ranks=ranks, pattern=pattern, full=with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
