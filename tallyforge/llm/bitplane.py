@@ -18,13 +18,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHED_PIECES, splitter, text_groups
+from .bpe import CACHED_PIECES, text_groups
 from .common import shuffle_partitions, write_table
+from .pieces import split_texts
 
-MAGIC, BLOCK, LEVEL = b"TFBP", 1 << 16, 3
+MAGIC, BLOCK, LEVEL, GROUP_CHARS = b"TFBP", 1 << 16, 3, 1_000_000
 HEAD = "<4sIB"
 
 
@@ -50,25 +52,43 @@ def unpack_block(block: bytes) -> np.ndarray:
     return ids
 
 
+def byte_letters() -> dict[int, int]:
+    """The public byte alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: b if b in printable else 256 + others.index(b) for b in range(256)}
+
+
 class Encoder:
-    """The tokenizers library on distinct pieces; the byte-level pre-tokenizer works on each piece by itself."""
+    """The tokenizers library over texts, as little-endian ids.
+
+    With a plain byte-level tokenizer the library's merges run once for each distinct piece of the pattern; any other
+    tokenizer encodes whole texts.
+    """
 
     def __init__(self, tokenizer_path: str, pattern: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(tokenizer_path, encoding="utf-8") as f:
             self.tokenizer = Tokenizer.from_str(f.read())
         self.tokenizer.encode_special_tokens = True
-        self.split, self.known = splitter(pattern), {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = self.split(texts)
+        before = self.tokenizer.pre_tokenizer
+        self.by_piece = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and self.tokenizer.normalizer is None and pattern == PATTERN
+        self.merge, self.letters, self.known = self.tokenizer.model.tokenize, byte_letters(), {}
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.by_piece:
+            yield from (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+            return
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
-        new = [p for p in set().union(*pieces) if p not in self.known]
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = array("I", found.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        known, pieces = self.known, split_texts(texts)
+        for piece in set().union(*pieces):
+            if piece not in known:
+                known[piece] = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        for p in pieces:
+            yield b"".join(map(known.__getitem__, p))
 
 
 #: A block with its place and its documents: their ids, how many of the block's ids each has, and the start of the first within the shard.
@@ -124,7 +144,7 @@ def _shard_rows(batches: Iterator[pa.RecordBatch], tokenizer_path: str, pattern:
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         ids = iter(batch.column(0).to_pylist())
-        for group in text_groups(batch.column(1)):
+        for group in text_groups(batch.column(1), GROUP_CHARS):
             for raw in encode(group):
                 yield from (pa.RecordBatch.from_pylist([row], schema=SHARD) for row in writer.add(next(ids), raw + end))
     if writer.raw:
