@@ -73,6 +73,24 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+        w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 199, 0))) AS i FROM p)),
+        s AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+        b AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(regexp_extract_all(h, '..')) AS x FROM p),
+        c AS (
+          SELECT b.doc_id, b.i, b.x, max(s.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+          FROM b LEFT JOIN s ON s.doc_id = b.doc_id AND s.i = b.i
+        ),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+        a AS (
+          SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept
+          FROM e GROUP BY doc_id
+        )
+        SELECT p.doc_id, p.n AS n_bytes, coalesce(a.n_removed, 0) AS n_removed, coalesce(a.n_spans, 0) AS n_spans, sha256(unhex(coalesce(a.kept, ''))) AS kept_sha256
+        FROM p LEFT JOIN a ON a.doc_id = p.doc_id
+    """,
     "op10_embedding_dedup": """
         WITH RECURSIVE v AS (
           SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings
