@@ -178,3 +178,14 @@ def d04_merge_policy(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
     changes = parts.filter("p_partkey % 4 = 0").select("p_partkey", F.lit(0.0).alias("price"), F.when(F.col("size") == 10, -1).alias("size"))
     return J.update_join(parts, changes, ["p_partkey"], ["price"], ["size"])
+
+
+@plans()
+def o05_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Moves over three periods for each pool of parts: the first parts of each position are owned."""
+    from ..operators.planner import plan_squads
+    from .scoring import POSITION
+
+    parts = table(spark, sf, "part").selectExpr("p_size % 5 AS pool", "p_partkey AS player_id", POSITION.format(x="p_partkey") + " AS position", "p_partkey % 25 AS team_id", "CAST(40 + p_partkey % 60 AS INT) AS price", "array(p_partkey % 11, p_partkey % 13, p_partkey % 7) AS points")
+    ranked = top_per_group(parts, ["pool", "position"], [F.col("player_id")], 12)
+    return plan_squads(ranked.withColumn("owned", F.col("rn") <= 3).drop("rn"), "pool", 3)

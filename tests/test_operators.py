@@ -167,6 +167,29 @@ def test_squad_is_optimal():
         assert len(eleven) == 11
 
 
+def test_plan_matches_full_search():
+    from tallyforge.operators.planner import DISCOUNT, plan
+
+    pool_ = {i: {"position": "MID", "team_id": i, "price": 50, "points": [float((i * 7 + t * 5) % 11) for t in range(3)]} for i in range(6)}
+    value, moves = plan(pool_, frozenset({0, 1}), 0, 1, 3, beam=10_000, moves=100)
+    best = 0.0
+    swaps = [None, *((o, n) for o in pool_ for n in pool_ if o != n)]
+    for path in itertools.product(swaps, repeat=3):
+        now, free, total, ok = {0, 1}, 1, 0.0, True
+        for t, swap in enumerate(path):
+            made = 0
+            if swap:
+                if swap[0] not in now or swap[1] in now:
+                    ok = False
+                    break
+                now, made = now - {swap[0]} | {swap[1]}, 1
+            total += sum(pool_[p]["points"][t] for p in now) * DISCOUNT**t - 4 * max(0, made - free)
+            free = min(5, max(0, free - made) + 1)
+        if ok:
+            best = max(best, total)
+    assert value <= best + 1e-9 and value >= 0.95 * best and moves
+
+
 def test_substitutions():
     make = lambda i, pos, m: {"player_id": i, "position": pos, "minutes": m}
     lineup = [make(1, "GK", 0)] + [make(i, "DEF", 0 if i == 2 else 90) for i in (2, 3, 4)] + [make(i, "MID", 90) for i in range(5, 10)] + [make(i, "FWD", 90) for i in (10, 11)]
