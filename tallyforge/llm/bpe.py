@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .pieces import split_texts
 
 #: Pieces that a Python worker remembers before it starts afresh; characters of text that it splits at a time.
-CACHED_PIECES = 400_000
-GROUP_CHARS = 3_000_000
+CACHED_PIECES = 200_000
+GROUP_CHARS = 2_000_000
 MEMORY = "400MB"
 
 #: Pieces of more bytes are long.
