@@ -4,6 +4,8 @@ A text is the set of its five-word shingles. In each run a set picks a few shing
 share, and lands in the bucket of each; a bucket that is too large is split again the same way, by further
 shared shingles. Small buckets are compared by brute force. The runs are as many as the target recall needs: with a
 mean of BRANCH * J shared picks on each level, a pair misses a run with the extinction probability of a branching process.
+The sketch is the same in all runs, so what it loses counts too: J is taken as the sketches show it, for sets of which one
+holds the other, where their agreement deviates most from J.
 
 Sets are sampled and compared by bottom-k sketches (a uniform, coordinated sample of a set), and what comes out is
 candidate groups, as star edges and never all pairs of a group. In a large bucket some members act as
@@ -31,18 +33,52 @@ from .shingles import shingle_sets
 
 SIMILARITY, RECALL = 0.8, 0.999
 SKETCH, BRANCH, SMALL, DEPTH, PIVOTS, TILE = 128, 2.0, 256, 4, 64, 256
-#: Shares of two sketches that agree, for a candidate in a small bucket, near a pivot, and very near it. What has 0.8 of
-#: its union in common with a set lacks a ninth of its tokens, so it is near a pivot that the set is very near, with
-#: three deviations of sampling to spare.
-CANDIDATE, NEAR, VERY_NEAR = 0.72, 0.54, 0.75
+#: Share of a sketch that agrees with a pivot's, for a set that is very near it; and the chance that the sketches of a pair
+#: of the wanted similarity agree too little to be a candidate.
+VERY_NEAR, LOST = 0.75, 1e-6
 
 
-def runs_needed(similarity: float, recall: float, branch: float = BRANCH) -> int:
-    """Runs after which a pair of this similarity has met with the given probability, however deep buckets split."""
-    missed = 0.0
+def agreements(similarity: float, sketch: int = SKETCH) -> np.ndarray:
+    """Chances that 0, 1, ... tokens of two sketches agree, for a pair of this similarity of which one holds the other."""
+    return np.array([math.comb(sketch, k) * similarity**k * (1 - similarity) ** (sketch - k) for k in range(sketch + 1)])
+
+
+def least_agreement(similarity: float, sketch: int = SKETCH, lost: float = LOST) -> float:
+    """Share of agreeing tokens that all pairs of this similarity reach but for a part of ``lost`` at most.
+
+    Sets of up to ``sketch`` tokens are whole in their sketches and agree in more than their similarity. In the bottom of
+    the union of larger ones each token is shared with that chance, and both sketches hold those that are.
+    """
+    return int(np.searchsorted(np.cumsum(agreements(similarity, sketch)), lost, "right")) / sketch
+
+
+def near_agreement(candidate: float) -> float:
+    """Share of a pivot's sketch with which a set is near it, so that all candidates of a set very near it are.
+
+    They lack at most 1 - candidate of the tokens that the set shares with the pivot, whatever their sketches hold else.
+    """
+    return VERY_NEAR + candidate - 1
+
+
+def runs_needed(similarity: float, recall: float, branch: float = BRANCH, sketch: int = 0) -> int:
+    """Runs after which a pair of this similarity has met with the given probability, however deep buckets split.
+
+    With ``sketch``, the mean over how far sketches of so many tokens agree; too small an agreement is a miss in all runs.
+    """
+    shares, chances = np.array([similarity]), np.ones(1)
+    if sketch:
+        shares, chances = np.arange(sketch + 1) / sketch, agreements(similarity, sketch)
+    missed = np.zeros(len(shares))
     for _ in range(200):
-        missed = math.exp(branch * similarity * (missed - 1))
-    return math.ceil(math.log(1 - recall) / math.log(missed))
+        missed = np.exp(branch * shares * (missed - 1))
+    if sketch:
+        missed[shares < least_agreement(similarity, sketch)] = 1
+    runs = 1
+    while (chances * missed**runs).sum() > 1 - recall:
+        runs += 1
+        if runs > 1000:
+            raise ValueError("no number of runs reaches this recall")
+    return runs
 
 
 def picks(tokens: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,19 +138,19 @@ def _star(ids: np.ndarray, root: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(ids[off], pa.int64()), "b": pa.array(root[off], pa.int64()), "path": pa.array([None] * len(off), pa.int64())})
 
 
-def _small_bucket(rows: pa.Table) -> pa.Table:
+def _small_bucket(rows: pa.Table, candidate: float) -> pa.Table:
     ids, sketches = rows["rep"].to_numpy(), [np.frombuffer(x, np.uint32) for x in rows["sketch"].to_pylist()]
-    i, j = np.nonzero(np.triu(_agree(sketches, sketches) >= CANDIDATE, 1))
+    i, j = np.nonzero(np.triu(_agree(sketches, sketches) >= candidate, 1))
     return _star(ids, local_roots(i, j, ids))
 
 
-def _large_bucket(rows: pa.Table, last: bool) -> pa.Table:
+def _large_bucket(rows: pa.Table, last: bool, candidate: float) -> pa.Table:
     """A tile of a bucket against the bucket's pivots; on the last level, against a whole tile of it."""
     pivot = rows["pivot"].to_numpy(zero_copy_only=False).astype(bool)
     ids, sketches = rows["rep"].to_numpy(), [np.frombuffer(x, np.uint32) for x in rows["sketch"].to_pylist()]
     members, pivots = np.flatnonzero(~pivot), np.flatnonzero(pivot)
     agree = _agree([sketches[i] for i in members], [sketches[i] for i in pivots]) if len(pivots) and len(members) else np.zeros((len(members), len(pivots)))
-    i, j = np.nonzero(agree >= (CANDIDATE if last else NEAR))
+    i, j = np.nonzero(agree >= (candidate if last else near_agreement(candidate)))
     edges = _star(ids, local_roots(members[i], pivots[j], ids))
     left = members[~(agree >= VERY_NEAR).any(axis=1)] if len(pivots) else members
     if last or not len(left):
@@ -126,23 +162,23 @@ def _large_bucket(rows: pa.Table, last: bool) -> pa.Table:
     return pa.concat_tables([edges, pa.table({"a": pa.array(ids[left[of[at]]], pa.int64()), "b": pa.array([None] * len(at), pa.int64()), "path": pa.array(paths, pa.int64())})])
 
 
-def _bucket(last: bool) -> Callable[[pa.Table], pa.Table]:
-    return lambda rows: _large_bucket(rows, last)
+def _bucket(last: bool, candidate: float) -> Callable[[pa.Table], pa.Table]:
+    return lambda rows: _large_bucket(rows, last, candidate)
 
 
 EDGES = "a long, b long, path long"
 
 
-def candidate_edges(sets: DataFrame, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def candidate_edges(sets: DataFrame, small: int = SMALL, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """Star edges (a, b) between sets that may be similar; ``sets`` has rep, sketch and paths."""
-    sketches = sets.select("rep", "sketch")
+    sketches, candidate = sets.select("rep", "sketch"), least_agreement(similarity)
     rows = sets.select("rep", F.explode("paths").alias("path"))
     spark, found, used = sets.sparkSession, [], []
     for level in range(depth + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         here = materialize(rows.join(sizes, "path"), "paths")
         used.append(here)
-        few = here.filter(F.col("n") <= small).join(sketches, "rep").select("path", "rep", "sketch").groupBy("path").applyInArrow(_small_bucket, EDGES)
+        few = here.filter(F.col("n") <= small).join(sketches, "rep").select("path", "rep", "sketch").groupBy("path").applyInArrow(lambda rows: _small_bucket(rows, candidate), EDGES)
         found.append(materialize(few.select("a", "b"), "candidates"))
         large = here.filter(F.col("n") > small)
         if large.isEmpty():
@@ -160,7 +196,7 @@ def candidate_edges(sets: DataFrame, small: int = SMALL, depth: int = DEPTH) ->
             members = large.withColumn("side", F.lit(0))
         columns = ["path", "tile", "side", "rep", "sketch"]
         both = members.select(*columns, F.lit(False).alias("pivot")).unionByName(pivots.select(*columns, F.lit(True).alias("pivot")))
-        out = materialize(both.groupBy("path", "tile", "side").applyInArrow(_bucket(last), EDGES), "candidates")
+        out = materialize(both.groupBy("path", "tile", "side").applyInArrow(_bucket(last, candidate), EDGES), "candidates")
         used.append(out)
         found.append(out.filter("path is null").select("a", "b"))
         rows = out.filter("path is not null").select(F.col("a").alias("rep"), "path")
@@ -229,11 +265,11 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     """
     key = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    run = partial(_sketches, runs=runs_needed(similarity, recall))
+    run = partial(_sketches, runs=runs_needed(similarity, recall, sketch=SKETCH))
     sketched = materialize(rows.mapInArrow(run, "doc_id long, key binary, set_key binary, size long, sketch binary, paths array<long>"), "sketches")
     usable = sketched.filter("doc_id is not null and size > 0")
     sets = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("key").alias("key"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "sets")
-    groups = connected_components(candidate_edges(sets, small)).withColumnsRenamed({"node": "rep", "component": "group"})
+    groups = connected_components(candidate_edges(sets, small, similarity=similarity)).withColumnsRenamed({"node": "rep", "component": "group"})
     groups = materialize(groups, "groups")
     tiles = groups.groupBy("group").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     chosen = sets.select("rep", "n", "key").join(groups, "rep").join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int"))

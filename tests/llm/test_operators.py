@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tallyforge.llm.bitplane import crc32_joined, pack_block, read_index, read_segments, unpack_block, write_ids
@@ -21,9 +22,10 @@ from tallyforge.llm.exact_dedup import chunk_ends, exact_dedup
 from tallyforge.llm.langid import identify_language, keep_identified
 from tallyforge.llm.line_dedup import line_dedup
 from tallyforge.llm.mixing import mix, mixed_rows, route, source_targets
-from tallyforge.llm.ngram_join import ngram_join, runs_needed
+from tallyforge.llm.ngram_join import SKETCH, _large_bucket, least_agreement, ngram_join, runs_needed
 from tallyforge.llm.pieces import split_texts
 from tallyforge.llm.pii import find_pii, redact
+from tallyforge.llm.shingles import shingle_sets
 from tallyforge.llm.suffix_dedup import COVER, V, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, hash long"
@@ -99,6 +101,34 @@ def test_runs_needed():
     assert runs_needed(0.9, 0.99) <= runs_needed(0.8, 0.999)
 
 
+def test_ngram_join_finds_long_contained_texts(spark):
+    """Pairs at 0.80 to 0.82 whose sketches agree in less than 0.72 by chance: a text and its start."""
+    rng, texts, want = random.Random(8), [], 0
+    while want < 12:
+        whole = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        pair = [" ".join(whole), " ".join(whole[: 4 + rng.randrange(320, 329)])]
+        a, b = (set(s[:SKETCH].tolist()) for s in shingle_sets(pa.array(pair)))
+        if len(a & b) < 0.72 * SKETCH:
+            assert 0.8 * len(shingles(pair[0])) <= len(shingles(pair[1])) <= 0.82 * len(shingles(pair[0]))
+            texts, want = texts + pair, want + 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.n_links, r.class_id) for r in ngram_join(docs).collect()} == {(i, 1, i - i % 2) for i in range(2 * want)}
+
+
+def test_large_bucket_keeps_neighbours_of_what_a_pivot_settles():
+    """1 is settled by the pivot 0; 2 is like 1 but just less near the pivot, and must join their group."""
+    cut = least_agreement(0.8)
+    gone = SKETCH - round(cut * SKETCH)
+    pivot, settled = np.arange(SKETCH), np.arange(SKETCH // 4, SKETCH // 4 + SKETCH)
+    like = np.concatenate([settled[gone:], np.arange(1000, 1000 + gone)])
+    assert len(np.intersect1d(settled, like)) == cut * SKETCH
+    rows = [(0, pivot, True), (0, pivot, False), (1, settled, False), (2, like, False)]
+    table = pa.table({"path": [5] * 4, "rep": [r for r, *_ in rows], "sketch": [s.astype(np.uint32).tobytes() for _, s, _ in rows], "pivot": [p for *_, p in rows]})
+    edges = _large_bucket(table, False, cut).to_pylist()
+    assert {(e["a"], e["b"]) for e in edges if e["path"] is None} == {(1, 0), (2, 0)}
+    assert runs_needed(0.8, 0.999, sketch=SKETCH) >= runs_needed(0.8, 0.999)
+
+
 def luhn(s):
     return sum(d - 9 * (d > 9) for d in (int(c) * (1 + k % 2) for k, c in enumerate(reversed(s)))) % 10 == 0
 
