@@ -206,11 +206,12 @@ def o01_squad(spark: SparkSession, sf: str) -> DataFrame:
 
 @plans()
 def r07_automatic_substitutions(spark: SparkSession, sf: str) -> DataFrame:
+    """Substitutions in squads of fifteen customers each, over all customers."""
     from ..operators.optimise import automatic_substitutions
 
-    place = "c_custkey div 100 + 1"
+    place = "c_custkey % 15 + 1"
     position = f"CASE WHEN {place} IN (1, 12) THEN 'GK' WHEN {place} <= 5 OR {place} = 13 THEN 'DEF' WHEN {place} <= 9 OR {place} = 14 THEN 'MID' ELSE 'FWD' END"
-    picks = table(spark, sf, "customer").filter(f"{place} <= 15").selectExpr("c_custkey % 100 AS squad_id", f"CAST({place} AS INT) AS place", "c_custkey AS player_id", f"{position} AS position", "CAST(CASE WHEN c_acctbal < 1500 THEN 0 ELSE 90 END AS INT) AS minutes")
+    picks = table(spark, sf, "customer").selectExpr("c_custkey div 15 AS squad_id", f"CAST({place} AS INT) AS place", "c_custkey AS player_id", f"{position} AS position", "CAST(CASE WHEN c_acctbal < 1500 THEN 0 ELSE 90 END AS INT) AS minutes")
     return automatic_substitutions(picks)
 
 

@@ -197,6 +197,20 @@ def test_substitutions():
     assert substitute(lineup, bench) == [(1, 12), (2, 14)]
 
 
+def test_substitutions_take_all_customers(spark, sf_dir):
+    from tallyforge.functions.rules import legal_lineup
+
+    found = catalog.queries()["r07_automatic_substitutions"](spark, sf_dir).collect()
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal").collect()
+    layout = ["GK", *["DEF"] * 4, *["MID"] * 4, "FWD", "FWD", "GK", "DEF", "MID", "FWD"]
+    squads = {}
+    for r in sorted(rows):
+        squads.setdefault(r.c_custkey // 15, []).append({"player_id": r.c_custkey, "position": layout[r.c_custkey % 15], "minutes": 0 if r.c_acctbal < 1500 else 90})
+    assert legal_lineup({"GK": 1, "DEF": 4, "MID": 4, "FWD": 2}) and sum(map(len, squads.values())) == len(rows)
+    want = [(k, a, b) for k, squad in squads.items() for a, b in substitute(squad[:11], squad[11:])]
+    assert sorted(map(tuple, found)) == sorted(want) and len(want) > len(squads) // 2
+
+
 def test_simulation_is_repeatable_and_team_mates_compete():
     players = pd.DataFrame({"fixture_id": 1, "player_id": [1, 2, 3], "team_id": [1, 1, 2], "p_start": [0.9, 0.9, 0.8], "goals90": [0.5, 0.4, 0.5], "team_rate": 1.5})
     a, b = (simulate_fixture(players, 4000, 3) for _ in range(2))
