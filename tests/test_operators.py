@@ -218,6 +218,13 @@ def test_simulation_is_repeatable_and_team_mates_compete():
     assert (a["p10"] <= a["mean_points"]).all() and (a["mean_points"] <= a["p90"]).all()
 
 
+def test_every_player_of_every_fixture_is_predicted(spark, sf_dir):
+    got = catalog.queries()["z09_predict"](spark, sf_dir).collect()
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect()
+    assert sorted((r.fixture_id, r.player_id) for r in got) == sorted(map(tuple, lines))
+    assert any(abs(r.p_haul * 200 - round(r.p_haul * 200)) > 1e-6 for r in got)  # more than 200 draws
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,x\n2.0,y\nbad,z\n")
     got = readers.read_csv_lenient(spark, str(tmp_path / "x.csv"), {"a": "int", "b": "string", "c": "double"})
