@@ -6,7 +6,8 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.rules import LINEUP, MOST_PER_CLUB, QUOTA
 
@@ -50,18 +51,15 @@ def _best_within(pool: pd.DataFrame, budget: int) -> tuple[float, list[int]] | N
     return (float(total[top]), picks[top]) if total[top] > -np.inf else None
 
 
-def best_squad(pool: pd.DataFrame, budget: int = 1000, most_nodes: int = 400) -> tuple[float, list[int]]:
+def best_squad(pool: pd.DataFrame, budget: int = 1000) -> tuple[float, list[int]]:
     """Best first search: solve without the club limit, and where a club has too many forbid one of them at a time.
 
-    The bound of a node is exact, so the first squad that keeps the limit is the best one. ``most_nodes`` ends a search that
-    takes too long with an error.
+    The bound of a node is exact, so the first squad that keeps the limit is the best one.
     """
     club = dict(zip(pool["player_id"], pool["team_id"], strict=True))
     first = _best_within(pool, budget)
     queue, seen = [(-first[0], [], first[1])] if first else [], {frozenset()}
-    for _ in range(most_nodes):
-        if not queue:
-            raise ValueError("no squad fits")
+    while queue:
         value, banned, squad = heapq.heappop(queue)
         counts = pd.Series([club[p] for p in squad]).value_counts()
         if counts.iloc[0] <= MOST_PER_CLUB:
@@ -74,7 +72,7 @@ def best_squad(pool: pd.DataFrame, budget: int = 1000, most_nodes: int = 400) ->
                     found = _best_within(pool[~pool["player_id"].isin(out)], budget)
                     if found:
                         heapq.heappush(queue, (-found[0], [*banned, p], found[1]))
-    raise ValueError("the search took too many nodes")
+    raise ValueError("no squad fits")
 
 
 def best_lineup(squad: pd.DataFrame) -> list[int]:
@@ -91,8 +89,26 @@ def best_lineup(squad: pd.DataFrame) -> list[int]:
     return sorted(int(p) for p in chosen)
 
 
+def undominated(candidates: DataFrame, key: str) -> DataFrame:
+    """``candidates`` without those that MOST_PER_CLUB others of their group, position and club match in price and utility.
+
+    A squad that holds such a one has at most MOST_PER_CLUB - 1 more of its club, so one of the others can take its place:
+    the best squad's utility stays the same. Of equals the smallest player_id counts as better.
+    """
+    same = [key, "position", "team_id"]
+    best = Window.partitionBy(*same, "price").orderBy(F.col("utility").desc(), "player_id")
+    few = candidates.withColumn("__rn", F.row_number().over(best)).filter(F.col("__rn") <= MOST_PER_CLUB)
+    before = Window.partitionBy(*same).orderBy("price", F.col("utility").desc(), "player_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = few.withColumn("__before", F.collect_list("utility").over(before))
+    beaten = F.size(F.filter("__before", lambda u: u >= F.col("utility"))) >= MOST_PER_CLUB
+    return ranked.filter(~beaten).select(candidates.columns)
+
+
 def select_squads(candidates: DataFrame, key: str, budget: int = 1000) -> DataFrame:
-    """(key, player_id, in_lineup, squad_utility): one optimal squad for each group of candidates (a few hundred rows)."""
+    """(key, player_id, in_lineup, squad_utility): one optimal squad for each group of candidates.
+
+    Only candidates that can change the optimum are gathered; there are at most MOST_PER_CLUB for each group, position, club and price.
+    """
 
     def run(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values("player_id").reset_index(drop=True)
@@ -101,7 +117,7 @@ def select_squads(candidates: DataFrame, key: str, budget: int = 1000) -> DataFr
         return pd.DataFrame({key: pool[key].iloc[0], "player_id": squad, "in_lineup": [p in lineup for p in squad], "squad_utility": value})
 
     kind = dict(candidates.dtypes)[key]
-    return candidates.groupBy(key).applyInPandas(run, f"{key} {kind}, player_id long, in_lineup boolean, squad_utility double")
+    return undominated(candidates, key).groupBy(key).applyInPandas(run, f"{key} {kind}, player_id long, in_lineup boolean, squad_utility double")
 
 
 def substitute(lineup: list[dict], bench: list[dict]) -> list[tuple[int, int]]:

@@ -200,8 +200,7 @@ def o01_squad(spark: SparkSession, sf: str) -> DataFrame:
     value = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("u"))
     parts = table(spark, sf, "part").join(value, F.col("p_partkey") == F.col("l_partkey"))
     pool = parts.selectExpr("p_size % 5 AS pool", "p_partkey AS player_id", POSITION.format(x="p_partkey") + " AS position", "p_partkey % 25 AS team_id", "CAST(40 + p_partkey % 60 AS INT) AS price", "u AS utility")
-    ranked = pool.withColumn("rn", F.row_number().over(Window.partitionBy("pool", "position").orderBy(F.col("utility").desc(), "player_id"))).filter("rn <= 25")
-    return select_squads(ranked.drop("rn"), "pool")
+    return select_squads(pool, "pool")
 
 
 @plans()

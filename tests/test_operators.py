@@ -225,6 +225,20 @@ def test_every_player_of_every_fixture_is_predicted(spark, sf_dir):
     assert any(abs(r.p_haul * 200 - round(r.p_haul * 200)) > 1e-6 for r in got)  # more than 200 draws
 
 
+def test_squads_keep_cheap_players(spark, tmp_path):
+    """The 25 of most utility of each position are too dear for a squad; the best one over all parts needs cheap ones."""
+    keys = [k for k in range(600) if k % 60 >= 40 or k % 60 < 12]
+    worth = {k: float(200 + k * 7 % 40 if k % 60 >= 40 else k * 11 % 30) for k in keys}
+    spark.createDataFrame([(k, 5) for k in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(list(worth.items()), "l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    pool = pd.DataFrame([{"player_id": k, "position": ["GK", "DEF", "MID", "FWD"][k % 4], "team_id": k % 25, "price": 40 + k % 60, "utility": worth[k]} for k in keys])
+    value, _ = best_squad(pool)
+    got = catalog.queries()["o01_squad"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 15 and got["squad_utility"].tolist() == [value] * 15
+    squad = pool[pool["player_id"].isin(got["player_id"])]
+    assert squad["utility"].sum() == value and squad["price"].sum() <= 1000 and squad["team_id"].value_counts().max() <= 3
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,x\n2.0,y\nbad,z\n")
     got = readers.read_csv_lenient(spark, str(tmp_path / "x.csv"), {"a": "int", "b": "string", "c": "double"})
