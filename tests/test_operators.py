@@ -239,6 +239,14 @@ def test_squads_keep_cheap_players(spark, tmp_path):
     assert squad["utility"].sum() == value and squad["price"].sum() <= 1000 and squad["team_id"].value_counts().max() <= 3
 
 
+def test_typos_in_first_letters_are_scored(spark):
+    aliases = spark.createDataFrame([("sanchez", 1), ("alexandermartinell", 2), ("blexandermartinelli", 3), (None, 4)], "alias string, entity int")
+    mentions = spark.createDataFrame([("zanchez",), ("alexandermartinelli",), (None,)], "mention string")
+    got = {r.mention: (r.entity, r.status, round(r.score)) for r in E.resolve(mentions, aliases, "mention", "alias", "entity").collect()}
+    # 97 would do, but a rival that begins with another letter has 95
+    assert got == {"zanchez": (None, "review", 86), "alexandermartinelli": (None, "review", 97), None: (None, "miss", 0)}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,x\n2.0,y\nbad,z\n")
     got = readers.read_csv_lenient(spark, str(tmp_path / "x.csv"), {"a": "int", "b": "string", "c": "double"})
