@@ -43,13 +43,28 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 14) -> DataFra
 def contained(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str, text_key: str, text: str, words: int = 5) -> DataFrame:
     """(needle, text) keys where the needle occurs in the text as a substring.
 
-    Candidates share the needle's first full words as a word n-gram, an equi-join; the substring test decides.
-    Needles must start at a word of the text and have at least ``words`` words followed by more text.
+    Pieces between single spaces or newlines that aren't the needle's first or last are whole in any text that holds it.
+    Candidates share the first ``words`` of these as an n-gram, an equi-join, or the first two where there are fewer; needles
+    without two are tried on every text. The substring test decides.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(c) - words)), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, words), " ")))
-    first = needles.select(F.col(needle_key).alias("__n"), F.col(needle).alias("__needle"), F.xxhash64(F.array_join(F.slice(F.split(needle, " "), 1, words), " ")).alias("__gram"))
-    seen = texts.select(F.col(text_key).alias("__t"), F.col(text).alias("__text"), F.explode(F.array_distinct(grams(F.split(F.regexp_replace(text, "\\n", " "), " ")))).alias("__gram"))
-    return seen.join(F.broadcast(first), "__gram").filter(F.contains("__text", "__needle")).select(F.col("__n").alias(needle_key), F.col("__t").alias(text_key)).distinct()
+    pieces = lambda c: F.split(c, "[ \n]")
+    gram = lambda c: F.xxhash64(F.array_join(c, " "))
+    asked = needles.select(F.col(needle_key).alias("__n"), F.col(needle).alias("__needle"), (F.size(pieces(F.col(needle))) - 2).alias("__inner"))
+    seen = texts.select(F.col(text_key).alias("__t"), F.col(text).alias("__text"))
+
+    def anchored(width: int, chosen: DataFrame) -> DataFrame:
+        first = chosen.select("__n", "__needle", gram(F.slice(pieces(F.col("__needle")), 2, width)).alias("__gram"))
+        # called by an outer transform, so that a text is split once and not once for each of its pieces
+        grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(c) - width)), lambda i: gram(F.slice(c, i + 1, width)))
+        return seen.withColumn("__gram", F.explode(F.array_distinct(F.flatten(F.transform(F.array(pieces(F.col("__text"))), grams))))).join(F.broadcast(first), "__gram").drop("__gram")
+
+    least = min(2, words)
+    met = anchored(words, asked.filter(F.col("__inner") >= words))
+    if words > least:
+        met = met.unionByName(anchored(least, asked.filter((F.col("__inner") >= least) & (F.col("__inner") < words))))
+    short = asked.filter(F.col("__inner") < least).select("__n", "__needle")
+    met = met.unionByName(seen.join(F.broadcast(short), F.contains("__text", "__needle")).select("__t", "__text", "__n", "__needle"))
+    return met.filter(F.contains("__text", "__needle")).select(F.col("__n").alias(needle_key), F.col("__t").alias(text_key)).distinct()
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -247,6 +247,17 @@ def test_typos_in_first_letters_are_scored(spark):
     assert got == {"zanchez": (None, "review", 86), "alexandermartinelli": (None, "review", 97), None: (None, "miss", 0)}
 
 
+@pytest.mark.parametrize("words", [5, 4, 1])
+def test_containment_finds_every_substring(spark, words):
+    long, four = "alpha beta gamma delta epsilon zeta eta theta", "one two three four"
+    needles = list(enumerate([long, four, "lone", "two words", "a  b\nc d e f g", "", None, "x y z"]))
+    texts = [f'he said "{long}" twice', f"({long})", f"pre{long}post", f"{four}, then", f"so {four}.", f"({four})", "alone", "two words", "[two words]", "xa  b\nc d e f gx", "a b c d e f g", "", None, "(x y z)", "x y", long.replace(" ", "\n")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, t string")
+    got = J.contained(spark.createDataFrame(needles, "n int, s string"), docs, "n", "s", "d", "t", words=words).collect()
+    want = [(n, d) for n, s in needles for d, t in enumerate(texts) if s is not None and t is not None and s in t]
+    assert sorted((r.n, r.d) for r in got) == sorted(want)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,x\n2.0,y\nbad,z\n")
     got = readers.read_csv_lenient(spark, str(tmp_path / "x.csv"), {"a": "int", "b": "string", "c": "double"})
