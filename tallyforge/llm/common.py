@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the session's ``spark.checkpoint.dir``; a temporary folder is made only where that is unset
-    (a single-machine session, as in tests).
+    and all runs on one machine, as in tests. On a cluster without that setting this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     set_dir = spark.sparkContext.getCheckpointDir()
     if set_dir is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
         set_dir = spark.sparkContext.getCheckpointDir()
     return set_dir.rstrip("/")
@@ -38,15 +41,28 @@ def write_table(df: DataFrame, name: str, **options: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it in the shared folder and read it back."""
     path = write_table(df, name)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    """Delete tables that ``materialize`` returned and nothing reads any more."""
     for frame in frames:
-        for path in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete_path(spark, frame.written_to)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,17 +8,19 @@ The sketch is the same in all runs, so what it loses counts too: J is taken as t
 holds the other, where their agreement deviates most from J.
 
 Sets are sampled and compared by bottom-k sketches (a uniform, coordinated sample of a set), and what comes out is
-candidate groups, as star edges and never all pairs of a group. In a large bucket some members act as
+candidate groups, as edges to pivots and never all pairs of a group. In a large bucket some members act as
 pivots first: all that are near a pivot join its group, and those that are very near are done, as whatever is similar to
-them is near the pivot too. So groups of thousands of copies don't recurse. Last, within each candidate group, tiles
-of whole sets are multiplied for exact intersections; that alone decides links.
+them is near the pivot too. A bucket whose members are all of one group is done as well, and one of which few aren't
+is settled by those few as pivots. Only other buckets split on, by further shared shingles, until they are small; with
+what pivots join taken out, members share less than BRANCH's inverse and each level has fewer rows than the one before.
+Last, within each candidate group, tiles of whole sets are multiplied for exact intersections; that alone decides links.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -32,7 +34,9 @@ from .embed_dedup import local_roots
 from .shingles import shingle_sets
 
 SIMILARITY, RECALL = 0.8, 0.999
-SKETCH, BRANCH, SMALL, DEPTH, PIVOTS, TILE = 128, 2.0, 256, 4, 64, 256
+SKETCH, BRANCH, SMALL, PIVOTS = 128, 2.0, 256, 64
+#: Most sets and most tokens of a tile.
+TILE, TILE_TOKENS = 1024, 1 << 18
 #: Share of a sketch that agrees with a pivot's, for a set that is very near it; and the chance that the sketches of a pair
 #: of the wanted similarity agree too little to be a candidate.
 VERY_NEAR, LOST = 0.75, 1e-6
@@ -90,6 +94,7 @@ def picks(tokens: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> tuple[np.
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordBatch]:
+    """Each text's set as a key and a sketch, with the paths that it picks, those of the first run in front."""
     seeds = seeded_words(runs, 31)
     for batch in batches:
         keys, sizes, sketches = [], [], []
@@ -104,7 +109,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.Recor
         rows, paths = np.concatenate([of[i] for i, _ in found]), np.concatenate([p for _, p in found])
         order = np.argsort(rows, kind="stable")
         offsets = np.searchsorted(rows[order], np.arange(len(sketches) + 1)).astype(np.int32)
-        yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "set_key": pa.array(keys, pa.binary()), "size": pa.array(sizes, pa.int64()), "sketch": pa.array([s.tobytes() for s in sketches], pa.binary()), "paths": pa.ListArray.from_arrays(pa.array(offsets), pa.array(paths[order]))})
+        first_run = np.bincount(of[found[0][0]], minlength=len(sketches)).astype(np.int32)
+        yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "set_key": pa.array(keys, pa.binary()), "size": pa.array(sizes, pa.int64()), "sketch": pa.array([s.tobytes() for s in sketches], pa.binary()), "first_run": pa.array(first_run), "paths": pa.ListArray.from_arrays(pa.array(offsets), pa.array(paths[order]))})
 
 
 def _agree(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -115,7 +121,7 @@ def _agree(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return counts / np.maximum(a[:, None], b[None, :])
 
 
-def common(index: np.ndarray, left: list[int], right: list[int], columns: int = 8192) -> np.ndarray:
+def common(index: np.ndarray, left: list[int], right: list[int], columns: int = 2048) -> np.ndarray:
     """Sizes of intersections; ``index`` numbers the tokens of the sets of left, then right, one set after another."""
     rows = np.repeat(np.arange(len(left) + len(right)), [*left, *right])
     n, cut = len(left), int(sum(left))
@@ -133,97 +139,160 @@ def common(index: np.ndarray, left: list[int], right: list[int], columns: int =
     return out
 
 
-def _star(ids: np.ndarray, root: np.ndarray) -> pa.Table:
-    off = np.flatnonzero(ids != root)
-    return pa.table({"a": pa.array(ids[off], pa.int64()), "b": pa.array(root[off], pa.int64()), "path": pa.array([None] * len(off), pa.int64())})
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    off = np.flatnonzero(a != b)
+    none = pa.array([None] * len(off), pa.int64())
+    return pa.table({"a": pa.array(a[off], pa.int64()), "b": pa.array(b[off], pa.int64()), "path": none, "root": none})
+
+
+def _opened(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Nodes, roots (of what has none, the node itself as a negative number) and sketches."""
+    nodes = rows["node"].to_numpy()
+    roots = np.where(rows["root"].is_valid().to_numpy(zero_copy_only=False), rows["root"].fill_null(0).to_numpy(), -1 - nodes)
+    return nodes, roots, [np.frombuffer(x, np.uint32) for x in rows["sketch"].to_pylist()]
 
 
 def _small_bucket(rows: pa.Table, candidate: float) -> pa.Table:
-    ids, sketches = rows["rep"].to_numpy(), [np.frombuffer(x, np.uint32) for x in rows["sketch"].to_pylist()]
-    i, j = np.nonzero(np.triu(_agree(sketches, sketches) >= candidate, 1))
-    return _star(ids, local_roots(i, j, ids))
+    nodes, roots, sketches = _opened(rows)
+    near = (_agree(sketches, sketches) >= candidate) & (roots[:, None] != roots[None, :])
+    i, j = np.nonzero(np.triu(near, 1))
+    return _edges(nodes, local_roots(i, j, nodes))
 
 
-def _large_bucket(rows: pa.Table, last: bool, candidate: float) -> pa.Table:
-    """A tile of a bucket against the bucket's pivots; on the last level, against a whole tile of it."""
-    pivot = rows["pivot"].to_numpy(zero_copy_only=False).astype(bool)
-    ids, sketches = rows["rep"].to_numpy(), [np.frombuffer(x, np.uint32) for x in rows["sketch"].to_pylist()]
+def _large_bucket(rows: pa.Table, candidate: float, split: bool) -> pa.Table:
+    """A tile of a bucket against the bucket's pivots.
+
+    Where the pivots are all that isn't of the bucket's main group (``whole``), whatever agrees as a candidate joins, and that
+    settles the bucket. Else what is near a pivot joins the pivot's group, and what isn't very near one is split on.
+    """
+    pivot, whole = rows["pivot"].to_numpy(zero_copy_only=False).astype(bool), rows["whole"][0].as_py()
+    nodes, roots, sketches = _opened(rows)
     members, pivots = np.flatnonzero(~pivot), np.flatnonzero(pivot)
-    agree = _agree([sketches[i] for i in members], [sketches[i] for i in pivots]) if len(pivots) and len(members) else np.zeros((len(members), len(pivots)))
-    i, j = np.nonzero(agree >= (candidate if last else near_agreement(candidate)))
-    edges = _star(ids, local_roots(members[i], pivots[j], ids))
-    left = members[~(agree >= VERY_NEAR).any(axis=1)] if len(pivots) else members
-    if last or not len(left):
+    if not len(members):
+        return _edges(nodes[:0], nodes[:0])
+    agree = _agree([sketches[i] for i in members], [sketches[i] for i in pivots]) if len(pivots) else np.zeros((len(members), 0))
+    if whole:
+        i, j = np.nonzero((agree >= candidate) & (roots[members][:, None] != roots[pivots][None, :]))
+        return _edges(nodes, local_roots(members[i], pivots[j], nodes))
+    near = near_agreement(candidate)
+    # pivots near each other are one group; all tiles of a bucket see the same pivots
+    i, j = np.nonzero(_agree(*[[sketches[k] for k in pivots]] * 2) >= near) if len(pivots) else (pivots, pivots)
+    labels = local_roots(i, j, nodes[pivots])
+    i, j = np.nonzero(agree >= near)
+    joins = np.unique(np.stack([nodes[members[i]], labels[j]]), axis=1)
+    edges = _edges(*joins)
+    left = np.flatnonzero(~(agree >= VERY_NEAR).any(axis=1))
+    if not split or not len(left):
         return edges
-    tokens, lengths = np.concatenate([sketches[k] for k in left]), np.array([len(sketches[k]) for k in left])
+    root = roots[members[left]]
+    if len(pivots):
+        best = agree[left].argmax(axis=1)
+        root = np.where(agree[left, best] >= near, labels[best], root)
+    of_left = [sketches[members[k]] for k in left]
+    tokens, lengths = np.concatenate(of_left), np.array(list(map(len, of_left)))
     of = np.repeat(np.arange(len(left)), lengths)
-    path = rows["path"][0].as_py()
-    at, paths = picks(tokens, lengths[of], np.full(len(tokens), np.array(path, np.int64).view(np.uint64)))
-    return pa.concat_tables([edges, pa.table({"a": pa.array(ids[left[of[at]]], pa.int64()), "b": pa.array([None] * len(at), pa.int64()), "path": pa.array(paths, pa.int64())})])
+    at, paths = picks(tokens, lengths[of], np.full(len(tokens), np.array(rows["path"][0].as_py(), np.int64).view(np.uint64)))
+    more = root[of[at]]
+    split_on = pa.table({"a": pa.array(nodes[members[left[of[at]]]], pa.int64()), "b": pa.array([None] * len(at), pa.int64()), "path": pa.array(paths, pa.int64()), "root": pa.array(more, pa.int64(), mask=more < 0)})
+    return pa.concat_tables([edges, split_on])
+
+
+EDGES = "a long, b long, path long, root long"
+
+
+def _sizes(rows: DataFrame, least: int) -> DataFrame:
+    """path, n, main (root of the bucket's main group) and others (how many aren't of it) of the buckets in ``rows`` (node, path,
+    root) that have more than ``least`` rows and aren't of one group."""
+    shares = rows.groupBy("path", "root").agg(F.count("*").alias("n"))
+    main = F.max(F.when(F.col("root").isNotNull(), F.struct("n", "root")))
+    sizes = shares.groupBy("path").agg(F.sum("n").alias("n"), main.alias("main"))
+    sizes = sizes.select("path", "n", F.col("main.root").alias("main"), (F.col("n") - F.coalesce("main.n", F.lit(0))).alias("others"))
+    # written, so that the join with it is between plain shuffles and a hot bucket's rows can be dealt to several tasks
+    return materialize(sizes.filter((F.col("n") > least) & (F.col("others") > 0)), "buckets")
 
 
-def _bucket(last: bool, candidate: float) -> Callable[[pa.Table], pa.Table]:
-    return lambda rows: _large_bucket(rows, last, candidate)
+def _compare_large(large: DataFrame, sketches: DataFrame, small: int, candidate: float, split: bool) -> DataFrame:
+    """Edges, and rows for smaller buckets, of buckets of more than ``small``."""
+    large = large.withColumn("tiles", F.ceil(F.col("n") / small).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).join(sketches, "node")
+    whole = F.col("others") <= small
+    other = F.col("root").isNull() | (F.col("root") != F.col("main"))
+    drawn = F.pmod(F.xxhash64("node", "path"), F.lit(1 << 40)) < (F.lit(float(PIVOTS << 40)) / F.col("others"))
+    columns = ["path", "tile", "node", "root", "sketch", whole.alias("whole")]
+    pivots = large.filter(other & (whole | drawn)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    both = large.select(*columns, F.lit(False).alias("pivot")).unionByName(pivots.select(*columns, F.lit(True).alias("pivot")))
 
+    def compare(rows: pa.Table) -> pa.Table:
+        return _large_bucket(rows, candidate, split)
 
-EDGES = "a long, b long, path long"
+    return materialize(both.groupBy("path", "tile").applyInArrow(compare, EDGES), "candidates")
 
 
-def candidate_edges(sets: DataFrame, small: int = SMALL, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Star edges (a, b) between sets that may be similar; ``sets`` has rep, sketch and paths."""
-    sketches, candidate = sets.select("rep", "sketch"), least_agreement(similarity)
-    rows = sets.select("rep", F.explode("paths").alias("path"))
+def candidate_edges(sets: DataFrame, small: int = SMALL, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b), never all pairs of a group, between sets that may be similar; ``sets`` has node, sketch, first_run and paths.
+
+    First the large buckets of the first run are compared with pivots, and what they join into one group has a root:
+    buckets of one root have nothing left to find. So a group of near copies costs rows in proportion to it. All runs follow,
+    each large bucket splitting further until the rest is small.
+    """
+    sketches, candidate = sets.select("node", "sketch"), least_agreement(similarity)
     spark, found, used = sets.sparkSession, [], []
-    for level in range(depth + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+
+    def small_bucket(rows: pa.Table) -> pa.Table:
+        return _small_bucket(rows, candidate)
+
+    no_root = F.lit(None).cast("long").alias("root")
+    rows = sets.select("node", F.explode("paths").alias("path"), no_root)
+    sizes = _sizes(rows, 1)
+    used.append(sizes)
+    if not sizes.filter(F.col("n") > small).isEmpty():
+        first = sets.select("node", F.explode(F.slice("paths", F.lit(1), F.col("first_run"))).alias("path"), no_root)
+        out = _compare_large(first.join(sizes.filter(F.col("n") > small), "path"), sketches, small, candidate, split=False)
+        found.append(out.select("a", "b"))
+        groups = materialize(connected_components(found[0]), "groups")
+        rows = rows.drop("root").join(groups.select("node", F.col("component").alias("root")), "node", "left")
+        sizes = _sizes(rows, 1)
+        used += [out, groups, sizes]
+    while True:
         here = materialize(rows.join(sizes, "path"), "paths")
-        used.append(here)
-        few = here.filter(F.col("n") <= small).join(sketches, "rep").select("path", "rep", "sketch").groupBy("path").applyInArrow(lambda rows: _small_bucket(rows, candidate), EDGES)
-        found.append(materialize(few.select("a", "b"), "candidates"))
+        few = here.filter(F.col("n") <= small).join(sketches, "node").select("path", "node", "root", "sketch").groupBy("path").applyInArrow(small_bucket, EDGES)
+        few = materialize(few.select("a", "b"), "candidates")
+        used += [here, few]
+        found.append(few)
         large = here.filter(F.col("n") > small)
         if large.isEmpty():
             break
-        last = level == depth
-        large = large.withColumn("tiles", F.ceil(F.col("n") / small).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).join(sketches, "rep")
-        every = F.sequence(F.lit(0), F.col("tiles") - 1)
-        if last:
-            # what still shares all these picks is compared tile by tile, each against all of the bucket
-            pivots = large.withColumn("side", F.col("tile")).withColumn("tile", F.explode(every))
-            members = large.withColumn("side", F.explode(every))
-        else:
-            chosen = F.pmod(F.xxhash64("rep", "path"), F.lit(1 << 40)) < (F.lit(float(PIVOTS << 40)) / F.col("n"))
-            pivots = large.filter(chosen).withColumn("tile", F.explode(every)).withColumn("side", F.lit(0))
-            members = large.withColumn("side", F.lit(0))
-        columns = ["path", "tile", "side", "rep", "sketch"]
-        both = members.select(*columns, F.lit(False).alias("pivot")).unionByName(pivots.select(*columns, F.lit(True).alias("pivot")))
-        out = materialize(both.groupBy("path", "tile", "side").applyInArrow(_bucket(last, candidate), EDGES), "candidates")
+        out = _compare_large(large, sketches, small, candidate, split=True)
         used.append(out)
         found.append(out.filter("path is null").select("a", "b"))
-        rows = out.filter("path is not null").select(F.col("a").alias("rep"), "path")
+        rows = out.filter("path is not null").select(F.col("a").alias("node"), "path", "root")
+        sizes = _sizes(rows, 1)
+        used.append(sizes)
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
     edges = materialize(edges.distinct(), "candidates")
-    discard(spark, *used, found[0])
+    discard(spark, *used)
     return edges
 
 
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group and tile become one row for each tile, with its texts' sets."""
+    """Rows sorted by group, band and tile become one row for each tile, with its texts' sets."""
     key, held = None, []
 
     def packed() -> pa.RecordBatch:
+        group, band, tile = key
         sets = [s for *_, s in held]
-        return pa.record_batch({"group": pa.array([key[0]], pa.int64()), "tile": pa.array([key[1]], pa.int32()), "reps": pa.array([np.array([r for r, *_ in held], np.int64).tobytes()], pa.binary()), "counts": pa.array([np.array([c for _, c, _ in held], np.int64).tobytes()], pa.binary()), "sizes": pa.array([np.array(list(map(len, sets)), np.int64).tobytes()], pa.binary()), "tokens": pa.array([np.concatenate(sets).tobytes()], pa.binary())})
+        words = {"nodes": [x for x, *_ in held], "counts": [c for _, c, _ in held], "sizes": list(map(len, sets))}
+        return pa.record_batch({"group": pa.array([group], pa.int64()), "band": pa.array([band], pa.int32()), "tile": pa.array([tile], pa.int32()), **{k: pa.array([np.array(v, np.int64).tobytes()], pa.binary()) for k, v in words.items()}, "tokens": pa.array([np.concatenate(sets).tobytes()], pa.binary())})
 
     for batch in batches:
-        ids = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-        for (group, tile, rep, n), tokens in zip(ids, shingle_sets(batch.column(4)), strict=True):
-            if held and (group, tile) != key:
+        columns = (batch.column(i).to_pylist() for i in range(5))
+        for (group, band, tile, node, n), tokens in zip(zip(*columns, strict=True), shingle_sets(batch.column(5)), strict=True):
+            if held and (group, band, tile) != key:
                 yield packed()
                 held = []
-            key = (group, tile)
-            held.append((rep, n, tokens))
+            key = (group, band, tile)
+            held.append((node, n, tokens))
     if held:
         yield packed()
 
@@ -232,26 +301,50 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
-            same = row["tile"] == row["tile2"]
             sides = []
             for s in ("", "2"):
-                sides.append({c: np.frombuffer(row[c + s], t) for c, t in (("reps", np.int64), ("counts", np.int64), ("sizes", np.int64), ("tokens", np.uint64))})
+                sides.append({c: np.frombuffer(row[c + s], t) for c, t in (("nodes", np.int64), ("counts", np.int64), ("sizes", np.int64), ("tokens", np.uint64))})
             left, right = sides
             _, index = np.unique(np.concatenate([left["tokens"], right["tokens"]]), return_inverse=True)
             both = common(index, left["sizes"].tolist(), right["sizes"].tolist()).astype(np.float64)
             union = left["sizes"][:, None] + right["sizes"][None, :] - both
             i, j = np.nonzero(both >= similarity * union - 1e-9)
-            if same:
+            if (row["band"], row["tile"]) == (row["band2"], row["tile2"]):
                 i, j = i[i < j], j[i < j]
-                reps, counts = left["reps"], left["counts"]
+                nodes, counts = left["nodes"], left["counts"]
             else:
-                j = j + len(left["reps"])
-                reps, counts = (np.concatenate([left[c], right[c]]) for c in ("reps", "counts"))
-            links = np.zeros(len(reps), np.int64)
+                j = j + len(left["nodes"])
+                nodes, counts = (np.concatenate([left[c], right[c]]) for c in ("nodes", "counts"))
+            links = np.zeros(len(nodes), np.int64)
             np.add.at(links, i, counts[j])
             np.add.at(links, j, counts[i])
             some = np.flatnonzero(links)
-            yield pa.record_batch({"rep": reps[some], "links": links[some], "root": local_roots(i, j, reps)[some]})
+            yield pa.record_batch({"node": nodes[some], "links": links[some], "root": local_roots(i, j, nodes)[some]})
+
+
+def _links(sets: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """(node, links, root) of nodes in tiles that are linked: exact intersections within candidate groups.
+
+    Sets of a group are dealt into bands by size, so wide that similar sets are in the same band or in neighbouring ones,
+    and into tiles of a bounded number of sets and of tokens (a longer set is a tile of its own).
+    """
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log((1 + 1e-6) / min(similarity, 0.99))).cast("int")
+    sized = materialize(sets.join(groups, "node").select("group", band.alias("band"), "node", "n", "size", "doc_id", "key"), "sized")
+    tiles = sized.groupBy("group", "band").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("size") / TILE_TOKENS)).cast("int").alias("tiles")).filter("tiles > 1")
+    dealt = sized.join(materialize(tiles, "bands"), ["group", "band"], "left").withColumn("tile", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    # one row for each set: that of its smallest doc_id, so that no text that many documents have meets in one task
+    chosen = dealt.select("group", "band", "tile", "node", "n", "doc_id", "key")
+    rows = texts.join(chosen, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("group", "band", "tile", "node", "n", "text")
+    packed = rows.repartition("group", "band", "tile").sortWithinPartitions("group", "band", "tile", "node").mapInArrow(_tile, "group long, band int, tile int, nodes binary, counts binary, sizes binary, tokens binary")
+    packed = materialize(packed, "tiles")
+    names = packed.select("group", "band", "tile")
+    second = names.select("group", F.col("band").alias("band2"), F.col("tile").alias("tile2"), F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"))
+    pairs = names.join(second, ["group", "band"]).filter("band < band2 or tile <= tile2")
+    other = packed.select("group", F.col("band").alias("band2"), F.col("tile").alias("tile2"), *(F.col(c).alias(c + "2") for c in ("nodes", "counts", "sizes", "tokens")))
+    met = pairs.join(packed, ["group", "band", "tile"]).join(other, ["group", "band2", "tile2"])
+    found = materialize(met.mapInArrow(partial(_verify, similarity=similarity), "node long, links long, root long"), "links")
+    discard(sets.sparkSession, packed, sized)
+    return found
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, tile: int = TILE) -> DataFrame:
@@ -261,29 +354,26 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     documents linked directly, equal ones included, and class_id is the smallest doc_id that links reach. Words are
     runs of bytes other than ASCII white space, with A to Z as a to z; a text of one to four words has a single shingle.
     Texts without a word (null, empty) and rows without a doc_id link with nothing. Repeated rows count as further
-    documents. ``small`` and ``tile`` bound what one task compares at once. kept marks the document that stands for its class. An empty table gives no rows.
+    documents, and rows that share a doc_id link by their own texts. ``small`` and ``tile`` bound what one task compares at
+    once. kept marks the document that stands for its class. Other columns are not read. An empty table gives no rows.
     """
     key = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     run = partial(_sketches, runs=runs_needed(similarity, recall, sketch=SKETCH))
-    sketched = materialize(rows.mapInArrow(run, "doc_id long, key binary, set_key binary, size long, sketch binary, paths array<long>"), "sketches")
+    sketched = materialize(rows.mapInArrow(run, "doc_id long, key binary, set_key binary, size long, sketch binary, first_run int, paths array<long>"), "sketches")
     usable = sketched.filter("doc_id is not null and size > 0")
-    sets = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("key").alias("key"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "sets")
-    groups = connected_components(candidate_edges(sets, small, similarity=similarity)).withColumnsRenamed({"node": "rep", "component": "group"})
+    least = F.min(F.struct("doc_id", "key")).alias("least")
+    sets = usable.groupBy("set_key").agg(least, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "sketch", "first_run", "paths")))
+    sets = materialize(sets.select("*", "least.*", F.monotonically_increasing_id().alias("node")).drop("least"), "sets")
+    groups = connected_components(candidate_edges(sets, small, similarity)).withColumnRenamed("component", "group")
     groups = materialize(groups, "groups")
-    tiles = groups.groupBy("group").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    chosen = sets.select("rep", "n", "key").join(groups, "rep").join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int"))
-    texts = rows.select("key", "text").join(chosen.select("key", "group", "tile", "rep", "n"), "key").dropDuplicates(["key"])
-    dealt = texts.select("group", "tile", "rep", "n", "text").repartition("group", "tile").sortWithinPartitions("group", "tile", "rep")
-    packed = materialize(dealt.mapInArrow(_tile, "group long, tile int, reps binary, counts binary, sizes binary, tokens binary"), "tiles")
-    names = packed.select("group", "tile")
-    pairs = names.join(names.withColumnRenamed("tile", "tile2"), "group").filter("tile <= tile2")
-    second = packed.select("group", F.col("tile").alias("tile2"), *(F.col(c).alias(c + "2") for c in ("reps", "counts", "sizes", "tokens")))
-    met = pairs.join(packed, ["group", "tile"]).join(second, ["group", "tile2"])
-    found = materialize(met.mapInArrow(partial(_verify, similarity=similarity), "rep long, links long, root long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
-    known = sets.select("set_key", "rep", "n").join(links, "rep", "left").join(classes, "rep", "left")
+    found = _links(sets, groups, rows, similarity, tile)
+    discard(docs.sparkSession, groups)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = materialize(connected_components(found, "node", "root"), "classes")
+    lowest = classes.join(sets.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    classes = classes.join(lowest, "component").select("node", "class_id")
+    known = sets.select("set_key", "node", F.col("doc_id").alias("least_id"), "n").join(links, "node", "left").join(classes, "node", "left").drop("node")
     out = sketched.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("set_key")).alias("set_key")).join(known, "set_key", "left")
-    class_id = F.coalesce("component", "rep", "doc_id")
+    class_id = F.coalesce("class_id", "least_id", "doc_id")
     return out.select("doc_id", (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_links"), class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))

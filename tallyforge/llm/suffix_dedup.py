@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, seeded_words, shared_dir, shuffle_partitions
+from .common import delete_path, discard, materialize, mix64, seeded_words, shared_dir, shuffle_partitions
 
 LENGTH = 200
 #: A perfect difference set modulo 133 (every remainder but 0 is one difference of two members).
@@ -295,7 +295,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = texts.groupBy("key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("z").alias("z")).select("key", "copies", "n", "z")
     packed = texts.mapInArrow(_pack, "part long, keys binary, copies binary, lengths binary, z binary, size long")
     name = f"tallyforge_parts_{uuid.uuid4().hex}"
-    packed.write.bucketBy(shuffle_partitions(spark), "part").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
+    at = f"{shared_dir(spark)}/{name}"
+    packed.write.bucketBy(shuffle_partitions(spark), "part").option("path", at).option("compression", "none").saveAsTable(name)
     parts = spark.table(name)
     total = parts.agg(F.sum("size")).first()[0] or 0
     ranges = 1 + int(total * len(COVER) / V / RANGE_NAMES)
@@ -306,6 +307,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     three = _round(parts, 3, ranges)
     parts = parts.join(three.hint("merge"), "part", "left")
     found = materialize(parts.mapInArrow(_finish, "key binary, n_removed long, n_spans long, kept_sha256 string"), "removed")
-    discard(spark, spark.table(name), one, two, three)
+    discard(spark, one, two, three)
     spark.sql(f"DROP TABLE {name}")
+    delete_path(spark, at)
     return rows.select("doc_id", "key", "n_bytes").join(found, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
