@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import analytic, more, relational, scoring, texts
+from .plans import analytic, form, more, relational, scoring, texts
 from .plans.base import Query
 
-MODULES = [relational, analytic, scoring, texts, more]
+MODULES = [relational, analytic, scoring, texts, more, form]
 
 
 def queries() -> dict[str, Query]:
