@@ -63,3 +63,29 @@ def squad_errors(picks: DataFrame, squad: str, position: str, club: str, price:
 
 def legal_lineup(counts: dict[str, int]) -> bool:
     return sum(counts.values()) == 11 and all(a <= counts.get(p, 0) <= b for p, (a, b) in LINEUP.items())
+
+
+#: The legal line-ups of ten outfield players as (defenders, midfielders, forwards).
+FORMATIONS = tuple((d, m, 10 - d - m) for d in range(3, 6) for m in range(2, 6) if 1 <= 10 - d - m <= 3)
+
+
+def formation(position: Column) -> tuple[Column, Column]:
+    """Of the players in a group: the formation as text, and whether it is legal with its keeper."""
+    n = {p: F.count_if(position == p) for p in QUOTA}
+    text = F.concat_ws("-", *(n[p].cast("string") for p in ("DEF", "MID", "FWD")))
+    return text, (n["GK"] == 1) & text.isin(*("-".join(map(str, f)) for f in FORMATIONS))
+
+
+def effective_captain(captain: Column, captain_minutes: Column, vice: Column, vice_minutes: Column) -> Column:
+    """Who counts twice: the captain, or the vice where only the vice played."""
+    return F.when((F.coalesce(captain_minutes, F.lit(0)) == 0) & (F.coalesce(vice_minutes, F.lit(0)) > 0), vice).otherwise(captain)
+
+
+def expiry_severity(weeks_left: Column) -> Column:
+    return F.when(weeks_left <= 2, "critical").when(weeks_left <= 4, "high").otherwise("medium")
+
+
+def appearance_class(minutes: Column, started: Column) -> Column:
+    """0 didn't play, 1 came on, 2 started (or played an hour)."""
+    m = F.coalesce(minutes, F.lit(0))
+    return F.when(m == 0, 0).when((F.coalesce(started, F.lit(0)) > 0) | (m >= 60), 2).otherwise(1)

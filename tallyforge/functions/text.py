@@ -111,3 +111,93 @@ def parse_duration(c: Column) -> Column:
 
 def lenient_int(c: Column) -> Column:
     return c.try_cast("double").try_cast("int")
+
+
+def iso_timestamp(c: Column) -> Column:
+    """The instant of an ISO text in UTC; without an offset it is in UTC, and what can't be read is null."""
+    return F.try_to_timestamp(c).cast("timestamp_ntz")
+
+
+def season_start(season: Column) -> Column:
+    """2026 of "2026-27"; null if it isn't written so."""
+    return F.when(season.rlike(r"^\d{4}-\d{2}$"), F.split_part(season, F.lit("-"), F.lit(1)).try_cast("int"))
+
+
+def season_name(year: Column) -> Column:
+    return F.concat_ws("-", year.cast("string"), F.lpad((year + 1 - F.floor((year + 1) / 100) * 100).cast("int").cast("string"), 2, "0"))
+
+
+def money(c: Column) -> Column:
+    """Whole units of a price such as €1.2m or £300k; null if there is none."""
+    number = F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)?)\s*([mk]?)", 1).try_cast("double")
+    unit = F.lower(F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)?)\s*([mkMK]?)", 2))
+    return F.round(number * F.when(unit == "m", 1_000_000).when(unit == "k", 1_000).otherwise(1)).cast("long")
+
+
+def name_variants(first: Column, last: Column, web: Column, full: Column) -> Column:
+    """The distinct normal forms under which a name may be found, sorted; nulls and empty ones are left out."""
+    both = F.concat_ws(" ", first, last)
+    initial = F.when((F.length(first) > 0) & (F.length(last) > 0), F.concat_ws(" ", F.substring(first, 1, 1), last))
+    forms = F.array(*(normal_name(c) for c in (full, web, last, both, initial)))
+    return F.array_sort(F.array_distinct(F.filter(forms, lambda x: x.isNotNull() & (x != ""))))
+
+
+#: Keys that change on every fetch without the content meaning anything else.
+VOLATILE = ("now", "timestamp", "fetched_at", "request_id", "requestId", "server_time", "last_updated", "lastUpdated", "generated_at", "etag", "cache_key", "ts")
+
+
+def _canonical(payload: str | None) -> str | None:
+    import json
+
+    def settled(x):
+        if isinstance(x, dict):
+            return {k: settled(v) for k, v in x.items() if k not in VOLATILE}
+        return [settled(v) for v in x] if isinstance(x, list) else x
+
+    try:
+        found = json.loads(payload)
+    except (TypeError, ValueError):
+        return None
+    return json.dumps(settled(found), sort_keys=True, separators=(",", ":")) if isinstance(found, (dict, list)) else None
+
+
+@F.pandas_udf(StringType())
+def canonical_json(payloads: pd.Series) -> pd.Series:
+    """JSON objects and arrays with sorted keys and without volatile ones, at any depth; null for all else."""
+    return payloads.map(_canonical)
+
+
+def payload_hash(payload: Column) -> Column:
+    """SHA-256 of what a payload says: of its canonical JSON, or of its text as in ``content_hash``."""
+    canonical = canonical_json(payload)
+    return F.when(canonical.isNotNull(), F.sha2(canonical, 256)).otherwise(content_hash(payload))
+
+
+def deep_link(url: Column, seconds: Column) -> Column:
+    """A link to a place in a video, in whole seconds."""
+    return F.concat(url, F.when(F.contains(url, F.lit("?")), "&t=").otherwise("?t="), F.floor(seconds).cast("long").cast("string"), F.lit("s"))
+
+
+def int_range(c: Column) -> tuple[Column, Column]:
+    """Both ends of "3-7"; a single number is both, and what can't be read is null."""
+    low, high = (F.trim(F.split_part(c, F.lit("-"), F.lit(i))).try_cast("int") for i in (1, 2))
+    single = ~F.contains(c, F.lit("-"))
+    return F.when(single | high.isNotNull(), low), F.when(single, low).otherwise(F.when(low.isNotNull(), high))
+
+
+def salvaged_json(text: Column) -> Column:
+    """The JSON of a talkative answer: what a fence holds, else from the first brace to the last; null if it can't be parsed."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    found = F.when(fenced != "", fenced).otherwise(F.when(braces != "", braces))
+    return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
+def field_kind(c: Column) -> Column:
+    """What a setting written as text holds: boolean, integer, number, list, object or text."""
+    return F.when(c.rlike("^(true|false)$"), "boolean").when(c.rlike("^-?[0-9]+$"), "integer").when(c.rlike(r"^-?[0-9]*\.[0-9]+$"), "number").when(c.rlike(r"^\["), "list").when(c.rlike(r"^\{"), "object").otherwise("text")
+
+
+def redacted(name: Column, value: Column) -> Column:
+    """The value of a setting, masked where its name says that it is a secret."""
+    return F.when(F.lower(name).rlike("(key|token|secret|password|cookie)"), F.when(F.coalesce(value, F.lit("")) != "", "***").otherwise("")).otherwise(value)
