@@ -22,34 +22,32 @@ from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import split_texts
+from .pieces import Recent, split_texts
 
-#: Pieces that a Python worker remembers before it starts afresh; characters of text that it splits at a time.
-CACHED_PIECES = 200_000
+#: Characters of text that a worker splits at a time.
 GROUP_CHARS = 2_000_000
 MEMORY = "400MB"
 
 #: Pieces of more bytes are long.
 LONG = 96
 
+#: ``start`` has a row for each position of a piece, ``words`` each piece's byte tokens in order. A merge's rank is its token's id.
 ENCODE = """
-WITH RECURSIVE first AS (
-  SELECT s.piece, s.pos, s.tok, coalesce(m.rank, 2147483647) AS rank
-  FROM (SELECT *, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS next_tok FROM start) s
-  LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next_tok
-), step(piece, toks, ranks, low) AS (
+WITH RECURSIVE step(piece, toks, ranks, low) AS (
   -- ranks[i] is the rank of the pair that begins at i, so the last one never merges
-  SELECT piece, list(tok ORDER BY pos), list(rank ORDER BY pos), min(rank) FROM first GROUP BY piece
+  SELECT w.piece, w.toks, r.ranks, r.low FROM words w JOIN (
+    SELECT s.piece, list(coalesce(m.rank, 2147483647) ORDER BY s.pos) AS ranks, coalesce(min(m.rank), 2147483647) AS low
+    FROM start s LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next_tok GROUP BY s.piece
+  ) r ON r.piece = w.piece
   UNION ALL
   SELECT piece, toks, ranks, list_min(ranks) FROM (
     SELECT p.piece,
-           toks[:nth - 1] || [m.merged] || toks[nth + 2:] AS toks,
+           toks[:nth - 1] || [low] || toks[nth + 2:] AS toks,
            CASE WHEN nth > 1 THEN ranks[:nth - 2] || [coalesce(l.rank, 2147483647)] ELSE [] END
              || [coalesce(r.rank, 2147483647)] || ranks[nth + 2:] AS ranks
     FROM (SELECT *, list_position(ranks, low) AS nth FROM step WHERE low < 2147483647) p
-    JOIN merges m ON m.a = p.toks[nth] AND m.b = p.toks[nth + 1]
-    LEFT JOIN merges l ON l.a = p.toks[nth - 1] AND l.b = m.merged
-    LEFT JOIN merges r ON r.a = m.merged AND r.b = p.toks[nth + 2]
+    LEFT JOIN merges l ON l.a = p.toks[nth - 1] AND l.b = low
+    LEFT JOIN merges r ON r.a = low AND r.b = p.toks[nth + 2]
   )
 )
 SELECT piece, toks FROM step WHERE low = 2147483647
@@ -61,7 +59,7 @@ WITH RECURSIVE step(piece, pos, tok, live) AS (
   UNION ALL
   (
   WITH pair AS (
-    SELECT s.piece, s.pos, s.tok, m.rank, m.merged,
+    SELECT s.piece, s.pos, s.tok, m.rank,
            row_number() OVER w AS nth, lead(s.pos) OVER w AS next_pos
     FROM (SELECT *, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS next_tok FROM step WHERE live) s
     LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next_tok
@@ -70,10 +68,10 @@ WITH RECURSIVE step(piece, pos, tok, live) AS (
     SELECT *, min(rank) OVER (PARTITION BY piece) AS low FROM pair
   ), hit AS (
     -- neighbouring hits (as in aaa) form runs; every other one of a run merges, from its left
-    SELECT piece, pos, next_pos, merged, row_number() OVER (PARTITION BY piece, run ORDER BY nth) % 2 = 1 AS merges
+    SELECT piece, pos, next_pos, rank, row_number() OVER (PARTITION BY piece, run ORDER BY nth) % 2 = 1 AS merges
     FROM (SELECT *, nth - row_number() OVER (PARTITION BY piece ORDER BY nth) AS run FROM least WHERE rank = low)
   )
-  SELECT l.piece, l.pos, coalesce(h.merged, l.tok), l.low IS NOT NULL
+  SELECT l.piece, l.pos, coalesce(h.rank, l.tok), l.low IS NOT NULL
   FROM least l
   LEFT JOIN hit h ON h.piece = l.piece AND h.pos = l.pos AND h.merges
   LEFT JOIN hit g ON g.piece = l.piece AND g.next_pos = l.pos AND g.merges
@@ -88,13 +86,16 @@ SELECT i.seq, string_agg(v.hex, '' ORDER BY i.pos) AS hex
 FROM ids i JOIN vocab v ON v.id = i.id GROUP BY i.seq
 """
 
-#: What is kept of encoded pieces: ids as text, their number, and the bytes that they decode to.
+#: What is kept of encoded pieces: ids as text, and the bytes that they decode to. With one thread, an aggregate takes rows in
+#: the order of its input, which is sorted once and not group by group.
 DIGEST = """
-SELECT e.piece, array_to_string(e.toks, ' ') AS ids, len(e.toks) AS n, d.raw
+SELECT e.piece, array_to_string(e.toks, ' ') AS ids, d.raw
 FROM encoded e JOIN (
-  SELECT i.piece, from_hex(string_agg(v.hex, '' ORDER BY i.pos)) AS raw
-  FROM (SELECT piece, unnest(toks) AS id, generate_subscripts(toks, 1) AS pos FROM encoded) i
-  JOIN vocab v ON v.id = i.id GROUP BY i.piece
+  SELECT piece, from_hex(string_agg(hex, '')) AS raw FROM (
+    SELECT i.piece, i.pos, v.hex
+    FROM (SELECT piece, unnest(toks) AS id, generate_subscripts(toks, 1) AS pos FROM encoded) i
+    JOIN vocab v ON v.id = i.id ORDER BY i.piece, i.pos
+  ) GROUP BY piece
 ) d ON d.piece = e.piece
 """
 
@@ -110,12 +111,12 @@ class DuckBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        merges: dict[str, list[int]] = {"a": [], "b": [], "rank": [], "merged": []}
+        merges: dict[str, list[int]] = {"a": [], "b": [], "rank": []}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    for column, value in zip(merges.values(), (a, b, rank, rank), strict=True):
+                    for column, value in zip(merges.values(), (a, b, rank), strict=True):
                         column.append(value)
         vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
         self._load("merges", pa.table({k: pa.array(v, pa.int32()) for k, v in merges.items()}))
@@ -138,9 +139,12 @@ class DuckBpe:
         self.db.execute("CREATE OR REPLACE TABLE encoded (piece INTEGER, toks INTEGER[])")
         for query, some in ((ENCODE, [i for i, p in enumerate(pieces) if len(p) <= LONG]), (ENCODE_LONG, [i for i, p in enumerate(pieces) if len(p) > LONG])):
             if some:
-                number, pos = self._positions([len(pieces[i]) for i in some])
+                sizes = [len(pieces[i]) for i in some]
+                number, pos = self._positions(sizes)
                 tok = self.byte_ids[np.frombuffer(b"".join([pieces[i] for i in some]), np.uint8)]
-                self._load("start", pa.table({"piece": np.array(some, np.int32)[number], "pos": pos, "tok": tok}))
+                next_tok = np.append(np.where(number[1:] == number[:-1], tok[1:], -1), -1).astype(np.int32)
+                self._load("start", pa.table({"piece": np.array(some, np.int32)[number], "pos": pos, "tok": tok, "next_tok": next_tok}))
+                self._load("words", pa.table({"piece": np.array(some, np.int32), "toks": pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), tok)}))
                 self.db.execute(f"INSERT INTO encoded {query}")
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
@@ -148,8 +152,8 @@ class DuckBpe:
         self._encode(pieces)
         return [ids for (ids,) in self.db.execute("SELECT toks FROM encoded ORDER BY piece").fetchall()]
 
-    def digest(self, pieces: list[bytes]) -> Iterator[tuple[int, str, int, bytes]]:
-        """(place, ids as text, their number, decoded bytes) of each piece, in any order."""
+    def digest(self, pieces: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
+        """(place, ids as text, decoded bytes) of each piece, in any order."""
         self._encode(pieces)
         got = self.db.sql(DIGEST).to_arrow_table()
         return zip(*(c.to_pylist() for c in got.columns), strict=True)
@@ -165,23 +169,19 @@ class DuckBpe:
 
 
 class PieceTable:
-    """What a worker knows of pieces: ids as text, how many, and the bytes that decoding the ids gave."""
+    """What a worker knows of pieces: (ids as text, the bytes that decoding the ids gave)."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.bpe = DuckBpe(ranks)
-        self.ids: dict[str, str] = {}
-        self.n: dict[str, int] = {}
-        self.decoded: dict[str, bytes] = {}
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.ids) > CACHED_PIECES:
-            for known in (self.ids, self.n, self.decoded):
-                known.clear()
-        new = [p for p in pieces if p not in self.ids]
-        if new:
-            for i, ids, n, raw in self.bpe.digest([p.encode() for p in new]):
-                p = new[i]
-                self.ids[p], self.n[p], self.decoded[p] = ids, n, raw
+        self.bpe, self.known = DuckBpe(ranks), Recent()
+
+    def learn(self, pieces: set[str]) -> dict[str, tuple[str, bytes]]:
+        new = self.known.missing(pieces)
+        raw = [p.encode() for p in new]
+        for i, ids, decoded in self.bpe.digest(raw) if new else ():
+            if decoded != raw[i]:
+                raise ValueError(f"{raw[i]!r} decodes to {decoded!r}")
+            self.known.now[new[i]] = ids, decoded
+        return self.known.now
 
 
 _TABLES: dict[str, PieceTable] = {}
@@ -222,12 +222,13 @@ def _rows(batches: Iterator[pa.RecordBatch], ranks_path: str, ranks, pattern: st
         counts, ids, shas, back = [], [], [], []
         for group in text_groups(batch.column(1)):
             split_group = split(group)
-            known.learn(set().union(*split_group))
+            of = known.learn(set().union(*split_group)).__getitem__
             for pieces in split_group:
-                joined = " ".join(map(known.ids.__getitem__, pieces))
-                counts.append(sum(map(known.n.__getitem__, pieces)))
+                texts, decoded = zip(*map(of, pieces), strict=True) if pieces else ((), ())
+                joined = " ".join(texts)
+                counts.append(joined.count(" ") + 1 if pieces else 0)
                 shas.append(hashlib.sha256(joined.encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join(map(known.decoded.__getitem__, pieces))).hexdigest())
+                back.append(hashlib.sha256(b"".join(decoded)).hexdigest())
                 if full:
                     ids.append([int(x) for x in joined.split()])
         more = {"ids": pa.array(ids, pa.list_(pa.int32()))} if full else {}

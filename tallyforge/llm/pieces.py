@@ -7,11 +7,15 @@ characters, so they are found with array operations; ``split_texts`` equals the
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
 import regex
 
+#: Pieces that a Python worker remembers in each of two generations.
+GENERATION = 120_000
+
 LETTER, NUMBER, OTHER, WHITE, BREAK = range(5)
 #: What follows the apostrophe of a contraction.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -76,3 +80,26 @@ def split_texts(texts: list[str]) -> list[list[str]]:
         out.append(pieces[first:last])
         first = last + 1
     return out
+
+
+class Recent:
+    """What is known of the pieces met lately: those of the present generation and of the one before.
+
+    What is used goes on to the present generation, so common pieces stay known and rare ones are forgotten.
+    """
+
+    def __init__(self, most: int = GENERATION):
+        self.most, self.now, self.before = most, {}, {}
+
+    def missing(self, pieces: Iterable[str]) -> list[str]:
+        """The pieces to add to ``now``; afterwards all of ``pieces`` are to be found there."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        out = []
+        for p in pieces:
+            if p not in self.now:
+                if p in self.before:
+                    self.now[p] = self.before[p]
+                else:
+                    out.append(p)
+        return out
