@@ -22,9 +22,9 @@ from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHED_PIECES, text_groups
+from .bpe import text_groups
 from .common import shuffle_partitions, write_table
-from .pieces import split_texts
+from .pieces import Recent, split_texts
 
 MAGIC, BLOCK, LEVEL, GROUP_CHARS = b"TFBP", 1 << 16, 3, 1_000_000
 HEAD = "<4sIB"
@@ -62,8 +62,8 @@ def byte_letters() -> dict[int, int]:
 class Encoder:
     """The tokenizers library over texts, as little-endian ids.
 
-    With a plain byte-level tokenizer the library's merges run once for each distinct piece of the pattern; any other
-    tokenizer encodes whole texts.
+    With a plain byte-level tokenizer the library's merges run once for each distinct piece of the pattern. Any other
+    tokenizer encodes whole texts, as does any tokenizer a text that holds one of its added tokens.
     """
 
     def __init__(self, tokenizer_path: str, pattern: str):
@@ -72,23 +72,23 @@ class Encoder:
 
         with open(tokenizer_path, encoding="utf-8") as f:
             self.tokenizer = Tokenizer.from_str(f.read())
-        self.tokenizer.encode_special_tokens = True
         before = self.tokenizer.pre_tokenizer
         self.by_piece = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and self.tokenizer.normalizer is None and pattern == PATTERN
-        self.merge, self.letters, self.known = self.tokenizer.model.tokenize, byte_letters(), {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge, self.letters, self.known = self.tokenizer.model.tokenize, byte_letters(), Recent()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        if not self.by_piece:
-            yield from (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-            return
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        known, pieces = self.known, split_texts(texts)
-        for piece in set().union(*pieces):
-            if piece not in known:
-                known[piece] = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        for p in pieces:
-            yield b"".join(map(known.__getitem__, p))
+        apart = [i for i, t in enumerate(texts) if not self.by_piece or any(x in t for x in self.added)]
+        found = dict(zip(apart, self.whole([texts[i] for i in apart]) if apart else [], strict=True))
+        pieces = split_texts([t for i, t in enumerate(texts) if i not in found])
+        for piece in self.known.missing(set().union(*pieces)):
+            self.known.now[piece] = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        of, rest = self.known.now.__getitem__, iter(pieces)
+        for i in range(len(texts)):
+            yield found[i] if i in found else b"".join(map(of, next(rest)))
 
 
 #: A block with its place and its documents: their ids, how many of the block's ids each has, and the start of the first within the shard.
