@@ -32,8 +32,11 @@ CONTEXT = {
     "ssn": ("ssn", "social security", "taxpayer"),
     "tel": ("call", "phone", "tel", "mobile", "telefon", "téléphone", "teléfono"),
 }
+#: Words near a span that speak against a kind.
+AGAINST = {"iban": (), "ssn": ("order", "invoice", "isbn", "serial", "ticket"), "tel": ("order", "invoice", "isbn", "serial", "ticket")}
 SCORE = {"iban": 0.4, "ssn": 0.3, "tel": 0.3}
-VALID_BONUS, CONTEXT_BONUS, NEEDED, NEAR = 0.4, 0.4, 0.7, 48
+VALID_BONUS, CONTEXT_BONUS, AGAINST_LOSS, NEEDED, NEAR = 0.4, 0.4, 0.2, 0.7, 48
+WORD = re.compile(r"\w+")
 DIGITS = str.maketrans("", "", " ().-")
 
 
@@ -97,6 +100,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def nearby(text: str, start: int, end: int) -> str:
+    """The whole words that begin and end within NEAR characters of a span, in lower case, with a space around each."""
+    low, high = max(0, start - NEAR), min(len(text), end + NEAR)
+    while low and low < start and WORD.match(text[low - 1 : low]):
+        low += 1
+    while high < len(text) and high > end and WORD.match(text[high : high + 1]):
+        high -= 1
+    return f" {' '.join(WORD.findall(text[low:start].lower()))} | {' '.join(WORD.findall(text[end:high].lower()))} "
+
+
 def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
     """Further spans whose score, from validator and nearby words, is high enough."""
     spans = []
@@ -115,8 +128,9 @@ def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
                 valid = m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"
                 if not valid:
                     continue
-            near = text[max(0, m.start() - NEAR) : m.end() + NEAR].lower()
-            score = SCORE[kind] + VALID_BONUS * (kind == "iban") + CONTEXT_BONUS * any(w in near for w in CONTEXT[kind])
+            near = nearby(text, *m.span())
+            speaks = lambda words: any(f" {w} " in near for w in words)
+            score = SCORE[kind] + VALID_BONUS * (kind == "iban") + CONTEXT_BONUS * speaks(CONTEXT[kind]) - AGAINST_LOSS * speaks(AGAINST[kind])
             if score >= NEEDED:
                 spans.append((kind, *m.span(), score))
     return spans
