@@ -21,6 +21,8 @@ from .common import materialize, seeded_words, utf8_views
 
 GEAR = (seeded_words(256, 9) >> np.uint64(32)).astype(np.uint32)
 LEAST, MEAN_BITS, MOST = 1024, 12, 32768
+#: Digests of several contents that the driver takes; with more of them, digests of twice the length are used.
+MOST_UNSAFE = 10_000
 
 
 def chunk_ends(data: np.ndarray) -> list[int]:
@@ -90,11 +92,18 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     time, and each repeat of the largest id is marked kept. Null doc_ids are smaller than any other. Other columns
     are not read. An empty table gives no rows. Chunks whose digest isn't unique take part with their bytes.
     """
-    unsafe = frozenset(bytes(r.digest) for r in unverified_digests(docs, text, digest_bytes).collect())
+    while True:
+        found = unverified_digests(docs, text, digest_bytes).limit(MOST_UNSAFE + 1).collect()
+        if len(found) <= MOST_UNSAFE:
+            break
+        digest_bytes *= 2
+    unsafe = frozenset(bytes(r.digest) for r in found)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.mapInArrow(partial(_recipe_rows, size=digest_bytes, unsafe=unsafe), "doc_id long, recipe array<binary>, text_sha256 string")
     rows = materialize(rows, "recipes")
     groups = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter("n > 1")
+    # written, so that the join is between plain shuffles and a very large group's rows can be dealt to several tasks
+    groups = materialize(groups, "groups")
     return rows.join(groups, "recipe", "left").select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("last")).alias("keep_id"),
