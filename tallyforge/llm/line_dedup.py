@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import free_name, materialize
 
 WINDOW = 3
 
@@ -41,11 +41,12 @@ def repeated_positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), F.col(text).alias("text"))
     rows = materialize(rows.mapInArrow(partial(_windows, window=window), "doc_id long, text_key long, pos int, a long, b long"), "windows")
     first = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = rows.join(first, ["a", "b"])
+    # written, so that the join is between plain shuffles and a very common window's rows can be dealt to several tasks
+    again = rows.join(materialize(first, "first"), ["a", "b"])
     return again.filter(~F.struct("doc_id", "text_key", "pos").eqNullSafe(F.col("first"))).select("doc_id", "text_key", "pos")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], text: str, window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], text: str, window: int, names: list[str], counts: list[str]) -> Iterator[pa.RecordBatch]:
     """Texts without their covered lines; the last column has the places of later windows, or null."""
     for batch in batches:
         texts, places = batch.column(batch.schema.get_field_index(text)), batch.column(batch.num_columns - 1)
@@ -57,22 +58,23 @@ def _cut(batches: Iterator[pa.RecordBatch], text: str, window: int, names: list[
             lines = texts[i].as_py().split("\n")
             removed[i] = len(covered)
             changed.append("\n".join([x for k, x in enumerate(lines) if k not in covered]))
-        new = {text: pc.replace_with_mask(texts, hit, pa.array(changed, texts.type)), "n_lines": n_lines.cast(pa.int64()), "n_removed": pa.array(removed)}
+        new = {text: pc.replace_with_mask(texts, hit, pa.array(changed, texts.type)), **dict(zip(counts, (n_lines.cast(pa.int64()), pa.array(removed)), strict=False))}
         yield pa.record_batch([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_counts: bool = True) -> DataFrame:
     """``docs`` with the lines of later occurrences of repeated windows taken out of ``text``.
 
-    Adds n_lines and n_removed (replacing columns of these names). A line goes when any later occurrence
+    Adds n_lines and n_removed (replacing columns of these names), or nothing without ``with_counts``. A line goes when any later occurrence
     covers it. Texts of fewer than ``window`` lines stay as they are, null too (0 lines). Rows repeated with
     the same doc_id and text count as one document for positions; both keep what it keeps. Rows whose lines all go
     stay, with an empty text. An empty table gives no rows.
     """
-    gone = repeated_positions(docs, doc_id, text, window).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "__gone")
-    keys = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__of": F.xxhash64(F.coalesce(text, F.lit("")))})
-    both = keys.join(gone, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__key")), "left").select(*docs.columns, "__gone")
-    counts = ["n_lines", "n_removed"]
+    places, of_doc, of_text, here, this = (free_name(docs, f"__{name}") for name in ("gone", "doc", "key", "id", "of"))
+    gone = repeated_positions(docs, doc_id, text, window).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias(places))
+    gone = gone.select(F.col("doc_id").alias(of_doc), F.col("text_key").alias(of_text), places)
+    keys = docs.withColumns({here: F.col(doc_id).cast("long"), this: F.xxhash64(F.coalesce(text, F.lit("")))})
+    both = keys.join(gone, F.col(here).eqNullSafe(F.col(of_doc)) & (F.col(this) == F.col(of_text)), "left").select(*docs.columns, places)
+    counts = ["n_lines", "n_removed"] if with_counts else []
     schema = T.StructType([f for f in docs.schema if f.name not in counts] + [T.StructField(c, T.LongType()) for c in counts])
-    return both.mapInArrow(partial(_cut, text=text, window=window, names=schema.names), schema)
+    return both.mapInArrow(partial(_cut, text=text, window=window, names=schema.names, counts=counts), schema)
