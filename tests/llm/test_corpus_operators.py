@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm.bitplane import crc32_joined, pack_block, read_index, read_segments, unpack_block, write_ids
 from tallyforge.llm.bpe import DuckBpe, bpe_decode, bpe_encode, read_ranks
@@ -115,6 +116,39 @@ def test_ngram_join_finds_long_contained_texts(spark):
     assert {(r.doc_id, r.n_links, r.class_id) for r in ngram_join(docs).collect()} == {(i, 1, i - i % 2) for i in range(2 * want)}
 
 
+def test_ngram_join_with_repeated_ids_and_empty_table(spark, empty):
+    rng = random.Random(5)
+    a, b = words(rng, 60, 10**6), words(rng, 60, 10**6)
+    edit = lambda t: " ".join([*t.split()[:-1], "x"])
+    df = spark.createDataFrame([(1, a), (2, edit(a)), (1, b), (3, edit(b))], "doc_id long, text string")
+    assert Counter(map(tuple, ngram_join(df).collect())) == Counter([(1, 1, 1, True), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 1, False)])
+    assert ngram_join(empty).count() == 0
+
+
+def test_ngram_join_of_a_large_group(spark):
+    """Copies of one text with some words changed in each, in buckets far over the limit, against exact sets; some copies are
+    changed too much to be near any pivot."""
+    rng = random.Random(12)
+    base = words(rng, 60, 10**6).split()
+    texts = []
+    for i in range(420):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 9, 14])):
+            copy[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    links, root = [0] * len(sets), list(range(len(sets)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        links[i] += 1
+        links[j] += 1
+    for _ in sets:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small=40, tile=64).collect()}
+    assert sum(links) > 1000 and got == {i: (links[i], root[i]) for i in range(len(sets))}
+
+
 def test_large_bucket_keeps_neighbours_of_what_a_pivot_settles():
     """1 is settled by the pivot 0; 2 is like 1 but just less near the pivot, and must join their group."""
     cut = least_agreement(0.8)
@@ -123,8 +157,8 @@ def test_large_bucket_keeps_neighbours_of_what_a_pivot_settles():
     like = np.concatenate([settled[gone:], np.arange(1000, 1000 + gone)])
     assert len(np.intersect1d(settled, like)) == cut * SKETCH
     rows = [(0, pivot, True), (0, pivot, False), (1, settled, False), (2, like, False)]
-    table = pa.table({"path": [5] * 4, "rep": [r for r, *_ in rows], "sketch": [s.astype(np.uint32).tobytes() for _, s, _ in rows], "pivot": [p for *_, p in rows]})
-    edges = _large_bucket(table, False, cut).to_pylist()
+    table = pa.table({"path": [5] * 4, "tile": [0] * 4, "node": [r for r, *_ in rows], "root": pa.array([None] * 4, pa.int64()), "sketch": [s.astype(np.uint32).tobytes() for _, s, _ in rows], "whole": [False] * 4, "pivot": [p for *_, p in rows]})
+    edges = _large_bucket(table, cut, True).to_pylist()
     assert {(e["a"], e["b"]) for e in edges if e["path"] is None} == {(1, 0), (2, 0)}
     assert runs_needed(0.8, 0.999, sketch=SKETCH) >= runs_needed(0.8, 0.999)
 
@@ -149,6 +183,11 @@ def test_pii(spark, empty):
         want = base_pii(t or "")
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest(), t
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(w[0] == k for w in want) for k in ("email", "ip", "card", "phone")]
+    words_near = ["The hotel desk 555-123-4567", "basically 555-123-4567", "order ticket tel 555-123-4567", "tel 555-123-4567"]
+    near = [r.spans for r in find_pii(spark.createDataFrame(list(enumerate(words_near)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert near == ["", "", "", "tel:4:16"]
+    twice = spark.createDataFrame([(1, "a@b.c", 5, "x"), (1, "a@b.c", 5, "x")], "doc_id long, text string, n_email long, spans string")
+    assert [tuple(r)[:2] for r in find_pii(twice).collect()] == [(1, 1)] * 2
     more = ["IBAN DE89370400440532013000 please", "DE89370400440532013001", "my ssn is 123-45-6789", "123-45-6789", "call 555-123-4567 now"]
     spans = [r.spans for r in find_pii(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert spans == ["iban:5:27", "", "ssn:10:21", "", "tel:5:17"]
@@ -173,12 +212,25 @@ def test_line_dedup(docs, rows, empty):
     assert Counter(map(tuple, got.select("doc_id", "text", "n_removed", "kept").collect())) == want
     assert sum(k[2] for k in want) >= 5
     assert line_dedup(empty).count() == 0
-
-
-def test_targets_and_flow():
-    target = source_targets({"a": 10, "b": 100, None: 50})
-    assert target["a"] == 20 and abs(sum(target.values()) - 240) < 1e-9
-    assert target["b"] / target[None] == pytest.approx(2)
+    clash = docs.withColumns({c: F.lit(9) for c in ("__gone", "__doc", "__key", "__id", "__of", "n_lines")})
+    cut = line_dedup(clash, with_counts=False)
+    assert cut.columns == clash.columns
+    assert Counter((r.doc_id, r.text) for r in cut.filter("n_lines = 9 and __gone = 9").collect()) == Counter(k[:2] for k in want.elements())
+
+
+def test_targets_and_flow(spark):
+    sources = spark.createDataFrame([("0a", 10), ("0b", 100), ("1", 50)], "source string, size long")
+    target = {r.source: r.target for r in source_targets(sources).collect()}
+    assert target["0a"] == 20 and abs(sum(target.values()) - 240) < 1e-9
+    assert target["0b"] / target["1"] == pytest.approx(2)
+    many = [(f"{i:05}", 1 + i * i % 97) for i in range(3000)]
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame(many, "source string, size long").repartition(5)).collect()}
+    weight, open_, left, want = {s: (5.0, 2.0, 1.0)[i % 3] for i, (s, _) in enumerate(many)}, dict(many), 1.5 * sum(n for _, n in many), {}
+    while over := [s for s in open_ if left / sum(weight[x] for x in open_) * weight[s] > 2 * open_[s]]:
+        want |= {s: 2.0 * open_.pop(s) for s in over}
+        left = 1.5 * sum(n for _, n in many) - sum(want.values())
+    want |= {s: left / sum(weight[x] for x in open_) * weight[s] for s in open_}
+    assert got == pytest.approx(want)
     flow = route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 18, "b": 12})
     assert sum(flow.values()) == pytest.approx(30) and all(x <= 20 for x in flow.values())
     # a word is used again only where the first uses are spent
@@ -203,8 +255,15 @@ def test_mix(spark, docs, rows, empty):
         target[name[r.doc_id]] = r.target
     assert all(abs(taken[s] - target[s]) <= 40 for s in target)
     assert sum(r.copies for r in plan) == mixed_rows(df).count()
-    overlap = spark.createDataFrame([(i, "a b c", ["p", "q"] if i % 3 else ["p"]) for i in range(90)], "doc_id long, text string, source array<string>")
-    assert sum(r.taken for r in mix(overlap, weights=(1.0,)).collect()) <= 2 * 270
+    overlap = spark.createDataFrame([(i, "a b c", ["p", "q"] if i % 3 else ["p"]) for i in range(90)] + [(100, "x y", ["\U0010ffff"]), (101, "x y", [None]), (102, "x y", [])], "doc_id long, text string, source array<string>")
+    plan = mix(overlap, weights=(1.0,)).collect()
+    assert sorted(plan) == sorted(mix(overlap.repartition(7), weights=(1.0,)).collect())
+    # the quotas of p and q, 336 words each, take all 270 words twice
+    assert sum(r.taken for r in plan if r.doc_id < 100) == pytest.approx(2 * 270, abs=3)
+    size = {r.doc_id: r.source_size for r in plan}
+    assert size[100] == 2 and size[101] == size[102] == 4 and size[0] == 270 and size[1] == 450
+    clash = df.limit(50).withColumns({c: F.lit("own") for c in ("__key", "__id", "__hash", "__copies", "__n", "size", "hash")})
+    assert mixed_rows(clash).columns == clash.columns and {r["__key"] for r in mixed_rows(clash).collect()} == {"own"}
     assert mix(empty).count() == 0
 
 
@@ -240,6 +299,30 @@ def test_token_files(spark, docs, rows, empty):
     assert read_index(spark, write_ids(empty, path, public_tokenizers.PATTERN, 2)).count() == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a < |endoftext|> b", "<|endoftext", "b<|endoftext|><|endoftext|>  c\n"]
+    ids = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    got = read_index(spark, write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN, 2)).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(i), zlib.crc32(i.tobytes())) for i in ids]
+
+
+def test_pieces_of_all_code_points_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    from tallyforge.llm.bitplane import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), Encoder(path, public_tokenizers.PATTERN)
+    assert own.by_piece
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c} 1{c}{c}" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pieces():
     import regex
 
@@ -329,6 +412,10 @@ def test_near_vectors(spark):
     for tile in (1024, 7):
         assert Counter(map(tuple, near_vectors(df, tile=tile).collect())) == want
     assert sum(links) > 40
+    again = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (1, [0.0, 1.0], 0), (3, [0.1, 1.0], 0)], df.schema)
+    assert Counter(map(tuple, near_vectors(again).collect())) == Counter([(1, 1, 1, True), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 1, False)])
+    far = [(i, [x * s, y * s], 0) for i, (x, y, s) in enumerate([(1.0, 2.0, 1e200), (1.0, 2.1, 1e200), (1.0, 2.0, 1e-200), (1.0, 2.1, 5e-310), (-2.0, 1.0, 1.0)])]
+    assert [r.n_links for r in near_vectors(spark.createDataFrame(far, df.schema)).orderBy("vec_id").collect()] == [3, 3, 3, 3, 0]
     assert near_vectors(df.limit(0)).count() == 0
 
 
