@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import bpe_encode
-from tallyforge.llm.common import materialize, table
+from tallyforge.llm.common import free_name, materialize, table
 from tallyforge.llm.langid import keep_identified
 from tallyforge.llm.line_dedup import line_dedup
 from tallyforge.llm.mixing import mixed_rows
@@ -20,38 +20,53 @@ from tallyforge.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those that the model rejects go."""
+    """Documents whose language is recognised; those that the model rejects go.
+
+    Texts without a letter (null, empty) go. Repeated rows share a fate, all columns are kept, an empty table gives no rows.
+    """
     ship(spark)
     return keep_identified(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later occurrences of repeated three-line windows; n_chars follows the text.
+    """Documents without the later occurrences of repeated three-line windows; n_chars, if there is one, follows the text.
 
-    A document that loses all its lines stays, with an empty text.
+    A document that loses all its lines stays, with an empty text; a null text stays null. Of equal windows the first by
+    doc_id (null first), then text, stays; rows that repeat doc_id and text keep the same lines. Other columns, whatever their
+    names, are kept as they are. An empty table gives no rows.
     """
     ship(spark)
-    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cut = line_dedup(docs, with_counts=False)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else cut
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest doc_id.
 
-    Rows that share a doc_id are kept or dropped together.
+    Rows that share a doc_id are kept or dropped together. Texts without a word (null, empty) and rows without a doc_id
+    are near nothing and stay. All columns are kept. An empty table gives no rows.
     """
     ship(spark)
-    dropped = ngram_join(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
+    at = free_name(docs, "__dropped")
+    dropped = ngram_join(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(at)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(at), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix of sources takes, each as often as it takes them."""
+    """The documents that the mix of sources takes, each as often as it takes them.
+
+    A null source is a source of its own; documents without a word, which add nothing to a mix, are taken as their hash
+    decides. Rows that repeat doc_id and text are taken together. All columns are kept. An empty table gives no rows.
+    """
     ship(spark)
     return mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each row, with its decoded bytes' digest."""
+    """Token counts and digests of each row, with its decoded bytes' digest.
+
+    A null or empty text has no ids; repeated rows give repeated rows; an empty table gives none.
+    """
     ship(spark)
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
