@@ -132,10 +132,10 @@ def f01_iso_timestamp(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("event_id", T.iso_timestamp(written).alias("at_utc"))
 
 
-@plans("SELECT event_id, round(epoch_us(ts) / 86400e6 - 19723, 9) AS days, CAST(floor(epoch_us(ts) / 86400e6 - 19723) AS BIGINT) AS whole_days, round((epoch_us(ts) - 19723 * 86400000000) / 3600e6, 6) AS hours FROM events")
+@plans("SELECT event_id, round(epoch_us(ts) / 86400e6 - 19723, 6) AS days, CAST(floor(epoch_us(ts) / 86400e6 - 19723) AS BIGINT) AS whole_days, round((epoch_us(ts) - 19723 * 86400000000) / 3600e6, 4) AS hours FROM events")
 def f02_time_differences(spark: SparkSession, sf: str) -> DataFrame:
     days = W.days_between(F.col("ts"), F.expr("timestamp_ntz'2024-01-01'"))
-    return table(spark, sf, "events").select("event_id", F.round(days, 9).alias("days"), F.floor(days).alias("whole_days"), F.round(days * 24, 6).alias("hours"))
+    return table(spark, sf, "events").select("event_id", F.round(days, 6).alias("days"), F.floor(days).alias("whole_days"), F.round(days * 24, 4).alias("hours"))
 
 
 @plans("""SELECT event_id, CASE WHEN dow BETWEEN 2 AND 4 THEN 4 WHEN dow = 0 THEN 3 ELSE CAST(greatest(0, least(2, floor((h - 11) / 3.0))) AS INT) END AS slot FROM (SELECT event_id, dayofweek(ts) AS dow, hour(ts) AS h FROM events)""")
