@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import analytic, columns, form, more, relational, scoring, texts
+from .plans import analytic, columns, form, more, relational, reports, scoring, texts
 from .plans.base import Query
 
-MODULES = [relational, analytic, scoring, texts, more, form, columns]
+MODULES = [relational, analytic, scoring, texts, more, form, columns, reports]
 
 
 def queries() -> dict[str, Query]:
