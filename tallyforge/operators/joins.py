@@ -44,27 +44,28 @@ def contained(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str
     """(needle, text) keys where the needle occurs in the text as a substring.
 
     Pieces between single spaces or newlines that aren't the needle's first or last are whole in any text that holds it.
-    Candidates share the first ``words`` of these as an n-gram, an equi-join, or the first two where there are fewer; needles
-    without two are tried on every text. The substring test decides.
+    Candidates share the first ``words`` of these as an n-gram, or the first two where there are fewer; only keys and hashes of
+    n-grams meet in that join, and the texts of the few that met are fetched afterwards. Needles without two inner pieces are tried
+    on every text. The substring test decides.
     """
-    pieces = lambda c: F.split(c, "[ \n]")
-    gram = lambda c: F.xxhash64(F.array_join(c, " "))
-    asked = needles.select(F.col(needle_key).alias("__n"), F.col(needle).alias("__needle"), (F.size(pieces(F.col(needle))) - 2).alias("__inner"))
+    pieces = lambda c: F.transform(F.split(c, "[ \n]"), lambda w: F.xxhash64(w))
+    asked = needles.select(F.col(needle_key).alias("__n"), F.col(needle).alias("__needle"), pieces(F.col(needle)).alias("__pieces")).withColumn("__inner", F.size("__pieces") - 2)
     seen = texts.select(F.col(text_key).alias("__t"), F.col(text).alias("__text"))
+    split = seen.select("__t", pieces(F.col("__text")).alias("__pieces"))
 
     def anchored(width: int, chosen: DataFrame) -> DataFrame:
-        first = chosen.select("__n", "__needle", gram(F.slice(pieces(F.col("__needle")), 2, width)).alias("__gram"))
-        # called by an outer transform, so that a text is split once and not once for each of its pieces
-        grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(c) - width)), lambda i: gram(F.slice(c, i + 1, width)))
-        return seen.withColumn("__gram", F.explode(F.array_distinct(F.flatten(F.transform(F.array(pieces(F.col("__text"))), grams))))).join(F.broadcast(first), "__gram").drop("__gram")
+        first = chosen.select("__n", F.xxhash64(F.slice("__pieces", 2, width)).alias("__gram"))
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__pieces") - width + 1))
+        grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice("__pieces", i, width))))
+        return split.select("__t", F.explode(grams).alias("__gram")).join(first, "__gram").select("__t", "__n")
 
     least = min(2, words)
     met = anchored(words, asked.filter(F.col("__inner") >= words))
     if words > least:
         met = met.unionByName(anchored(least, asked.filter((F.col("__inner") >= least) & (F.col("__inner") < words))))
-    short = asked.filter(F.col("__inner") < least).select("__n", "__needle")
-    met = met.unionByName(seen.join(F.broadcast(short), F.contains("__text", "__needle")).select("__t", "__text", "__n", "__needle"))
-    return met.filter(F.contains("__text", "__needle")).select(F.col("__n").alias(needle_key), F.col("__t").alias(text_key)).distinct()
+    both = met.distinct().join(asked.select("__n", "__needle"), "__n").join(seen, "__t").filter(F.contains("__text", "__needle"))
+    short = asked.filter(F.col("__inner") < least).select("__n", "__needle").join(seen, F.contains("__text", "__needle"))
+    return both.select("__n", "__t").unionByName(short.select("__n", "__t")).select(F.col("__n").alias(needle_key), F.col("__t").alias(text_key)).distinct()
 
 
 def cosine(a: Column, b: Column) -> Column:
