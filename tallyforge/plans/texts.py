@@ -65,7 +65,7 @@ def t05_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", "url", T.html_text("html").alias("text"))
 
 
-QUERY_SQL = "q AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark)"
+QUERY_SQL = "q AS (SELECT item_id, text AS query FROM benchmark)"
 BM25 = f"""WITH {QUERY_SQL}, t AS (SELECT DISTINCT item_id, unnest({WORDS.format(x="query")}) AS term FROM q), w AS (SELECT doc_id, {WORDS.format(x="text")} AS w FROM documents),
 s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM w), c AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM w) GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM c GROUP BY 1), r AS (SELECT t.item_id, c.doc_id, round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * c.tf * 2.2 / (c.tf + 1.2 * (0.25 + 0.75 * c.size / s.m))), 6) AS score
@@ -73,7 +73,7 @@ FROM t JOIN c ON c.term = t.term JOIN d ON d.term = c.term, s GROUP BY 1, 2), k
 
 
 def searches(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query"))
+    return table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
 
 
 def lexical(spark: SparkSession, sf: str, n: int) -> DataFrame:
@@ -91,7 +91,7 @@ u AS (SELECT item_id, doc_id, rn FROM k WHERE rn <= 10 UNION ALL SELECT item_id,
 SELECT item_id, doc_id, round(sum(1.0 / (60 + rn - 1)), 9) AS score FROM u GROUP BY 1, 2""")
 def t09_rrf(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    holding = J.contained(searches(spark, sf), docs, "item_id", "query", "doc_id", "text", words=4).join(docs.select("doc_id", "n_chars"), "doc_id")
+    holding = J.contained(searches(spark, sf), docs, "item_id", "query", "doc_id", "text").join(docs.select("doc_id", "n_chars"), "doc_id")
     ranked = top_per_group(holding, ["item_id"], [F.col("n_chars").desc(), F.col("doc_id")], 10)
     lists = [x.select("item_id", "doc_id", (F.col("rn") - 1).alias("rank")) for x in (lexical(spark, sf, 10), ranked)]
     return S.reciprocal_rank_fusion(lists, "item_id", "doc_id", "rank").withColumn("score", F.round("score", 9))
