@@ -179,19 +179,56 @@ def m06_tree_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def players(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as players of matches: a player's chance to start and rate come from its share of quantity."""
+    """Suppliers as players of matches: a player's chance to start and rates come from its share of quantity."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
-    return lines.select(F.col("l_orderkey").alias("fixture_id"), F.col("l_suppkey").alias("player_id"), (F.col("l_suppkey") % 2).alias("team_id"), F.least(F.lit(0.95), F.col("q") / 60).alias("p_start"), (F.col("q") / 50).alias("goals90"), F.lit(1.4).alias("team_rate"))
+    q, s = F.col("q"), F.col("l_suppkey")
+    return lines.select(F.col("l_orderkey").alias("fixture_id"), s.alias("player_id"), (s % 2).alias("team_id"), F.expr(POSITION.format(x="l_suppkey")).alias("position"), F.least(F.lit(0.95), q / 60).alias("p_start"), F.lit(0.05).alias("p_cameo"), (q / 50).alias("goals90"), (q / 70).alias("assists90"), (4 + s % 9).cast("double").alias("actions90"), F.when(s % 4 == 0, 3.0).otherwise(0.0).alias("saves90"), (10 + q / 5).alias("exp_bps"), (1 + (s % 2 + F.col("l_orderkey") % 3) / 3).alias("team_rate"))
 
 
 @plans()
 def z09_predict(spark: SparkSession, sf: str) -> DataFrame:
-    """Simulated points of the players of all fixtures, for their starts and goals alone."""
+    """Simulated points of the players of all fixtures: goals, assists, clean sheets, defence, saves, cards and bonus."""
     from ..operators.simulate import simulate
 
     return simulate(players(spark, sf))
 
 
+def squads_in_leagues(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as squads of five suppliers with one captain, in leagues by nation; the least customer of each is one's own."""
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("league"), F.col("c_custkey").alias("squad"))
+    n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))
+    own = (F.col("squad") == F.min("squad").over(Window.partitionBy("league"))).alias("own")
+    picks = c.select("*", own).join(n).select("league", "squad", "own", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(((F.col("squad") * 13 + i * 7) % F.col("n")).alias("player_id"), F.when(i == 0, 2).otherwise(1).alias("times")))).alias("p"))
+    return picks.select("league", "squad", "own", "p.*")
+
+
+def squad_totals(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.simulate import simulated_draws, squad_draws
+
+    picks = squads_in_leagues(spark, sf)
+    # a player's draws are added up over its fixtures before they meet the squads
+    each = simulated_draws(players(spark, sf), draws=100).select("player_id", F.posexplode("points").alias("draw", "x")).groupBy("player_id", "draw").agg(F.sum("x").alias("x"))
+    draws = each.groupBy("player_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "x"))), lambda d: d["x"]).alias("points"))
+    keys = picks.select("league", "squad", "own").distinct()
+    return squad_draws(draws, picks.select("squad", "player_id", "times"), "squad").join(keys, "squad")
+
+
+@plans()
+def z07_squad_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean, spread and deciles of each squad's total over joint draws."""
+    from ..operators.aggregates import distribution
+
+    return squad_totals(spark, sf).groupBy("squad").agg(*distribution("total"))
+
+
+@plans()
+def z08_rival_squads(spark: SparkSession, sf: str) -> DataFrame:
+    """How the squads of a league fare against each other, draw by draw."""
+    from ..operators.simulate import rival_table
+
+    return rival_table(squad_totals(spark, sf), "league", "squad", "own")
+
+
 @plans()
 def o01_squad(spark: SparkSession, sf: str) -> DataFrame:
     """One squad for each part size class, of the parts' value for their price."""

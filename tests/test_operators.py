@@ -218,6 +218,39 @@ def test_simulation_is_repeatable_and_team_mates_compete():
     assert (a["p10"] <= a["mean_points"]).all() and (a["mean_points"] <= a["p90"]).all()
 
 
+def test_simulated_points_have_the_means_of_their_parts():
+    from tallyforge.operators import simulate as Z
+
+    rng = np.random.default_rng(2)
+    home, away = Z.scorelines(rng, 1.6, 1.1, -0.05, 40_000)
+    assert abs(home.mean() - 1.6) < 0.03 and abs(away.mean() - 1.1) < 0.03
+    minutes = Z.minutes_played(rng, np.array([0.8, 0.3, 0.0]), np.array([0.1, 0.3, 0.0]), 40_000)
+    assert np.abs((minutes > 0).mean(axis=0) - [0.9, 0.6, 0.0]).max() < 0.02
+    assert np.corrcoef(minutes[:, 0] > 0, minutes[:, 1] > 0)[0, 1] > 0.1
+    goals = Z.dealt(rng, home, np.tile([3.0, 1.0], (len(home), 1)))
+    assert (goals.sum(axis=1) == home).all() and abs(goals[:, 0].sum() / home.sum() - 0.75) < 0.01
+    two = home == 2
+    assert np.corrcoef(goals[two, 0], goals[two, 1])[0, 1] < -0.99
+    assert Z.awarded(np.array([[5.0, 9.0, 1.0, 7.0], [0.0, 2.0, 0.0, 0.0]])).tolist() == [[1, 3, 0, 2], [0, 3, 0, 0]]
+    players = pd.DataFrame({"fixture_id": 7, "player_id": range(4), "team_id": [1, 1, 2, 2], "position": ["GK", "FWD", "FWD", "DEF"], "p_start": 1.0, "p_cameo": 0.0, "goals90": [0.0, 1.0, 1.0, 0.0], "assists90": [1.0, 0.0, 0.0, 1.0], "actions90": 0.0, "saves90": 0.0, "cards90": 0.0, "exp_bps": 0.0, "team_rate": [1.5, 1.5, 0.001, 0.001], "rho": 0.0})
+    points = Z.simulate_points(players, 20_000, 5).mean(axis=0)
+    bonus = Z.simulate_points(players.assign(team_rate=0.0), 20_000, 5).mean(axis=0)
+    # a forward alone scores all its team's goals, four points each, and its keeper is paid for nine in ten of them
+    assert abs(points[1] - bonus[1] - 4 * 1.5) < 0.15 and abs(points[0] - bonus[0] - 3 * 0.9 * 1.5) < 0.15
+    assert points[3] < bonus[3] - 2  # a defender loses its clean sheet
+
+
+def test_rivals_by_draw(spark):
+    from tallyforge.operators.simulate import rival_table, squad_draws
+
+    draws = spark.createDataFrame([(1, 10, [1.0, 5.0]), (1, 11, [2.0, 0.0]), (2, 10, [1.0, 1.0])], "fixture_id long, player_id long, points array<double>")
+    picks = spark.createDataFrame([("a", 10, 2), ("b", 11, 1), ("b", 10, 1)], "squad string, player_id long, times int")
+    totals = squad_draws(draws, picks, "squad")
+    assert values(totals) == [("a", 0, 4.0), ("a", 1, 12.0), ("b", 0, 4.0), ("b", 1, 6.0)]
+    table = rival_table(totals.withColumns({"league": F.lit(1), "own": F.col("squad") == "b"}), "league", "squad", "own")
+    assert values(table) == [(1, "a", 8.0, 1.0, 1.0, 0.5), (1, "b", 5.0, 0.5, 1.5, 0.0)]
+
+
 def test_every_player_of_every_fixture_is_predicted(spark, sf_dir):
     got = catalog.queries()["z09_predict"](spark, sf_dir).collect()
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect()
