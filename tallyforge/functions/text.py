@@ -201,3 +201,9 @@ def field_kind(c: Column) -> Column:
 def redacted(name: Column, value: Column) -> Column:
     """The value of a setting, masked where its name says that it is a secret."""
     return F.when(F.lower(name).rlike("(key|token|secret|password|cookie)"), F.when(F.coalesce(value, F.lit("")) != "", "***").otherwise("")).otherwise(value)
+
+
+def mail_timestamp(c: Column) -> Column:
+    """The instant of "Mon, 01 Jan 2024 10:00:00 +0000", as feeds write it, or of "Mon Jan 01 10:00:00 +0000 2024"; else null."""
+    plain = F.regexp_replace(c, r"^[A-Za-z]{3},? +", "")
+    return F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in ("dd MMM yyyy HH:mm:ss Z", "MMM dd HH:mm:ss Z yyyy")))

@@ -32,19 +32,41 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.parquet(f"{path}/data")
 
 
-def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str):
+def drain_complete(stream: DataFrame, path: str) -> DataFrame:
+    """Run an aggregating stream over what is there now; each batch writes the whole result, and the last one is read."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{path}/data")
+    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").drop("batch")
+
+
+def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The rows of a table that ``upsert_batches`` keeps: of each part the newest batch (earlier than ``before``)."""
+    rows = spark.read.parquet(target)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    newest = rows.select("part", "batch").distinct().groupBy("part").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), ["part", "batch"]).drop("batch")
+
+
+def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, parts: int = 64):
     """Merge each micro-batch into a Parquet table: of each key the row with the greatest ``order`` stays.
 
-    Every batch writes a new version of the table, so that a batch that is run again gives the same rows.
+    Keys are dealt into ``parts``, and a batch writes a new version of the parts that it touches, all others staying as
+    they are. It reads only versions of earlier batches, so that a batch that is run again gives the same rows.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
+        rows = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
         if number:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/version={number - 1}"))
+            rows = rows.unionByName(current(spark, target, number).join(F.broadcast(rows.select("part").distinct()), "part", "left_semi"))
         others = [c for c in batch.columns if c not in keys]
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("__row")).select(*keys, "__row.*")
-        last.select(batch.columns).write.mode("overwrite").parquet(f"{target}/version={number}")
+        last = rows.groupBy("part", *keys).agg(F.max_by(F.struct(*others), order).alias("__row")).select("part", *keys, "__row.*")
+        last.write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
