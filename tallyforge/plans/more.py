@@ -159,7 +159,7 @@ def x04_two_state_diff(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey").join(labels, "c_custkey", "left").select("c_custkey", F.when(F.col("quality").isNotNull(), "both").otherwise("left").alias("side"))
 
 
-@plans()
+@plans("""SELECT CAST(l_orderkey AS VARCHAR) AS id, 'book' AS bookmaker, 'h2h' AS market, CAST(l_linenumber AS VARCHAR) AS name, round(1 + l_quantity / 10, 6) AS price, round(1 / (1 + l_quantity / 10), 9) AS implied, round(1 / (1 + l_quantity / 10) / sum(1 / (1 + l_quantity / 10)) OVER (PARTITION BY l_orderkey), 9) AS fair FROM lineitem""")
 def s15_odds_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Orders written as a nested JSON feed of outcomes, parsed back to implied and margin-free probabilities."""
     from ..sources.readers import odds_rows
@@ -169,7 +169,8 @@ def s15_odds_feed(spark: SparkSession, sf: str) -> DataFrame:
     market = F.array(F.struct(F.lit("h2h").alias("key"), F.col("outcomes").alias("outcomes")))
     book = F.array(F.struct(F.lit("book").alias("key"), market.alias("markets")))
     feed = games.select(F.to_json(F.array(F.struct(F.col("l_orderkey").cast("string").alias("id"), book.alias("bookmakers")))).alias("payload"))
-    return odds_rows(feed, "payload")
+    rows = odds_rows(feed, "payload")
+    return rows.select("id", "bookmaker", "market", "name", *(F.round(c, d).alias(c) for c, d in (("price", 6), ("implied", 9), ("fair", 9))))
 
 
 @plans("""SELECT p_partkey, p_retailprice AS price, CASE WHEN p_partkey % 4 = 0 THEN coalesce(NULLIF(p_size, 10), -1) ELSE p_size END AS size FROM part""")

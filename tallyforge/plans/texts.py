@@ -130,9 +130,14 @@ def s07_json_documents(spark: SparkSession, sf: str) -> DataFrame:
     return readers.parse_json(table(spark, sf, "events"), "props", "k int").select("event_id", "parsed.k")
 
 
-@plans()
+@plans("""SELECT n_regionkey AS r_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS row, n_name || '|' || CASE WHEN n_nationkey % 2 = 0 THEN 'Out & injured' ELSE '75% chance' END AS cells FROM nation UNION ALL SELECT DISTINCT n_regionkey, 0, 'Player|Status' FROM nation""")
 def s10_html_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.posexplode(readers.html_rows("html")).alias("row", "cells"))
+    """Pages with an injury table for each region, read back cell by cell."""
+    status = F.when(F.col("n_nationkey") % 2 == 0, "<b>Out</b> &amp; injured").otherwise("75%\n chance")
+    cells = table(spark, sf, "nation").select("n_regionkey", "n_nationkey", F.concat(F.lit("<tr><td> "), F.col("n_name"), F.lit(" </td><td>"), status, F.lit("</td></tr>")).alias("tr"))
+    listed = cells.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "tr"))), lambda x: x["tr"]), "").alias("trs"))
+    pages = listed.select("r_regionkey", F.concat(F.lit("<html><p>Injuries</p><table><tr><th>Player</th><th>Status</th></tr>"), F.col("trs"), F.lit("</table></html>")).alias("html"))
+    return pages.select("r_regionkey", F.posexplode(readers.html_rows("html")).alias("row", "c")).select("r_regionkey", "row", F.array_join("c", "|").alias("cells"))
 
 
 @plans("""WITH a AS (SELECT user_id, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1), b AS (SELECT user_id, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1)
@@ -152,14 +157,15 @@ def s02_archive(spark: SparkSession, sf: str) -> DataFrame:
 def v02_windowed_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Daily counts by a stream over the events file, drained; complete mode keeps all windows."""
     stream = jobs.read_parquet_stream(spark, sf, "events.parquet")
-    name = f"w{uuid.uuid4().hex}"
-    counted = jobs.windowed(stream, "ts", ["event_type"], "value", "1 day")
-    query = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _checkpoint(spark, name)).start()
-    query.awaitTermination()
-    return spark.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 6).alias("total"))
+    counted = jobs.drain_complete(jobs.windowed(stream, "ts", ["event_type"], "value", "1 day"), _checkpoint(spark, f"w{uuid.uuid4().hex}"))
+    return counted.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 6).alias("total"))
 
 
 def _checkpoint(spark: SparkSession, name: str) -> str:
-    """A folder for a stream's progress, in the shared folder that the session names; else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-")
+    """A folder for a stream's progress, in the shared folder that the session names; a temporary one only on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tallyforge-")
     return f"{base.rstrip('/')}/{name}"
