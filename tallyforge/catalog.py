@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import analytic, columns, feeds, form, more, relational, reports, scoring, texts
+from .plans import analytic, columns, feeds, form, more, relational, reports, scoring, selection, texts
 from .plans.base import Query
 
-MODULES = [relational, analytic, scoring, texts, more, form, columns, reports, feeds]
+MODULES = [relational, analytic, scoring, texts, more, form, columns, reports, feeds, selection]
 
 
 def queries() -> dict[str, Query]:

@@ -207,3 +207,11 @@ def mail_timestamp(c: Column) -> Column:
     """The instant of "Mon, 01 Jan 2024 10:00:00 +0000", as feeds write it, or of "Mon Jan 01 10:00:00 +0000 2024"; else null."""
     plain = F.regexp_replace(c, r"^[A-Za-z]{3},? +", "")
     return F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in ("dd MMM yyyy HH:mm:ss Z", "MMM dd HH:mm:ss Z yyyy")))
+
+
+def swap(c: Column) -> tuple[Column, Column]:
+    """(out, in) of a swap written as "a -> b", "a → b", "a to b" or "b for a"; nulls for anything else."""
+    arrow = r"^(.+?)\s*(?:->|→| to )\s*(.+)$"
+    other = r"^(.+?) for (.+)$"
+    part = lambda p, i: F.when(c.rlike(p), F.trim(F.regexp_extract(c, p, i)))
+    return F.coalesce(part(arrow, 1), part(other, 2)), F.coalesce(part(arrow, 2), part(other, 1))
