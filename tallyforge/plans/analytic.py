@@ -152,10 +152,28 @@ def k47_explain(spark: SparkSession, sf: str) -> DataFrame:
     return K.explain(tall, ["day"]).select("event_id", "value", F.round("percentile", 9).alias("percentile"))
 
 
-@plans()
+LAST = {n: f"OVER {ORDERED} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (1, 3, 5, 10, 40)}
+SECONDS = "CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)"
+FEATURE_SQL = {f"value_last{n}": f"sum(value) {LAST[n]}" for n in (1, 3, 5, 10)}
+FEATURE_SQL |= {f"value_{d}d": f"sum(value) OVER (PARTITION BY user_id ORDER BY {SECONDS} RANGE BETWEEN {d * 86400} PRECEDING AND 1 PRECEDING)" for d in (7, 14, 21)}
+FEATURE_SQL |= {
+    "value_ewma5": f"({NUM}) / nullif({DEN}, 0)",
+    "hit_rate_last10": f"avg(CASE WHEN value >= 5 THEN CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END END) {LAST[10]}",
+    "margin_last10": f"avg(CASE WHEN value >= 5 THEN value - 50 END) {LAST[10]}",
+    "high_streak": "least(40, n - 1 - coalesce(stop, 0))",
+    "days_since_last": f"(epoch_us(ts) - epoch_us(lag(ts) OVER {ORDERED}))) / 86400e6",
+    "days_since_first": f"(epoch_us(ts) - epoch_us(min(ts) {LAST[40]})) / 86400e6",
+    "n_before": f"count(*) {LAST[40]}",
+    "kinds_last10": f"coalesce(len(list_distinct(list(event_type) {LAST[10]})), 0)",
+}
+
+
+@plans(f"""WITH o AS (SELECT *, row_number() OVER {ORDERED}) AS n, {EWMA} FROM events WINDOW w AS {ORDERED})), b AS (SELECT *, max(CASE WHEN value < 20 THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop FROM o),
+f AS (SELECT user_id, event_id, ts, {', '.join(f'CAST({e} AS DOUBLE) AS {name}' for name, e in FEATURE_SQL.items())} FROM b)
+SELECT user_id, event_id, ts, name, round(value, 5) AS value FROM (UNPIVOT f ON {', '.join(FEATURE_SQL)} INTO NAME name VALUE value)""")
 def k45_registry(spark: SparkSession, sf: str) -> DataFrame:
     """All registered features of each event, tall."""
-    return K.build_tall(events(spark, sf), HISTORY)
+    return K.build_tall(events(spark, sf), HISTORY).withColumn("value", F.round("value", 5))
 
 
 @plans("""SELECT event_id, CASE WHEN isodow(ts) IN (2, 3, 4) THEN 4 WHEN isodow(ts) = 7 THEN 3 ELSE greatest(0, least(2, CAST(floor((hour(ts) - 11) / 3.0) AS INT))) END AS slot FROM events""")

@@ -122,16 +122,21 @@ def m14_devig(spark: SparkSession, sf: str) -> DataFrame:
     return implied.withColumn("p", F.round(F.col("p") / F.sum("p").over(Window.partitionBy("l_orderkey")), 9))
 
 
-@plans()
+@plans("""WITH RECURSIVE o AS (SELECT l_orderkey, list(1.0 / l_quantity ORDER BY l_linenumber, 1.0 / l_quantity) AS q FROM lineitem GROUP BY 1), t AS (SELECT l_orderkey, list_transform(q, lambda x: x / list_sum(q) * 1.05) AS p FROM o),
+z AS (SELECT l_orderkey, p, list_sum(p) AS total, 0.0::DOUBLE AS z, 0 AS i FROM t UNION ALL SELECT l_orderkey, p, total, CASE WHEN len(p) > 2 THEN greatest(0, least(0.2, (list_sum(list_transform(p, lambda x: sqrt(z * z + 4 * (1 - z) * x * x / total))) - 2) / (len(p) - 2))) ELSE 0 END, i + 1 FROM z WHERE i < 60),
+f AS (SELECT l_orderkey, list_transform(p, lambda x: (sqrt(z * z + 4 * (1 - z) * x * x / total) - z) / (2 * (1 - z))) AS v FROM z WHERE i = 60)
+SELECT l_orderkey, CAST(unnest(range(len(v))) AS INT) AS place, round(unnest(list_transform(v, lambda x: x / list_sum(v))), 8) AS fair FROM f""")
 def m14_devig_shin(spark: SparkSession, sf: str) -> DataFrame:
     """Shin's probabilities of each order's lines, priced by quantity; a margin of 5 % is put on first."""
     implied = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.expr("1.0D / l_quantity").alias("p")))), lambda x: x["p"]).alias("p"))
     total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
     priced = implied.withColumn("p", F.transform("p", lambda x: x / total * 1.05))
-    return priced.select("l_orderkey", F.posexplode(M.shin(F.col("p"))).alias("place", "fair"))
+    return priced.select("l_orderkey", F.posexplode(M.shin(F.col("p"))).alias("place", "fair")).withColumn("fair", F.round("fair", 8))
 
 
-@plans()
+@plans("WITH m AS (" + plans.sql["m03_score_matrix"] + """), q AS (SELECT nation, round(p_home, 3) AS h, round(p_draw, 3) AS d, round(1 - p_home - p_draw, 3) AS a FROM m), k AS (SELECT i / 20.0 AS r FROM range(4, 81) t(i)), pm AS (SELECT r, n, exp(-r) * pow(r, n) / factorial(CAST(n AS INTEGER)) AS p FROM k, range(9) u(n)),
+g AS (SELECT x.r AS lh, y.r AS la, coalesce(sum(x.p * y.p) FILTER (x.n > y.n), 0) AS ph, coalesce(sum(x.p * y.p) FILTER (x.n = y.n), 0) AS pd, coalesce(sum(x.p * y.p) FILTER (x.n < y.n), 0) AS pa FROM pm x, pm y GROUP BY 1, 2)
+SELECT nation, lh, la FROM (SELECT nation, lh, la, row_number() OVER (PARTITION BY nation ORDER BY (ph - h) * (ph - h) + (pd - d) * (pd - d) + (pa - a) * (pa - a), lh, la) AS n FROM q, g) WHERE n = 1""")
 def m15_market_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Rates of each nation's home matches fitted to their price of a win, a draw and a loss."""
     priced = m03_score_matrix(spark, sf).select("nation", F.round("p_home", 3).alias("h"), F.round("p_draw", 3).alias("d"), F.round(1 - F.col("p_home") - F.col("p_draw"), 3).alias("a"))
