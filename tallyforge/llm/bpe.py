@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .pieces import Recent, split_texts
 
 #: Characters of text that a worker splits at a time.
-GROUP_CHARS = 2_000_000
-MEMORY = "400MB"
+GROUP_CHARS = 1_000_000
+MEMORY = "300MB"
 
 #: Pieces of more bytes are long.
 LONG = 96
@@ -156,6 +156,8 @@ class DuckBpe:
         """(place, ids as text, decoded bytes) of each piece, in any order."""
         self._encode(pieces)
         got = self.db.sql(DIGEST).to_arrow_table()
+        for name in ("encoded", "start", "words"):
+            self.db.execute(f"DROP TABLE IF EXISTS {name}")
         return zip(*(c.to_pylist() for c in got.columns), strict=True)
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:

@@ -36,7 +36,7 @@ from .shingles import shingle_sets
 SIMILARITY, RECALL = 0.8, 0.999
 SKETCH, BRANCH, SMALL, PIVOTS = 128, 2.0, 256, 64
 #: Most sets and most tokens of a tile.
-TILE, TILE_TOKENS = 1024, 1 << 18
+TILE, TILE_TOKENS = 512, 1 << 16
 #: Share of a sketch that agrees with a pivot's, for a set that is very near it; and the chance that the sketches of a pair
 #: of the wanted similarity agree too little to be a candidate.
 VERY_NEAR, LOST = 0.75, 1e-6
