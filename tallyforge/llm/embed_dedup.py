@@ -20,7 +20,7 @@ from .common import discard, materialize
 from .components import connected_components
 
 #: Most vectors and most components of a tile; vectors whose products are made at a time.
-TILE, TILE_WORDS, BLOCK, THRESHOLD = 4096, 1 << 21, 1024, 0.93
+TILE, TILE_WORDS, BLOCK, THRESHOLD = 4096, 1 << 18, 1024, 0.93
 #: Allows for rounding in the double arithmetic of the bounds themselves.
 SLACK = 1e-9
 
