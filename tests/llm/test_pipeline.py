@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -41,3 +42,34 @@ def test_stages(spark, docs):
     assert max(times) == 2 and 1.3 * near.count() < mixed.count() < 1.7 * near.count()
     tokens = stage["tokens"](spark, mixed, "")
     assert tokens.count() == mixed.count()
+
+
+def test_stages_with_odd_rows(spark, docs):
+    """Null ids and texts, repeated rows, empty and long texts, and columns with the names that stages use themselves."""
+    first = docs.first()
+    more = [tuple(first), tuple(first), (None, "the house and the water of the river", "en", None, 4), (900, None, None, None, None), (901, "", "en", "s1", 0), (902, "house river " * 30_000, "en", "s1", 1)]
+    clash = {c: F.lit("own") for c in ("__dropped", "__key", "__id", "__of", "__gone", "n_lines", "n_removed", "hash", "copies", "lang_pred")}
+    odd = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns(clash)
+    stage = dict(corpus_pipeline.STAGES)
+    out = odd
+    for name in ("language", "lines", "near_duplicates", "mixture"):
+        out = stage[name](spark, out, "").cache()
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == "own" for r in rows for c in clash), name
+        copies = sum(r.doc_id == first.doc_id for r in rows)
+        assert copies == 3 if name != "mixture" else copies % 3 == 0
+        assert any(r.doc_id is None for r in rows) or name == "mixture"
+        assert any(r.doc_id == 902 for r in rows) or name == "mixture"
+        assert stage[name](spark, odd.limit(0), "").count() == 0
+    assert stage["tokens"](spark, out, "").count() == out.count()
+    assert stage["tokens"](spark, odd.limit(0), "").count() == 0
+
+
+def test_run_is_the_stages_one_after_another(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = docs
+    for _, stage in corpus_pipeline.STAGES:
+        want = stage(spark, want, "").cache()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and len(got) > 30
