@@ -320,3 +320,73 @@ def test_every_query_has_columns(spark, sf_dir):
     for name in ("j01_fact_dim_join", "w02_ewma", "r10_points", "t08_bm25"):
         assert catalog.queries()[name](spark, sf_dir).columns
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_three_valued_and_states(spark):
+    from tallyforge.operators import states as S
+
+    sheets = spark.createDataFrame([(1, 10, 1, True), (1, 10, 2, False), (1, 11, 1, True)], "m int, p int, t int, named boolean")
+    asked = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10)], "m int, p int")
+    assert values(S.three_valued(asked, sheets, "m", "p", "t", "named", "x")) == sorted([(1, 10, False), (1, 11, True), (1, 12, False), (2, 10, None)], key=str)
+    rows = spark.createDataFrame([(7, 1, "a"), (1, 1, "b"), (7, 2, "c"), (3, 9, "d")], "player int, fixture int, v string")
+    mapping = spark.createDataFrame([(7, 1)], "old int, canon int")
+    assert values(S.merge_ids(rows, mapping, "player", ["player", "fixture"])) == sorted([(1, 1, "b"), (1, 2, "c"), (3, 9, "d")], key=str)
+    known = spark.createDataFrame([(1, "ann", "1990-01-01"), (2, "ann", None), (3, "bob", "1991-01-01")], "e int, n string, b string")
+    wanted = spark.createDataFrame([("ann", "1990-01-01"), ("ann", "1980-01-01"), ("bob", None), ("bob", "1980-01-01"), ("bob", None)], "n string, b string")
+    assert values(S.find_or_create(wanted, known, "n", "b", "e")) == sorted([("ann", "1990-01-01", 1), ("ann", "1980-01-01", 2), ("bob", None, 3), ("bob", "1980-01-01", None), ("bob", None, 3)], key=str)
+    seen = spark.createDataFrame([(1, "x", "Ann 2", 5), (2, "x", "Ann", 4), (3, "x", "Ann", 4), (4, "y", "Bo", 1), (4, "x", "Bo", 1)], "e int, c string, n string, s int")
+    assert values(S.duplicate_entities(seen, "e", "c", "n", "s")) == [(1, 2), (3, 2)]
+
+
+def test_best_lineups_equal_full_search(spark):
+    from tallyforge.operators.states import best_lineups
+
+    rng = random.Random(4)
+    squad = [(1, i, p, rng.uniform(-1, 5)) for i, p in enumerate(["GK"] * 2 + ["DEF"] * 5 + ["MID"] * 5 + ["FWD"] * 3)]
+    got = best_lineups(spark.createDataFrame(squad, "s int, i int, p string, u double"), "s", "p", "u", "i", list(R.FORMATIONS)).first()
+    totals = []
+    for eleven in itertools.combinations(squad, 11):
+        n = [sum(x[2] == p for x in eleven) for p in ("GK", "DEF", "MID", "FWD")]
+        if n[0] == 1 and tuple(n[1:]) in R.FORMATIONS:
+            totals.append(sum(x[3] for x in eleven))
+    assert got.total == pytest.approx(max(totals))
+    assert len(R.FORMATIONS) == 8 and (4, 4, 2) in R.FORMATIONS
+
+
+def test_promotion_gate(spark):
+    from tallyforge.operators.states import promotes
+
+    cases = [(None, 1.0, None, None, True, False, False), (0.5, None, None, None, True, False, True), (0.5, 0.4, 0.3, 0.4, True, False, True), (0.5, 0.6, 0.5, 0.4, True, False, False), (0.5, 0.4, None, None, False, False, True), (0.5, 0.4, None, None, True, False, False), (0.5, 0.4, None, None, True, True, True)]
+    df = spark.createDataFrame(cases, "new double, old double, mine double, theirs double, same boolean, higher boolean, want boolean")
+    assert df.filter(promotes(*map(F.col, ("new", "old", "mine", "theirs", "same", "higher"))) != F.col("want")).count() == 0
+
+
+def test_texts_that_people_write(spark):
+    df = spark.createDataFrame([("a -> b",), ("c for d",), ("e to f",), ("g→h",), ("hold",)], "s string")
+    out, new = T.swap(F.col("s"))
+    assert values(df.select("s", out, new)) == sorted([("a -> b", "a", "b"), ("c for d", "d", "c"), ("e to f", "e", "f"), ("g→h", "g", "h"), ("hold", None, None)], key=str)
+    same = ['{"b": 1, "a": [{"ts": 3, "x": 2}], "etag": "q"}', '{"a":[{"x":2}],"b":1,"now":5}', "  Some \n TEXT ", "some text"]
+    hashes = [r.h for r in spark.createDataFrame([(i, s) for i, s in enumerate(same)], "i int, s string").select("i", T.payload_hash(F.col("s")).alias("h")).orderBy("i").collect()]
+    assert hashes[0] == hashes[1] != hashes[2] == hashes[3]
+
+
+def test_ingest(spark):
+    from tallyforge.sources import ingest as I
+
+    docs = spark.createDataFrame([(1, "x" * 10), (2, "y" * 100), (3, "y" * 100), (4, None)], "id int, text string")
+    rows, blobs = I.split_blobs(docs, "id", "text", 50)
+    assert blobs.count() == 1 and values(I.load_payloads(rows, blobs, "id")) == values(docs)
+    runs = spark.createDataFrame([("a", i, e) for i, e in enumerate([0, 1, 1, 1, 0, 1, 1])], "s string, t int, e int").withColumn("e", F.col("e") == 1)
+    assert values(I.silent_runs(runs, "s", ["t"], "e", 3)) == [("a", 1, 3)]
+    assert values(I.silent_runs(runs, "s", ["t"], "e", 2)) == [("a", 1, 3), ("a", 5, 2)]
+    assert {"props", "turns", "nations"} <= set(I.REGISTRY)  # registered with the queries
+
+
+def test_upserts_touch_only_their_parts(spark, tmp_path):
+    for n, rows in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 2, "c")], [(1, 0, "late"), (3, 1, "d")]]):
+        spark.createDataFrame(rows, "k int, t int, v string").coalesce(1).write.parquet(str(tmp_path / f"in/n{n}"))
+    stream = spark.readStream.schema("k int, t int, v string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    jobs.upsert_batches(stream, str(tmp_path / "table"), ["k"], "t", str(tmp_path / "progress"), parts=4).awaitTermination()
+    now = jobs.current(spark, str(tmp_path / "table"))
+    assert values(now.select("k", "t", "v")) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+    assert now.count() < spark.read.parquet(str(tmp_path / "table")).count() <= 3 * 4
