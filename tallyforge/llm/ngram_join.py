@@ -34,7 +34,7 @@ from .embed_dedup import local_roots
 from .shingles import shingle_sets
 
 SIMILARITY, RECALL = 0.8, 0.999
-SKETCH, BRANCH, SMALL, PIVOTS = 128, 2.0, 256, 64
+SKETCH, BRANCH, SMALL, LATER, PIVOTS = 128, 2.0, 256, 4, 64
 #: Most sets and most tokens of a tile.
 TILE, TILE_TOKENS = 512, 1 << 16
 #: Share of a sketch that agrees with a pivot's, for a set that is very near it; and the chance that the sketches of a pair
@@ -252,15 +252,18 @@ def candidate_edges(sets: DataFrame, small: int = SMALL, similarity: float = SIM
         rows = rows.drop("root").join(groups.select("node", F.col("component").alias("root")), "node", "left")
         sizes = _sizes(rows, 1)
         used += [out, groups, sizes]
+    limit = small
     while True:
         here = materialize(rows.join(sizes, "path"), "paths")
-        few = here.filter(F.col("n") <= small).join(sketches, "node").select("path", "node", "root", "sketch").groupBy("path").applyInArrow(small_bucket, EDGES)
+        few = here.filter(F.col("n") <= limit).join(sketches, "node").select("path", "node", "root", "sketch").groupBy("path").applyInArrow(small_bucket, EDGES)
         few = materialize(few.select("a", "b"), "candidates")
         used += [here, few]
         found.append(few)
-        large = here.filter(F.col("n") > small)
+        large = here.filter(F.col("n") > limit)
         if large.isEmpty():
             break
+        # what is split off is little, and a larger bucket of it is compared by brute force sooner than split again
+        limit = LATER * small
         out = _compare_large(large, sketches, small, candidate, split=True)
         used.append(out)
         found.append(out.filter("path is null").select("a", "b"))
