@@ -65,7 +65,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sums(batches: Iterator[pa.RecordBatch], books: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """For each entry that a task's rows are assigned to: how many, and the sums of their components."""
+    """For each entry that a task's rows are assigned to: how many, and then the sums of their components."""
     sums, counts = [np.zeros_like(b) for b in books], [np.zeros(len(b), np.int64) for b in books]
     for batch in batches:
         if not batch.num_rows:
@@ -76,7 +76,7 @@ def _sums(batches: Iterator[pa.RecordBatch], books: list[np.ndarray]) -> Iterato
             counts[p] += np.bincount(index, minlength=len(books[p]))
     for p, (s, n) in enumerate(zip(sums, counts, strict=True)):
         used = np.flatnonzero(n)
-        yield pa.record_batch({"part": pa.array([p] * len(used), pa.int32()), "entry": pa.array(used, pa.int32()), "n": pa.array(n[used]), "sums": pa.array(list(s[used]), pa.list_(pa.int64()))})
+        yield pa.record_batch({"part": pa.array([p] * len(used), pa.int32()), "entry": pa.array(used, pa.int32()), "sums": pa.array(list(np.column_stack([n, s])[used]), pa.list_(pa.int64()))})
 
 
 def _codes(batches: Iterator[pa.RecordBatch], books: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +115,12 @@ def train_codebooks(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
         return []
     books = np.split(np.array(first, np.int64), parts, axis=1)
     for _ in range(rounds):
-        sums = rows.select("v").mapInArrow(partial(_sums, books=books), "part int, entry int, n long, sums array<long>")
-        counts = sums.groupBy("part", "entry").agg(F.sum("n").alias("n"))
+        sums = rows.select("v").mapInArrow(partial(_sums, books=books), "part int, entry int, sums array<long>")
         totals = sums.select("part", "entry", F.posexplode("sums").alias("pos", "s")).groupBy("part", "entry", "pos").agg(F.sum("s").alias("s"))
         totals = totals.groupBy("part", "entry").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda t: t["s"]).alias("sums"))
         books = [b.copy() for b in books]
-        for r in totals.join(counts, ["part", "entry"]).collect():
-            books[r.part][r.entry] = np.array(r.sums, np.int64) // r.n
+        for r in totals.collect():
+            books[r.part][r.entry] = np.array(r.sums[1:], np.int64) // r.sums[0]
     return books
 
 
