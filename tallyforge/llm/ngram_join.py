@@ -350,8 +350,9 @@ def _links(sets: DataFrame, groups: DataFrame, texts: DataFrame, similarity: flo
     return found
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, tile: int = TILE) -> DataFrame:
-    """doc_id, n_links, class_id, kept for each row of ``docs``.
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, tile: int = TILE, with_keys: bool = False) -> DataFrame:
+    """doc_id, n_links, class_id, kept for each row of ``docs``; ``with_keys`` adds text_key (16 bytes of the text's SHA-256) and class_key,
+    a number that rows of one class share and no other class has (null where a row links with nothing by rule).
 
     Documents link when the Jaccard similarity of their shingle sets is at least ``similarity``; n_links counts other
     documents linked directly, equal ones included, and class_id is the smallest doc_id that links reach. Words are
@@ -375,8 +376,9 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = materialize(connected_components(found, "node", "root"), "classes")
     lowest = classes.join(sets.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(lowest, "component").select("node", "class_id")
-    known = sets.select("set_key", "node", F.col("doc_id").alias("least_id"), "n").join(links, "node", "left").join(classes, "node", "left").drop("node")
-    out = sketched.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("set_key")).alias("set_key")).join(known, "set_key", "left")
+    classes = classes.join(lowest, "component").select("node", "class_id", "component")
+    known = sets.select("set_key", "node", F.col("doc_id").alias("least_id"), "n").join(links, "node", "left").join(classes, "node", "left").withColumn("class_key", F.coalesce("component", "node")).drop("node", "component")
+    out = sketched.select("doc_id", F.col("key").alias("text_key"), F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("set_key")).alias("set_key")).join(known, "set_key", "left")
     class_id = F.coalesce("class_id", "least_id", "doc_id")
-    return out.select("doc_id", (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_links"), class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    columns = ["doc_id", (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_links"), class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept")]
+    return out.select(*columns, *(["text_key", "class_key"] if with_keys else []))
