@@ -41,15 +41,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest doc_id.
+    """One row of each class of near duplicates: the one with the smallest doc_id, then the smallest text hash.
 
-    Rows that share a doc_id are kept or dropped together. Texts without a word (null, empty) and rows without a doc_id
-    are near nothing and stay. All columns are kept. An empty table gives no rows.
+    Rows are told apart by doc_id and text, so of rows that share a doc_id each is kept or dropped by its own text, and of rows
+    that repeat both one stays. Texts without a word (null, empty) and rows without a doc_id
+    are near nothing and all stay. All columns are kept. An empty table gives no rows.
     """
     ship(spark)
-    at = free_name(docs, "__dropped")
-    dropped = ngram_join(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(at)).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(at), "left_anti")
+    key, of_doc, of_text, times = (free_name(docs, f"__{name}") for name in ("key", "doc", "text", "times"))
+    rows = ngram_join(docs, with_keys=True).filter("class_key is not null").groupBy("doc_id", "text_key", "class_key").agg(F.count("*").alias("n"))
+    rows = materialize(rows, "rows")
+    stays = rows.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("stays"))
+    judged = rows.join(stays, "class_key").withColumn("kept", F.struct("doc_id", "text_key") == F.col("stays"))
+    # how often a row that isn't to stay as it is stays: not at all, or once where it is repeated
+    changed = judged.filter("not kept or n > 1").select(F.col("doc_id").alias(of_doc), F.col("text_key").alias(of_text), F.col("kept").cast("int").alias(times))
+    keyed = docs.withColumn(key, F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16))
+    found = keyed.join(changed, (F.col("doc_id").cast("long") == F.col(of_doc)) & (F.col(key) == F.col(of_text)), "left")
+    repeated = found.filter(F.col(times) == 1).dropDuplicates([of_doc, of_text])
+    return found.filter(F.col(times).isNull()).unionByName(repeated).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
