@@ -13,6 +13,7 @@ from ..operators import entities as E
 from ..operators import joins as J
 from ..operators import search as S
 from ..operators.asof import top_per_group
+from ..operators.lexical_index import search_documents
 from ..sources import readers
 from ..streaming import jobs
 from .base import Plans, table
@@ -77,8 +78,7 @@ def searches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexical(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    found = S.bm25(table(spark, sf, "documents"), searches(spark, sf), "doc_id", "text", "item_id", "query").withColumn("score", F.round("score", 6))
-    return top_per_group(found, ["item_id"], [F.col("score").desc(), F.col("doc_id")], n)
+    return search_documents(table(spark, sf, "documents"), searches(spark, sf), "doc_id", "text", "item_id", "query", n).withColumnRenamed("doc", "doc_id")
 
 
 @plans(BM25 + " SELECT item_id, doc_id, score, rn FROM k WHERE rn <= 5")
