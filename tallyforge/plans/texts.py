@@ -14,6 +14,7 @@ from ..operators import joins as J
 from ..operators import search as S
 from ..operators.asof import top_per_group
 from ..operators.lexical_index import search_documents
+from ..operators.names import similar_names
 from ..sources import readers
 from ..streaming import jobs
 from .base import Plans, table
@@ -112,12 +113,49 @@ def t13_adjustment(spark: SparkSession, sf: str) -> DataFrame:
     return S.adjustment(claims, "user_id", "k", [F.col("ts").desc(), F.col("event_id").desc()], "w", "s", F.lit(6.0), 1.5).withColumn("adjustment", F.round("adjustment", 6))
 
 
-@plans()
+NAME = "array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(translate(lower(strip_accents({x})), '-''', ' '), '[^a-z0-9 ]+', ' ', 'g')), ' +'), lambda w: w <> '' AND w NOT IN ('jr', 'junior', 'snr', 'senior', 'ii', 'iii')), ' ')"
+LCS = "62 - bit_count(list_reduce(string_split({b}, ''), lambda v, c: list_transform([coalesce(list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, i + 1, 1) = c THEN 1::BIGINT << i ELSE 0 END)), 0)::BIGINT & v], lambda u: ((v + u) | (v - u)) & 4611686018427387903)[1], 4611686018427387903))"
+RATIOS = f"""x AS (SELECT *, list_sort(list_distinct(list_filter(string_split(a, ' '), lambda w: w <> ''))) AS wa, list_sort(list_distinct(list_filter(string_split(b, ' '), lambda w: w <> ''))) AS wb FROM pairs),
+y AS (SELECT *, array_to_string(list_filter(wa, lambda w: list_contains(wb, w)), ' ') AS both_w, array_to_string(list_filter(wa, lambda w: NOT list_contains(wb, w)), ' ') AS ra, array_to_string(list_filter(wb, lambda w: NOT list_contains(wa, w)), ' ') AS rb FROM x WHERE len(wa) > 0 AND len(wb) > 0),
+z AS (SELECT *, length(both_w) AS lc, length(both_w) + CASE WHEN both_w <> '' THEN 1 ELSE 0 END + length(ra) AS la, length(both_w) + CASE WHEN both_w <> '' THEN 1 ELSE 0 END + length(rb) AS lb FROM y),
+ratios AS (SELECT a, b, CASE WHEN both_w <> '' AND (ra = '' OR rb = '') THEN 100.0 ELSE greatest(100.0 - 100.0 * (length(ra) + length(rb) - 2 * (CASE WHEN ra = '' OR rb = '' THEN 0 ELSE {LCS.format(a="ra", b="rb")} END)) / (la + lb),
+  CASE WHEN lc > 0 THEN 100.0 - 100.0 * (1 + length(ra)) / (lc + la) ELSE 0 END, CASE WHEN lc > 0 THEN 100.0 - 100.0 * (1 + length(rb)) / (lc + lb) ELSE 0 END) END::DOUBLE AS score FROM z)"""
+TITLES = f"""titles AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS club, {NAME.format(x="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS name FROM pages)"""
+
+
+def titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of pages as names, and the language in a page's address as their club."""
+    found = T.normal_name(T.strip_accents(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)))
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("club"), found.alias("name"))
+
+
+@plans(f"""WITH {TITLES}, n AS (SELECT DISTINCT name FROM titles), pairs AS (SELECT p.name AS a, q.name AS b FROM n p JOIN n q ON p.name < q.name), {RATIOS} SELECT a AS name, b AS name2, round(score, 6) AS score FROM ratios WHERE score >= 80""")
+def j17_similar_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles that are nearly the same, each pair once."""
+    names = titles(spark, sf).select("name").distinct()
+    return similar_names(names, names, "name", "name").filter("name < name2").withColumn("score", F.round("score", 6))
+
+
+@plans(f"""WITH {TITLES}, asked AS (
+  SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN name WHEN 1 THEN substr(name, 1, length(name) // 2) || substr(name, length(name) // 2 + 2) ELSE string_split(name, ' ')[-1] END AS mention, CASE WHEN page_id % 2 = 0 THEN club END AS hint FROM titles
+), al AS (SELECT DISTINCT name, page_id, club FROM titles),
+scope AS (SELECT mention, hint, al.* FROM asked JOIN al ON asked.hint IS NULL OR asked.hint = al.club OR asked.hint NOT IN (SELECT club FROM al)),
+pairs AS (SELECT DISTINCT mention AS a, name AS b FROM scope), {RATIOS},
+ex AS (SELECT mention, hint, count(DISTINCT page_id) AS n, min(page_id) AS e FROM scope WHERE mention = name GROUP BY ALL),
+fz AS (SELECT s.mention, s.hint, s.page_id AS e, max(r.score) AS score FROM scope s JOIN ratios r ON r.a = s.mention AND r.b = s.name WHERE r.score >= 80 GROUP BY ALL),
+top AS (SELECT *, coalesce(lead(score) OVER w, 0) AS second, row_number() OVER w AS rn FROM fz WINDOW w AS (PARTITION BY mention, hint ORDER BY score DESC, e))
+SELECT k.mention, k.hint, CASE WHEN ex.n = 1 THEN ex.e WHEN ex.n IS NULL AND t.score >= 92 AND t.score - t.second >= 3 THEN t.e END AS page_id,
+  CASE WHEN ex.n = 1 THEN 'alias' WHEN ex.n > 1 THEN 'ambiguous' WHEN t.score >= 92 AND t.score - t.second >= 3 THEN 'fuzzy' WHEN t.score >= 80 THEN 'review' ELSE 'miss' END AS status,
+  round(CASE WHEN ex.n = 1 THEN 100 WHEN ex.n > 1 THEN 0 ELSE coalesce(t.score, 0) END::DOUBLE, 6) AS score
+FROM asked k LEFT JOIN ex ON ex.mention = k.mention AND ex.hint IS NOT DISTINCT FROM k.hint LEFT JOIN top t ON t.rn = 1 AND t.mention = k.mention AND t.hint IS NOT DISTINCT FROM k.hint""")
 def e03_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    """Nation names, some misspelt, resolved against the true ones."""
-    names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("entity"), T.normal_name(T.strip_accents("n_name")).alias("alias"))
-    mentions = names.select(F.when(F.col("entity") % 3 == 0, F.concat("alias", F.lit("x"))).otherwise(F.col("alias")).alias("mention"))
-    return E.resolve(mentions, names, "mention", "alias", "entity")
+    """Mentions of page titles, whole, with a letter missing or by their last word, with and without the club, resolved against all titles."""
+    names = titles(spark, sf)
+    middle = F.floor(F.length("name") / 2).cast("int")
+    typo = F.concat(F.substring("name", F.lit(1), middle), F.substring(F.col("name"), middle + 2, F.length("name")))
+    mention = F.when(F.col("page_id") % 3 == 0, F.col("name")).when(F.col("page_id") % 3 == 1, typo).otherwise(F.element_at(F.split("name", " "), -1))
+    mentions = names.select(mention.alias("mention"), F.when(F.col("page_id") % 2 == 0, F.col("club")).alias("hint"))
+    return E.resolve(mentions, names, "mention", "name", "page_id", "hint", "club").withColumn("score", F.round("score", 6))
 
 
 @plans("""SELECT event_type, user_id, count(*) AS occurrences FROM events GROUP BY 1, 2 HAVING count(*) > 15""")
