@@ -22,19 +22,36 @@ def two_sides(df: DataFrame, home: dict[str, Column], away: dict[str, Column], s
     return df.select(*keep, F.inline(F.array(row(home, True), row(away, False))))
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 14) -> DataFrame:
-    """Pairs (key less than other) whose 64-bit hashes differ in at most ``most`` bits.
+def near_hashes(left: DataFrame, right: DataFrame, most: int = 14, width: int = 64) -> DataFrame:
+    """(h, g, distance) of the distinct hashes (column h) of either side that differ in at most ``most`` bits, equal ones included.
+
+    The ``width`` low bits are cut into bands, a third as many as most + 1 and two at least. Hashes so near differ in at most two bits of some band, so
+    each left hash looks up its bands with up to two bits flipped (395 keys for 14 of 60 bits) and each right hash stands
+    under its bands as they are (5 keys). For evenly spread hashes one pair of ten meets at 14 of 60 bits, and fewer at lower distances.
+    """
+    bands = max(2, -(-(most + 1) // 3))
+    edges = [round(width * i / bands) for i in range(bands + 1)]
+    part = lambda c, a, b: F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
+
+    def keys(k: int, a: int, b: int) -> Column:
+        ones = [1 << i for i in range(b - a)]
+        flips = sorted({0, *ones, *(x | y for x in ones for y in ones)} if most >= 2 else {0, *ones} if most else {0})
+        return F.transform(F.lit(flips).cast("array<bigint>"), lambda m: F.struct(F.lit(k).alias("band"), part("h", a, b).bitwiseXOR(m).alias("part")))
+
+    looked = F.concat(*(keys(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))))
+    probes = left.select("h").distinct().select("h", F.explode(looked).alias("x")).select("h", "x.band", "x.part")
+    stands = right.select(F.col("h").alias("g")).distinct().select("g", F.posexplode(F.array(*(part("g", a, b) for a, b in zip(edges[:-1], edges[1:])))).alias("band", "part"))
+    distance = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
+    return probes.join(stands, ["band", "part"]).filter(distance <= most).select("h", "g", distance.alias("distance")).distinct()
+
+
+def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 14, width: int = 64) -> DataFrame:
+    """Pairs (key less than other) whose hashes of ``width`` bits differ in at most ``most`` bits (see ``near_hashes``).
 
-    Cut into most + 1 bands, two such hashes agree in one band at least, so pairs meet by equi-joins on bands.
     Distinct hashes are compared, each once, and rows that share a hash expand afterwards.
     """
-    bands = most + 1
-    edges = [round(64 * i / bands) for i in range(bands + 1)]
-    hashes = df.select(F.col(bits).alias("h")).distinct()
-    cut = F.array(*(F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(edges[:-1], edges[1:])))
-    split = hashes.select("h", F.posexplode(cut).alias("band", "part"))
-    other = split.withColumnRenamed("h", "g")
-    near = split.join(other, ["band", "part"]).filter("h <= g").filter(F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= most).select("h", "g", F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).alias("distance")).distinct()
+    hashes = df.select(F.col(bits).alias("h"))
+    near = near_hashes(hashes, hashes, most, width).filter("h <= g")
     left, right = df.select(F.col(key).alias("a"), F.col(bits).alias("h")), df.select(F.col(key).alias("b"), F.col(bits).alias("g"))
     met = near.join(left, "h").join(right, "g").filter("h < g or a < b")
     return met.select(F.least("a", "b").alias(key), F.greatest("a", "b").alias(f"other_{key}"), "distance").distinct()

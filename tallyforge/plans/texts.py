@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import entities as E
 from ..operators import joins as J
 from ..operators import search as S
+from ..operators.admission import admissions
 from ..operators.asof import top_per_group
 from ..operators.lexical_index import search_documents
 from ..operators.names import similar_names
@@ -43,7 +44,19 @@ def f11_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 @plans(f"WITH {FEATURES} SELECT a.doc_id, b.doc_id AS other_doc_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 14")
 def j18_hamming_near_dups(spark: SparkSession, sf: str) -> DataFrame:
-    return J.hamming_pairs(T.simhash60(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", "h", 14)
+    return J.hamming_pairs(T.simhash60(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", "h", 14, 60)
+
+
+@plans(f"""WITH {FEATURES}, dated AS (SELECT doc_id, h, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 7919 % 43200 AS INTEGER)) AS ts FROM h),
+folded AS (SELECT list_reduce(list({{'k': doc_id, 't': epoch_us(ts), 'h': h}} ORDER BY ts, doc_id), lambda s, d: CASE WHEN len(list_filter(s, lambda a: a.t > d.t - 604800000000 AND bit_count(xor(a.h, d.h)) <= 14)) > 0 THEN s ELSE list_append(s, d) END, []::STRUCT(k BIGINT, t BIGINT, h BIGINT)[]) AS s FROM dated),
+a AS (SELECT x.k AS k, x.t AS t, x.h AS h FROM (SELECT unnest(s) AS x FROM folded)),
+firsts AS (SELECT d.doc_id, min_by(a.k, (a.t, a.k)) AS first_id FROM dated d JOIN a ON (a.t, a.k) < (epoch_us(d.ts), d.doc_id) AND a.t > epoch_us(d.ts) - 604800000000 AND bit_count(xor(a.h, d.h)) <= 14 GROUP BY 1)
+SELECT d.doc_id, d.ts, a.k IS NOT NULL AS admitted, n.first_id FROM dated d LEFT JOIN a ON a.k = d.doc_id LEFT JOIN firsts n ON n.doc_id = d.doc_id""")
+def t02_admission(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as they would come in over a month, each compared with the admitted ones of the seven days before."""
+    minutes = F.make_dt_interval(mins=(F.col("doc_id") * 7919 % 43200).cast("int"))
+    docs = T.simhash60(table(spark, sf, "documents"), "doc_id", "text").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + minutes)
+    return admissions(docs, "doc_id", "ts", "h", width=60).select("doc_id", "ts", "admitted", "first_id")
 
 
 @plans(r"""WITH w AS (SELECT doc_id, regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\s+') AS w FROM documents)
