@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import states as S
 from ..sources import ingest as I
 from ..sources import readers
-from ..streaming import jobs
+from ..streaming import jobs, states
 from .base import Plans, table
 from .columns import K, events
 from .form import GAMES, team_rows
@@ -266,19 +266,50 @@ def v03_ingest_once(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.drain(once, _checkpoint(spark, f"v03-{uuid.uuid4().hex}")).select("user_id", "event_type", "k")
 
 
-@plans("SELECT event_type AS what, max(ts) AS last_at, count(*) AS n FROM events GROUP BY 1")
+def arrived(spark: SparkSession, sf: str, name: str) -> tuple[str, DataFrame]:
+    """A folder for a stream's progress, and events that arrive out of order, in several files."""
+    path = _checkpoint(spark, f"{name}-{uuid.uuid4().hex}")
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    events = table(spark, sf, "events").select("user_id", "ts", F.col("event_id").alias("id"), "event_type", "value", k.alias("k"))
+    jobs.arrivals(events, "ts", "user_id", f"{path}/events", ids=("id",))
+    return path, jobs.read_parquet_stream(spark, f"{path}/events")
+
+
+IN_ORDER = """e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id AS id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, id) >= 43200000 THEN 1 ELSE 0 END AS gap FROM e),
+s AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ms, id) AS session FROM g)"""
+
+
+@plans(f"""WITH {IN_ORDER}, m AS (SELECT *, CASE event_type WHEN 'signup' THEN 'deadline' WHEN 'view' THEN 'ingest' WHEN 'purchase' THEN 'prediction' END AS kind, ms // 1000 + k * 600 AS v FROM s),
+x AS (SELECT *, max(v) FILTER (kind = 'deadline') OVER w AS deadline, max(v) FILTER (kind = 'ingest') OVER w AS ingest, max(v) FILTER (kind = 'prediction') OVER w AS prediction,
+  max(v) OVER (PARTITION BY user_id, session, kind ORDER BY ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM m WINDOW w AS (PARTITION BY user_id, session ORDER BY ms, id))
+SELECT user_id, make_timestamp(ms * 1000) AS ts, id, deadline, ingest, prediction FROM x WHERE kind IS NOT NULL AND v IS NOT NULL AND (before IS NULL OR v > before)""")
 def v04_change_tick(spark: SparkSession, sf: str) -> DataFrame:
-    """When each kind of thing last changed, kept by a stream."""
-    stream = jobs.read_parquet_stream(spark, sf, "events.parquet").groupBy(F.col("event_type").alias("what")).agg(F.max("ts").alias("last_at"), F.count("*").alias("n"))
-    return jobs.drain_complete(stream, _checkpoint(spark, f"v04-{uuid.uuid4().hex}"))
+    """A tick for a user whenever a deadline, an ingest or a prediction moves on; twelve idle hours forget what was known."""
+    path, stream = arrived(spark, sf, "v04")
+    kind = F.expr("CASE event_type WHEN 'signup' THEN 'deadline' WHEN 'view' THEN 'ingest' WHEN 'purchase' THEN 'prediction' END")
+    rows = stream.withColumns({"kind": kind, "value": F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("k") * 600})
+    ticks = states.in_order(rows, "user_id", ["kind", "value"], "ts long, id long, deadline long, ingest long, prediction long", states.change_tick(["deadline", "ingest", "prediction"]), ["ts"], "12 hours")
+    return jobs.drain(ticks, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@plans(f"""WITH {IN_ORDER}, m AS (SELECT *, value < 50 AS empty FROM s), n AS (SELECT *, sum(CASE WHEN empty THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, session ORDER BY ms, id) AS run FROM m),
+r AS (SELECT *, row_number() OVER w AS place, first_value(ms) OVER w AS first_at FROM n WHERE empty WINDOW w AS (PARTITION BY user_id, session, run ORDER BY ms, id))
+SELECT user_id, make_timestamp(ms * 1000) AS ts, id, make_timestamp(first_at * 1000) AS first_ts FROM r WHERE place = 3""")
+def v07_silent_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """An event in the stream when a source has been empty three times in a row, whatever the order of arrival."""
+    path, stream = arrived(spark, sf, "v07")
+    found = states.in_order(stream.withColumn("empty", F.col("value") < 50), "user_id", ["empty"], "ts long, id long, first_ts long", states.silent(), ["ts", "first_ts"], "12 hours")
+    return jobs.drain(found, path).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"))
 
 
 @plans("""WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS first FROM events), w AS (SELECT e.user_id, w.start, e.value FROM events e, (SELECT DATE '2023-12-20' + CAST(unnest(range(0, 60)) AS INT) AS start) w WHERE CAST(e.ts AS DATE) >= w.start AND CAST(e.ts AS DATE) < w.start + 7)
 SELECT user_id, CAST(start AS TIMESTAMP) AS start, count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY 1, 2""")
 def v05_look_back(spark: SparkSession, sf: str) -> DataFrame:
-    """Sums over the seven days up to each day, as sliding windows of a stream."""
-    stream = jobs.read_parquet_stream(spark, sf, "events.parquet")
-    found = jobs.drain_complete(jobs.windowed(stream, "ts", ["user_id"], "value", "7 days", "1 day"), _checkpoint(spark, f"v05-{uuid.uuid4().hex}"))
+    """Sums over the seven days up to each day, as sliding windows of a stream that are written, and freed, when the watermark passes them."""
+    path, stream = arrived(spark, sf, "v05")
+    found = jobs.drain(jobs.windowed(stream, "ts", ["user_id"], "value", "7 days", "1 day"), path)
     return found.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 6).alias("total"))
 
 

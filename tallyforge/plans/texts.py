@@ -206,9 +206,10 @@ def s02_archive(spark: SparkSession, sf: str) -> DataFrame:
 
 @plans("""SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
 def v02_windowed_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily counts by a stream over the events file, drained; complete mode keeps all windows."""
-    stream = jobs.read_parquet_stream(spark, sf, "events.parquet")
-    counted = jobs.drain_complete(jobs.windowed(stream, "ts", ["event_type"], "value", "1 day"), _checkpoint(spark, f"w{uuid.uuid4().hex}"))
+    """Daily counts by a stream over events that arrive out of order; a day is written once the watermark has passed it."""
+    path = _checkpoint(spark, f"v02-{uuid.uuid4().hex}")
+    jobs.arrivals(table(spark, sf, "events").select("event_id", "ts", "event_type", "value"), "ts", "event_id", f"{path}/events")
+    counted = jobs.drain(jobs.windowed(jobs.read_parquet_stream(spark, f"{path}/events"), "ts", ["event_type"], "value", "1 day"), path)
     return counted.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 6).alias("total"))
 
 

@@ -32,16 +32,18 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.parquet(f"{path}/data")
 
 
-def drain_complete(stream: DataFrame, path: str) -> DataFrame:
-    """Run an aggregating stream over what is there now; each batch writes the whole result, and the last one is read."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-
-    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = stream.sparkSession.read.parquet(f"{path}/data")
-    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").drop("batch")
+def arrivals(rows: DataFrame, ts: str, key: str, folder: str, chunks: int = 4, jitter: int = 6, ids: tuple[str, ...] = ()) -> None:
+    """Write rows as they would arrive: in ``chunks`` files, up to ``jitter`` hours out of order, and a last file with one row of
+    key -1 (and -1 in ``ids``) a year later, which lets the watermark pass all others."""
+    moved = F.unix_timestamp(F.col(ts).cast("timestamp")) + F.pmod(F.xxhash64(*rows.columns), F.lit(jitter * 3600))
+    low, high = rows.agg(F.min(moved), F.max(moved)).first()
+    if low is not None:
+        for i in range(chunks):
+            at = F.floor((moved - low) * chunks / (high - low + 1))
+            rows.filter(at == i).coalesce(1).write.mode("append").parquet(folder)
+    names = {key, *ids}
+    last = [F.lit(-1).cast(t).alias(c) if c in names else F.expr("TIMESTAMP '2100-01-01' + INTERVAL 1 YEAR").cast(t).alias(c) if c == ts else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
+    rows.sparkSession.range(1).select(*last).write.mode("append").parquet(folder)
 
 
 def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
