@@ -80,24 +80,6 @@ def season_weight(seasons_ago: Column, factor: float = 0.72) -> Column:
     return F.pow(F.lit(factor), seasons_ago)
 
 
-def team_strengths(sides: DataFrame, team: str, opponent: str, goals: str, weight: str, ridge: float = 1.0):
-    """Attack and defence of each team by a weighted ridge Poisson regression: (team, attack, defence) and the model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    stages = []
-    for name in (team, opponent):
-        stages += [StringIndexer(inputCol=name, outputCol=f"{name}_i", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol=f"{name}_i", outputCol=f"{name}_v", dropLast=False)]
-    stages += [VectorAssembler(inputCols=[f"{team}_v", f"{opponent}_v"], outputCol="x"), GeneralizedLinearRegression(family="poisson", link="log", featuresCol="x", labelCol=goals, weightCol=weight, regParam=ridge / 1000, maxIter=25)]
-    model = Pipeline(stages=stages).fit(sides)
-    names, fit = model.stages[0].labels, model.stages[-1]
-    n = len(names)
-    means = [sum(fit.coefficients[i * n : (i + 1) * n]) / n for i in (0, 1)]
-    rows = [(names[i], float(fit.coefficients[i] - means[0]), float(-(fit.coefficients[n + i] - means[1]))) for i in range(n)]
-    return sides.sparkSession.createDataFrame(rows, f"{team} string, attack double, defence double"), fit
-
-
 #: Minutes of who starts or comes on, goals of a mean team, prior goals a match and spread of a prior by price.
 START_MINUTES, CAMEO_MINUTES, MEAN_GOALS = 78, 19, 1.42
 PRIOR_GOALS = {"GK": 0.002, "DEF": 0.05, "MID": 0.14, "FWD": 0.33}

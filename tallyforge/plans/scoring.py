@@ -158,18 +158,6 @@ def m16_dispersion(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.when(v > m, m * m / (v - m)), 4).alias("dispersion"))
 
 
-@plans()
-def m01_team_strength(spark: SparkSession, sf: str) -> DataFrame:
-    """Attack and defence of nations, from lines of orders as goals for the supplier's nation."""
-    goals = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("goals"), F.max("l_shipdate").alias("at_time"))
-    sides = matches(spark, sf).join(goals, F.col("match_id") == F.col("l_orderkey"))
-    newest = sides.agg(F.max("at_time").alias("newest"))
-    weight = F.pow(F.lit(0.5), F.datediff("newest", "at_time") / 300)
-    rows = sides.join(F.broadcast(newest)).select(F.col("home").cast("string").alias("team"), F.col("away").cast("string").alias("opponent"), "goals", weight.alias("weight"))
-    out, _ = M.team_strengths(rows, "team", "opponent", "goals", "weight")
-    return out
-
-
 @plans()
 def m06_tree_model(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of documents by a random forest on simple text measures, with out-of-sample probabilities."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import models as M
 from ..operators.asof import top_per_group
+from ..operators import strengths as ST
 from .base import Plans, table
 from .columns import K, events
 from .form import GAMES, team_rows
@@ -47,6 +48,30 @@ def m23_m28_strength_series(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("cutoff", "team").agg(F.count("*").alias("n"), mean("scored").alias("attack"), mean("conceded").alias("defence"))
 
 
+FITS = [f"{year}-01-01" for year in range(1996, 2001)]
+
+
+@plans(GAMES + ", c AS (SELECT CAST(unnest(" + str(FITS) + """) AS TIMESTAMP) AS cutoff), b AS (SELECT c.cutoff, g.*, row_number() OVER (PARTITION BY c.cutoff ORDER BY ts, home, away, hg, ag) AS place, count(*) OVER (PARTITION BY c.cutoff) AS n FROM g JOIN c ON g.ts < c.cutoff),
+w AS (SELECT *, pow(0.5, (n - place) / 300.0) AS w FROM b)
+SELECT cutoff, home, away, count(*) AS n, round(sum(w), 6) AS w, round(sum(w * hg), 6) AS gh, round(sum(w * ag), 6) AS ga, round(coalesce(sum(w) FILTER (hg = 0 AND ag = 0), 0), 6) AS w00, round(coalesce(sum(w) FILTER (hg = 1 AND ag = 1), 0), 6) AS w11 FROM w GROUP BY 1, 2, 3""")
+def m28_decayed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """What the strength fits of five cut-offs need of all matches: decayed sums for each pair of teams."""
+    found = ST.decayed_pairs(games(spark, sf), FITS, "ts", "home", "away", "hg", "ag")
+    return found.select("cutoff", "home", "away", "n", *(F.round(c, 6).alias(c) for c in ("w", "gh", "ga", "w00", "w11")))
+
+
+@plans()
+def m01_team_strength(spark: SparkSession, sf: str) -> DataFrame:
+    """Attack and defence of nations at five cut-offs, each from the matches before it alone."""
+    return ST.strength_fits(games(spark, sf), FITS, "ts", "home", "away", "hg", "ag")
+
+
+def games(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each match of nations, with its score."""
+    home = team_rows(spark, sf).filter("is_home = 1")
+    return home.select("ts", F.col("team").alias("home"), F.col("opponent").alias("away"), F.col("scored").alias("hg"), F.col("conceded").alias("ag"))
+
+
 @plans(f"SELECT event_type AS model, max(event_id) FILTER (value > 60) AS active, count(*) AS versions, max(event_id) AS newest FROM (SELECT *, {K} AS k FROM events) GROUP BY 1")
 def m22_active_models(spark: SparkSession, sf: str) -> DataFrame:
     """Of all versions of a model, the last that was promoted is in use."""
