@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..operators import boosting as B
+from ..operators import model_store as V
 from ..operators import models as M
+from ..shared import shared_folder
 from .base import Plans, table
 from .relational import SIDES, matches
 
@@ -158,24 +161,47 @@ def m16_dispersion(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.when(v > m, m * m / (v - m)), 4).alias("dispersion"))
 
 
+MEASURES = {
+    "chars": "length(text)", "words": "size(split(text, ' '))", "lines": "size(split(text, '\\n'))", "digits": "length(regexp_replace(text, '[^0-9]', '')) / greatest(length(text), 1)",
+    "capitals": "length(regexp_replace(text, '[^A-Z]', '')) / greatest(length(text), 1)", "marks": "length(regexp_replace(text, '[A-Za-z0-9\\\\s]', '')) / greatest(length(text), 1)", "distinct_words": "size(array_distinct(split(text, ' '))) / size(split(text, ' '))",
+}
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents with simple measures of their texts."""
+    docs = table(spark, sf, "documents").select("doc_id", *(F.expr(e).cast("double").alias(c) for c, e in MEASURES.items()))
+    return table(spark, sf, "labels").join(docs, "doc_id")
+
+
+def quality_model(spark: SparkSession, sf: str) -> B.Model:
+    """Quality by boosted trees; more distinct words may only raise it, more marks only lower it."""
+    return B.fit(labelled(spark, sf), list(MEASURES), "quality", 2, F.col("doc_id") % 5 == 0, monotone={"distinct_words": 1, "marks": -1}, rounds=20, patience=4)
+
+
 @plans()
 def m06_tree_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Quality of documents by a random forest on simple text measures, with out-of-sample probabilities."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    docs = table(spark, sf, "documents").select("doc_id", F.length("text").cast("double").alias("chars"), F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "\n")).cast("double").alias("lines"))
-    rows = VectorAssembler(inputCols=["chars", "words", "lines"], outputCol="features").transform(table(spark, sf, "labels").join(docs, "doc_id")).withColumn("label", F.col("quality").cast("double"))
-    model = RandomForestClassifier(numTrees=20, maxDepth=4, seed=3).fit(rows.filter("doc_id % 5 <> 0"))
-    return model.transform(rows.filter("doc_id % 5 = 0")).select("doc_id", "quality", vector_to_array("probability")[1].alias("p"))
-
-
-def players(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as players of matches: a player's chance to start and rates come from its share of quantity."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
-    q, s = F.col("q"), F.col("l_suppkey")
-    return lines.select(F.col("l_orderkey").alias("fixture_id"), s.alias("player_id"), (s % 2).alias("team_id"), F.expr(POSITION.format(x="l_suppkey")).alias("position"), F.least(F.lit(0.95), q / 60).alias("p_start"), F.lit(0.05).alias("p_cameo"), (q / 50).alias("goals90"), (q / 70).alias("assists90"), (4 + s % 9).cast("double").alias("actions90"), F.when(s % 4 == 0, 3.0).otherwise(0.0).alias("saves90"), (10 + q / 5).alias("exp_bps"), (1 + (s % 2 + F.col("l_orderkey") % 3) / 3).alias("team_rate"))
+    """Calibrated chances that held-out documents are of good quality."""
+    rows = labelled(spark, sf)
+    return B.scored(rows, quality_model(spark, sf)).filter("doc_id % 5 = 0").select("doc_id", "quality", F.col("p")[1].alias("p"))
+
+
+@plans()
+def m21_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the quality model by their share of all gain, and whether the guard would refuse one as a text's."""
+    first = B.importance(quality_model(spark, sf))
+    rows = [(place, f, share, place <= B.TEXT_PLACES and f in ("words", "distinct_words")) for place, (f, share) in enumerate(first, 1)]
+    return spark.createDataFrame(rows, "place int, feature string, share double, refused boolean")
+
+
+@plans()
+def m25_m30_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that is fitted once, used again, and refitted on all rows with the metrics of its holdout."""
+    folder = shared_folder(spark, "models")
+    halves = {h: sorted(str(r.k) for r in labelled(spark, sf).filter(F.col("doc_id") % 5 == 0 if h else F.col("doc_id") % 5 > 0).select((F.col("doc_id") % 10).alias("k")).distinct().collect()) for h in (True, False)}
+    for _ in range(2):
+        version, _ = V.active_or_fit(spark, folder, "quality", lambda: (quality_model(spark, sf), halves[False], halves[True]))
+    V.refit_on_all(spark, folder, "quality", version, lambda rounds: B.fit(labelled(spark, sf), list(MEASURES), "quality", 2, F.lit(False), rounds=rounds))
+    return V.versions(spark, folder).select("version", "refit_of", "promoted", F.size("trained_on").alias("n_trained"), F.size("holdout").alias("n_holdout"), F.get_json_object("metrics", "$.rounds").cast("int").alias("rounds"))
 
 
 @plans()
