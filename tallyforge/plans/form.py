@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import form as P
 from ..operators import windows as W
+from ..player_features import player_graph
 from .base import Plans, table
 from .scoring import POSITION
 
@@ -165,6 +166,34 @@ def k12_bonus_form(spark: SparkSession, sf: str) -> DataFrame:
     return features(history(spark, sf), bps90_last5=P.per90(F.col("bps"), "minutes", last(5)), bonus_rate_last10=P.share(F.col("bonus") > 0, F.col("minutes") > 0, last(10)))
 
 
+GRAPH_SQL = {f"mins_last{n}": f"coalesce(sum(minutes) OVER w{n}, 0)" for n in (1, 3, 5, 10)}
+GRAPH_SQL |= {name: shrunk_sql(x, f"w{n}", PRIOR) for name, x, n in EXPECTED} | {f"{x}90": per90_sql(x, "w5") for x in VOLUMES}
+GRAPH_SQL |= {
+    "starts_last5": f"count(CASE WHEN {STARTED} THEN 1 END) OVER w5", "sub_appearance_rate": f"avg(CASE WHEN {SUB} THEN 1.0 ELSE 0.0 END) OVER w10",
+    "avg_sub_on_minute": f"coalesce(avg(CASE WHEN {SUB} THEN 90 - minutes END) OVER w10, 70)", "xg_overperformance_last10": "sum(goals - xg) OVER w10", "defcon_actions90": shrunk_sql(ACTIONS, "w10", "6.0"),
+    "mins_last5_weighted": "(" + " + ".join(f"coalesce({x} * pow(0.5, {i} / 3.0), 0)" for i, x in enumerate(LAGS)) + ") / nullif(" + " + ".join(f"CASE WHEN {x} IS NULL THEN 0 ELSE pow(0.5, {i} / 3.0) END" for i, x in enumerate(LAGS)) + ", 0)",
+    "conversion_ratio": "sum(goals) OVER w10 / nullif(round(sum(xg) OVER w10, 9), 0)", "defcon_margin": f"avg(CASE WHEN minutes >= 45 THEN {ACTIONS} - {NEEDED} END) OVER w10",
+    "bps90_last5": f"coalesce({per90_sql('bps', 'w5')}, 0)", "bonus_rate_last10": "avg(CASE WHEN minutes > 0 THEN CASE WHEN bonus > 0 THEN 1.0 ELSE 0.0 END END) OVER w10",
+    "saves90": f"CASE WHEN position = 'GK' THEN {per90_sql('saves', 'w5')} ELSE 0 END", "saves_per_shot_faced": "CASE WHEN position = 'GK' THEN sum(saves) OVER w10 / nullif(sum(saves + conceded) OVER w10, 0) END",
+    "pens_taken90": per90_sql("penalties", "w20"), "card_rate90": per90_sql("cards", "w10"), "xgi90_last5": per90_sql("xg + xa", "w5"),
+} | {f"defcon_hit_rate_last{n}": f"avg(CASE WHEN minutes >= 45 THEN CASE WHEN {ACTIONS} >= {NEEDED} THEN 1.0 ELSE 0.0 END END) OVER w{n}" for n in (5, 10)}
+MEANS = ["xgi90_last5", "defcon_hit_rate_last5", "defcon_hit_rate_last10"]
+LATER_SQL = {"minutes_trend": "mins_last3 / 3 - mins_last10 / 10", "xg_form": "xg90_last3 / nullif(xg90_last10, 0)", "expected_points_form": "xg90_last3 / nullif(xg90_last10, 0) * 4 + (mins_last3 / 3 - mins_last10 / 10) / 30 + bps90_last5 / 20"}
+FLAGS = [f"{n}_missing" for n in ("mins_last5_weighted", "conversion_ratio")]
+
+
+@plans(f"""{HISTORY}, a AS (SELECT {', '.join(KEYS)}, position, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in GRAPH_SQL.items())} FROM h {WINDOWS}),
+b AS (SELECT * REPLACE ({', '.join(f'coalesce({n}, avg({n}) OVER (PARTITION BY position)) AS {n}' for n in MEANS)}) FROM a),
+c AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in LATER_SQL.items())}, {', '.join(f'CASE WHEN {n[:-8]} IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS {n}' for n in FLAGS)} FROM b)
+SELECT {', '.join(KEYS)}, {', '.join(f'round({n}, 10) AS {n}' for n in [*GRAPH_SQL, *LATER_SQL, *FLAGS])} FROM c""")
+def u01_feature_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """All form features by the graph, with what stands for missing values."""
+    wide, failed = player_graph("player", ORDER).build_wide(history(spark, sf))
+    if failed:
+        raise ValueError(f"features failed: {failed}")
+    return wide.select(*KEYS, *(F.round(c, 10).alias(c) for c in [*GRAPH_SQL, *LATER_SQL, *FLAGS]))
+
+
 @plans("""SELECT o_orderkey, CASE WHEN TRY_CAST(split_part(s, '-', 1) AS INT) >= 1999 THEN 1 ELSE 0 END AS regime FROM (SELECT o_orderkey, year(o_orderdate) || '-' || substr(CAST(year(o_orderdate) + 1 AS VARCHAR), 3) AS s FROM orders)""")
 def k13_season_regime(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a season, written as 1998-99, began under the rules of 1999."""
