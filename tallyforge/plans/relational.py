@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import asof as P
 from ..operators import joins as J
+from ..operators.vector_index import Search as VectorSearch
+from ..operators.vector_index import build_index
+from ..shared import shared_folder
 from .base import Plans, table
 
 plans = Plans()
@@ -151,6 +154,17 @@ def j20_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return P.top_per_group(met, ["query_id"], [F.col("c").desc(), F.col("vec_id")], 5).select("query_id", "vec_id", "rn")
 
 
+@plans("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS c FROM q JOIN v ON v.vec_id <> q.vec_id)
+SELECT query_id, vec_id, round(c, 9) AS cosine, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rn FROM s) WHERE rn <= 10""")
+def t07_vector_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of one vector in a hundred, from an index of all."""
+    vectors, folder = table(spark, sf, "embeddings"), shared_folder(spark, "vectors")
+    build_index(vectors, folder, "vec_id", "embedding")
+    asked = VectorSearch(spark, folder, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10, not_itself=True)
+    return asked.run().select(F.col("q").alias("query_id"), F.col("key").alias("vec_id"), "cosine", "rn")
+
+
 @plans("""SELECT l.l_orderkey, l.l_linenumber, o.o_totalprice AS total, l.l_quantity, l.l_discount FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_orderstatus = l.l_linestatus
 AND date_trunc('month', o.o_orderdate) = date_trunc('month', l.l_shipdate)""")
 def j21_multi_key_merge(spark: SparkSession, sf: str) -> DataFrame:
