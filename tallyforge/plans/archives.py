@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import shared_folder
 from ..sources import archive_source, batches
+from ..sources.seasons import read_seasons, voted
 from .base import Plans, table
 
 plans = Plans()
@@ -51,3 +52,42 @@ def u05_deferred_batches(spark: SparkSession, sf: str) -> DataFrame:
         batches.commit_batch(spark, folder, number, {"facts": events.filter(F.col("b") == number).select("event_id", "user_id", "value")}, [new_users])
     facts = batches.read_table(spark, folder, "facts").groupBy("user_id").agg(F.count("*").alias("n_facts"), F.round(F.sum("value"), 6).alias("total"))
     return batches.read_table(spark, folder, "users").join(facts, "user_id").select("user_id", "batch", "n_facts", "total")
+
+
+def season_files(spark: SparkSession, sf: str) -> str:
+    """Lines of orders as season files: three generations of columns, some values that aren't numbers, and cells beyond the header."""
+    folder = shared_folder(spark, "seasons")
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).withColumn("year", F.year("o_orderdate"))
+    minutes = F.when(F.col("l_partkey") % 50 == 0, "n/a").otherwise(F.format_string("%.1f", "l_quantity"))
+    wrong = F.when(F.col("l_linenumber") >= 4, 1).otherwise(0)
+    text = {"element": F.col("l_suppkey"), "fixture": F.col("l_orderkey"), "line": F.col("l_linenumber"), "minutes": minutes, "home_goals": F.col("l_orderkey") % 5 + wrong, "team": F.concat(F.lit('club, "'), (F.col("l_suppkey") % 9).cast("string"), F.lit('"')), "influence": F.col("l_tax")}
+    generations = [("year < 1996", ["line", "element", "fixture", "minutes", "home_goals"]), ("year between 1996 and 1998", ["element", "fixture", "line", "mins", "home_goals", "team"]), ("year > 1998", ["team", "influence", "element", "minutes", "line", "fixture", "home_goals"])]
+    for number, (years, names) in enumerate(generations):
+        chosen = rows.filter(years).select(*(text["minutes" if n == "mins" else n].cast("string").alias(n) for n in names), "year")
+        chosen.write.option("header", True).option("escape", '"').partitionBy("year").csv(f"{folder}/{number}")
+    return folder
+
+
+SEASON_COLUMNS = {"element": "int", "fixture": "long", "line": "int", "minutes": "int", "home_goals": "int", "team": "string"}
+
+
+def seasons_read(spark: SparkSession, sf: str) -> DataFrame:
+    return read_seasons(spark, season_files(spark, sf), SEASON_COLUMNS, "element", {"minutes": ["mins"]})
+
+
+SEASON_SQL = """WITH r AS (SELECT l_suppkey AS element, l_orderkey AS fixture, l_linenumber AS line, CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE CAST(l_quantity AS INTEGER) END AS minutes, CAST(l_orderkey % 5 + CASE WHEN l_linenumber >= 4 THEN 1 ELSE 0 END AS INTEGER) AS home_goals,
+CASE WHEN year(o_orderdate) >= 1996 THEN 'club, "' || l_suppkey % 9 || '"' END AS team, l_partkey % 50 = 0 AS bad, year(o_orderdate) > 1998 AS late FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+@plans(SEASON_SQL + " SELECT element, fixture, line, minutes, home_goals, team, (bad OR late) AS has_rescued, CASE WHEN bad THEN 'n/a' END AS bad_minutes FROM r")
+def s08_season_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of several seasons with differing columns in one read; what doesn't fit is rescued."""
+    rows = seasons_read(spark, sf)
+    return rows.select(*SEASON_COLUMNS, F.col("rescued").isNotNull().alias("has_rescued"), F.get_json_object("rescued", "$.minutes").alias("bad_minutes"))
+
+
+@plans(SEASON_SQL + """, v AS (SELECT fixture, home_goals, count(*) AS n FROM r GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY fixture ORDER BY n DESC, home_goals) AS rn, sum(n) OVER (PARTITION BY fixture) AS n_rows FROM v)
+SELECT fixture, home_goals, CAST(n_rows AS BIGINT) AS n_rows, round(n / n_rows, 9) AS agreement FROM w WHERE rn = 1""")
+def s08_voted_fixtures(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixtures rebuilt from players' rows, which don't all agree on the score."""
+    return voted(seasons_read(spark, sf), ["fixture"], ["home_goals"]).withColumn("agreement", F.round("agreement", 9))

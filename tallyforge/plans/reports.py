@@ -268,12 +268,16 @@ def e01_external_ids(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(codes, "code", "left").select("event_id", "entity", F.col("entity").isNull().alias("unmapped"))
 
 
-@plans("SELECT d.doc_id, n.n_nationkey AS entity FROM documents d JOIN (SELECT n_nationkey, ['the', 'and', 'that', 'les', 'des', 'aire', 'ouai', 'en'][n_nationkey % 8 + 1] || ' ' AS surname FROM nation WHERE n_nationkey < 8) n ON contains(lower(d.text), n.surname)")
+@plans(r"""WITH n AS (SELECT page_id AS entity, regexp_extract_all(lower(strip_accents(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))), '[a-z0-9]+')[-1] AS surname FROM pages),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS word FROM documents)
+SELECT w.doc_id, n.entity FROM w JOIN n ON n.surname = w.word WHERE length(n.surname) > 2""")
 def e05_mention_shortlist(spark: SparkSession, sf: str) -> DataFrame:
-    """The entities, from a list of eight, whose surname a text holds."""
-    surnames = F.array(*map(F.lit, ("the ", "and ", "that ", "les ", "des ", "aire ", "ouai ", "en ")))
-    names = table(spark, sf, "nation").filter("n_nationkey < 8").select(F.col("n_nationkey").alias("entity"), F.element_at(surnames, F.col("n_nationkey") % 8 + 1).alias("surname"))
-    return table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t")).join(F.broadcast(names), F.contains("t", "surname")).select("doc_id", "entity")
+    """The entities whose surname, the last word of a page's title, is a word of a text: all entities, by an equi-join on words."""
+    tokens = lambda c: F.regexp_extract_all(F.lower(T.strip_accents(c)), F.lit("[a-z0-9]+"), F.lit(0))
+    title = tokens(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
+    names = table(spark, sf, "pages").select(F.col("page_id").alias("entity"), F.try_element_at(title, F.lit(-1)).alias("surname"))
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("surname"))
+    return words.join(names.filter(F.length("surname") > 2), "surname").select("doc_id", "entity")
 
 
 @plans("""WITH p AS (SELECT c_custkey AS entity, 'code' || c_custkey // 3 AS code, CASE WHEN c_custkey % 3 = 0 THEN 'Name ' || c_custkey ELSE 'Name' END AS name, c_custkey % 7 AS season FROM customer UNION ALL SELECT c_custkey, 'code' || (c_custkey + 5) // 3, 'Name', 1 FROM customer WHERE c_custkey % 10 = 0),
