@@ -3,8 +3,12 @@
 A word is a run of letters, in lower case; its subwords are itself and its character 2- to 4-grams with word marks,
 hashed into a fixed number of buckets by array operations over many texts at once. A text is the mean embedding of all
 its subwords. The model is trained by stochastic gradient descent in
-numpy on a bounded sample of labelled rows; a temperature and a rejection threshold are fitted on a part
-of the sample that training doesn't see.
+numpy on a bounded sample of labelled rows; a temperature is fitted on a part of the sample that training doesn't see.
+
+A softmax is sure of texts in no language that it knows, too, so rejection looks at something else: how likely a text's subwords are in the
+language that was predicted, as the mean logarithm of their shares there. That part of the sample tells how this varies between texts of a language and
+with their length. A text is rejected that lies more deviations below its language's mean than nearly all of them, and at least half as far below as nearly all
+strangers: the languages themselves, each as seen by the others (leaving one out), and the texts with their letters replaced at random.
 """
 
 from __future__ import annotations
@@ -26,6 +30,11 @@ BUCKETS = 1 << BITS
 SAMPLE_PER_LANG = 600
 #: Characters that are hashed at a time.
 GROUP_CHARS = 250_000
+#: Subwords of a word overlap, so that about so many tell as much as one; pseudo-texts that stand for a bucket that a language lacks.
+OVERLAP, LACKING = 8.0, 0.02
+#: Known texts that may be rejected, strangers that lie beyond the quantile that counts for them, deviations that a rejection needs at least,
+#: and letters of a scrambled text.
+REJECTED, NEAR_STRANGERS, LEAST_DEVIATIONS, STRANGE_CHARS = 0.001, 0.98, 8.5, 2000
 
 
 @cache
@@ -96,7 +105,15 @@ class LanguageModel:
     logits: np.ndarray
     bias: np.ndarray
     temperature: float
+    #: Logarithms of the buckets' shares in each language; each language's mean of a text's mean logarithm, and its variance for a subword and between texts.
+    shares: np.ndarray
+    usual: np.ndarray
+    #: How many deviations below the mean are too many, and how far below it, in logarithms, a stranger is.
     threshold: float
+    apart: float = 0.0
+    #: Share of known texts that would be rejected and of strangers that would be accepted, on rows that training doesn't see.
+    false_reject: float = 0.0
+    false_accept: float = 0.0
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -104,10 +121,23 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=-1, keepdims=True)
 
 
+def _scrambled(text: str, seed: int) -> str:
+    """The text with its letters replaced by random ones of the Latin alphabet; words keep their lengths."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
+    at = letters()[points]
+    points[at] = np.random.default_rng(seed).integers(97, 123, int(at.sum()))
+    return points.tobytes().decode("utf-32-le")
+
+
+def _deviations(means: np.ndarray, n: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """How many deviations a text's mean logarithm lies above (or below) the mean of its language; ``usual`` has a row for each text."""
+    return (means - usual[:, 0]) / np.sqrt(usual[:, 1] * OVERLAP / np.maximum(n, 1) + usual[:, 2])
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled texts as sparse means of their buckets, at most BUCKETS entries each."""
     for batch in batches:
-        out: dict[str, list] = {"doc_id": [], "lang": [], "bucket": [], "weight": []}
+        out: dict[str, list] = {"doc_id": [], "lang": [], "bucket": [], "weight": [], "n": [], "strange": []}
         for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts = np.zeros(BUCKETS, np.int64)
             for group in _groups(iter([text])):
@@ -119,7 +149,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["lang"].append(lang)
                 out["bucket"].append(some.astype(np.int32))
                 out["weight"].append((counts[some] / counts.sum()).astype(np.float32))
-        yield pa.record_batch({"doc_id": pa.array(out["doc_id"], pa.int64()), "lang": pa.array(out["lang"], pa.string()), "bucket": pa.array(out["bucket"], pa.list_(pa.int32())), "weight": pa.array(out["weight"], pa.list_(pa.float32()))})
+                out["n"].append(int(counts.sum()))
+                out["strange"].append(np.concatenate([b for _, b in subwords([_scrambled(text[:STRANGE_CHARS].lower(), int(counts.sum()))])] or [np.zeros(0, np.int64)]).astype(np.int32))
+        yield pa.record_batch({"doc_id": pa.array(out["doc_id"], pa.int64()), "lang": pa.array(out["lang"], pa.string()), "bucket": pa.array(out["bucket"], pa.list_(pa.int32())), "weight": pa.array(out["weight"], pa.list_(pa.float32())), "n": pa.array(out["n"], pa.int64()), "strange": pa.array(out["strange"], pa.list_(pa.int32()))})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -136,9 +168,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     scale = 1 << 30
     for name, n in sorted(sizes.items()):
         chosen |= (F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(scale)) < min(scale, int(scale * per_lang / n)))
-    sample = rows.filter(chosen).mapInArrow(_features, "doc_id long, lang string, bucket array<int>, weight array<float>").toArrow() if sizes else None
+    sample = rows.filter(chosen).mapInArrow(_features, "doc_id long, lang string, bucket array<int>, weight array<float>, n long, strange array<int>").toArrow() if sizes else None
     if sample is None or not sample.num_rows:
-        return LanguageModel((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return LanguageModel((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, np.zeros((BUCKETS, 0)), np.zeros((0, 3)), 0.0)
     sample = sample.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()
     names, ids = sample["lang"].to_pylist(), sample["doc_id"].to_pylist()
     buckets, shares = ([x.values.to_numpy(zero_copy_only=False) for x in sample[c]] for c in ("bucket", "weight"))
@@ -174,9 +206,39 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     grid = np.geomspace(0.25, 8, 41)
     loss = [-np.log(softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    best = softmax(z / temperature).max(axis=1)
-    # of the rows that calibrate, nearly all must stay; half a probability is always enough
-    return LanguageModel(langs, logits, bias, temperature, float(min(0.5, np.quantile(best, 0.001))))
+    counted = sample["n"].to_numpy()
+    total = np.zeros((BUCKETS, len(langs)))
+    for i in learn:
+        np.add.at(total[:, y[i]], buckets[i], shares[i])
+    shares_of = np.log((total + LACKING / BUCKETS) / (total.sum(axis=0) + LACKING))
+    means = np.stack([shares[i].astype(float) @ shares_of[buckets[i]] for i in check])
+    own, n = means[np.arange(len(check)), y[check]], counted[check].astype(float)
+    usual = np.zeros((len(langs), 3))
+    p = np.exp(shares_of)
+    for j in range(len(langs)):
+        at = y[check] == j
+        spread = float((p[:, j] * (shares_of[:, j] - (p[:, j] * shares_of[:, j]).sum()) ** 2).sum())
+        # a language with hardly a text apart is taken to vary as the mean of all
+        mean = own[at].mean() if at.any() else own.mean()
+        between = np.mean((own[at] - mean) ** 2 - spread * OVERLAP / n[at]) if at.sum() > 2 else 0.0
+        usual[j] = mean, spread, max(float(between), 0.01)
+    known = _deviations(own, n, usual[y[check]])
+    # strangers: each language as the likeliest of the others sees it, and scrambled letters
+    others = z.copy()
+    others[np.arange(len(check)), y[check]] = -np.inf
+    seen_as = others.argmax(axis=1)
+    strange = [(means[np.arange(len(check)), seen_as], n, usual[seen_as])] if len(langs) > 1 else []
+    letters_of = [x.values.to_numpy(zero_copy_only=False) for x in sample["strange"]]
+    some = [i for i in check if len(letters_of[i]) > 4 * OVERLAP]
+    if some:
+        as_lang = np.array([(logits[letters_of[i]].mean(axis=0) + bias).argmax() for i in some])
+        strange.append((np.array([shares_of[letters_of[i], k].mean() for i, k in zip(some, as_lang, strict=True)]), np.array([len(letters_of[i]) for i in some], float), usual[as_lang]))
+    threshold = min(float(np.quantile(known, REJECTED)), -LEAST_DEVIATIONS)
+    below = np.concatenate([m - u[:, 0] for m, _, u in strange]) if strange else np.zeros(0)
+    apart_by = min(0.0, float(np.quantile(below, NEAR_STRANGERS))) / 2 if len(below) else 0.0
+    goes = lambda m, n, u: (_deviations(m, n, u) < threshold) & (m - u[:, 0] < apart_by)
+    accepted = float(1 - np.concatenate([goes(*x) for x in strange]).mean()) if strange else 0.0
+    return LanguageModel(langs, logits, bias, temperature, shares_of, usual, threshold, apart_by, float(goes(own, n, usual[y[check]]).mean()), accepted)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -184,29 +246,32 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     k = len(model.langs)
     for batch in batches:
         n = batch.num_rows
-        sums, counts = np.zeros((n, k)), np.zeros(n)
+        sums, likely, counts = np.zeros((n, k)), np.zeros((n, k)), np.zeros(n)
         for group in _groups(x.as_py() or "" for x in batch.column(1)):
             rows = np.array([i for i, _ in group])
             for part, bucket in subwords([p for _, p in group]):
                 np.add.at(counts, rows, np.bincount(part, minlength=len(rows)))
                 for j in range(k):
                     np.add.at(sums[:, j], rows, np.bincount(part, weights=model.logits[bucket, j], minlength=len(rows)))
+                    np.add.at(likely[:, j], rows, np.bincount(part, weights=model.shares[bucket, j], minlength=len(rows)))
         if k:
             p = softmax((sums / np.maximum(counts, 1)[:, None] + model.bias) / model.temperature)
             best, score = p.argmax(axis=1), p.max(axis=1)
+            mean = likely[np.arange(n), best] / np.maximum(counts, 1)
+            strange = (_deviations(mean, counts, model.usual[best]) < model.threshold) & (mean - model.usual[best, 0] < model.apart)
         else:
-            best, score = np.zeros(n, int), np.zeros(n)
+            best, score, strange = np.zeros(n, int), np.zeros(n), np.ones(n, bool)
         known = (counts > 0) & (k > 0)
         langs = [model.langs[b] if ok else "und" for b, ok in zip(best, known, strict=True)]
-        added = [pa.array(langs, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(~known | (score < model.threshold))]
+        added = [pa.array(langs, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(~known | strange)]
         yield pa.record_batch([*batch.columns[:1], *batch.columns[2:], *added], names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "rejected"])
 
 
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each row of ``docs``, from its whole text alone.
 
-    A text that is null or has no letter gets ``und`` with score 0 and is rejected, as is any text whose calibrated
-    probability is under the model's threshold (its lang_pred is still the likeliest language). Ties go to the
+    A text that is null or has no letter gets ``und`` with score 0 and is rejected, as is any text whose subwords are too unlikely in
+    the language that it is likest to (its lang_pred and score are still that language's). Ties go to the
     first language in order. With no labelled row to learn from all is ``und``. Repeated rows give repeated rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
