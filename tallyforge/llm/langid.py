@@ -34,7 +34,7 @@ GROUP_CHARS = 250_000
 OVERLAP, LACKING = 8.0, 0.02
 #: Known texts that may be rejected, strangers that lie beyond the quantile that counts for them, deviations that a rejection needs at least,
 #: and letters of a scrambled text.
-REJECTED, NEAR_STRANGERS, LEAST_DEVIATIONS, STRANGE_CHARS = 0.001, 0.98, 8.5, 2000
+REJECTED, NEAR_STRANGERS, LEAST_DEVIATIONS, STRANGE_CHARS = 0.001, 0.98, 8.5, 400
 
 
 @cache
@@ -121,6 +121,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=-1, keepdims=True)
 
 
+def _calibrates(doc_id: int) -> bool:
+    """Whether a row of the sample is kept from training, to calibrate on."""
+    return zlib.crc32(f"calibrate {doc_id}".encode()) % 5 == 0
+
+
 def _scrambled(text: str, seed: int) -> str:
     """The text with its letters replaced by random ones of the Latin alphabet; words keep their lengths."""
     points = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
@@ -150,7 +155,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["bucket"].append(some.astype(np.int32))
                 out["weight"].append((counts[some] / counts.sum()).astype(np.float32))
                 out["n"].append(int(counts.sum()))
-                out["strange"].append(np.concatenate([b for _, b in subwords([_scrambled(text[:STRANGE_CHARS].lower(), int(counts.sum()))])] or [np.zeros(0, np.int64)]).astype(np.int32))
+                # only rows that calibrate need a stranger
+                found = [b for _, b in subwords([_scrambled(text[:STRANGE_CHARS].lower(), int(counts.sum()))])] if _calibrates(doc_id) else []
+                out["strange"].append(np.concatenate(found or [np.zeros(0, np.int64)]).astype(np.int32))
         yield pa.record_batch({"doc_id": pa.array(out["doc_id"], pa.int64()), "lang": pa.array(out["lang"], pa.string()), "bucket": pa.array(out["bucket"], pa.list_(pa.int32())), "weight": pa.array(out["weight"], pa.list_(pa.float32())), "n": pa.array(out["n"], pa.int64()), "strange": pa.array(out["strange"], pa.list_(pa.int32()))})
 
 
@@ -178,7 +185,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     y = np.array([langs.index(x) for x in names])
     rng = np.random.default_rng(seed)
     embed, weights, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
-    apart = np.array([zlib.crc32(f"calibrate {i}".encode()) % 5 == 0 for i in ids])
+    apart = np.array([_calibrates(i) for i in ids])
     if apart.all() or not apart.any():
         apart = np.zeros(len(ids), bool)
     learn = np.flatnonzero(~apart)
