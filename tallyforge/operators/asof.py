@@ -25,8 +25,16 @@ def asof_join(probes: DataFrame, facts: DataFrame, key: str, probe_ts: str, fact
 
 
 def latest_per_group(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """The newest rows of each group, ties kept."""
-    return df.withColumn("__newest", F.max(ts).over(Window.partitionBy(*keys))).filter(F.col(ts) == F.col("__newest")).drop("__newest")
+    """The newest rows of each group, ties kept; null keys are a group, rows without a time are in no result.
+
+    Newest times combine before their shuffle, and rows meet them by key and time, so that the rows of a large group spread
+    over tasks instead of being sorted in one.
+    """
+    newest = df.groupBy(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys))).agg(F.max(ts).alias("__newest"))
+    same = F.col(ts) == F.col("__newest")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return df.join(newest, same, "left_semi")
 
 
 def latest_before(df: DataFrame, keys: list[str], ts: str, bound: Column) -> DataFrame:

@@ -390,3 +390,17 @@ def test_upserts_touch_only_their_parts(spark, tmp_path):
     now = jobs.current(spark, str(tmp_path / "table"))
     assert values(now.select("k", "t", "v")) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
     assert now.count() < spark.read.parquet(str(tmp_path / "table")).count() <= 3 * 4
+
+
+def test_canonical_payloads(spark):
+    deep = "[" * 200_000
+    rows = [('{"b":1,"ts":5,"a":[{"etag":"x","c":{"now":1,"d":null}}]}',), (' {"a":[{"c":{"d":null}}],"b":1}',), ("[]",), ("7",), ("text",), (deep,), ("",), (None,)]
+    found = [r[0] for r in spark.createDataFrame(rows, "p string").select(T.canonical_json("p")).collect()]
+    assert found == ['{"a":[{"c":{"d":null}}],"b":1}'] * 2 + ["[]"] + [None] * 5
+
+
+def test_latest_rows_of_null_keys_ties_and_missing_times(spark):
+    rows = [(1, None, 5, "a"), (1, None, 5, "b"), (1, None, 4, "c"), (None, 2, 1, "d"), (None, 2, None, "e"), (3, 3, None, "f"), (1, 2, 1, "g")]
+    df = spark.createDataFrame(rows, "x int, y int, ts int, v string")
+    assert sorted(r.v for r in P.latest_per_group(df, ["x", "y"], "ts").collect()) == ["a", "b", "d", "g"]
+    assert P.latest_per_group(df.limit(0), ["x"], "ts").count() == 0
