@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import analytic, archives, columns, feeds, form, more, relational, reports, scoring, selection, texts
+from .plans import analytic, archives, columns, feeds, form, more, relational, reports, scoring, selection, squads, texts
 from .plans.base import Query
 
-MODULES = [relational, analytic, scoring, texts, more, form, columns, reports, feeds, selection, archives]
+MODULES = [relational, analytic, scoring, texts, more, form, columns, reports, feeds, selection, archives, squads]
 
 
 def queries() -> dict[str, Query]:

@@ -118,37 +118,3 @@ def select_squads(candidates: DataFrame, key: str, budget: int = 1000) -> DataFr
 
     kind = dict(candidates.dtypes)[key]
     return undominated(candidates, key).groupBy(key).applyInPandas(run, f"{key} {kind}, player_id long, in_lineup boolean, squad_utility double")
-
-
-def substitute(lineup: list[dict], bench: list[dict]) -> list[tuple[int, int]]:
-    """(out, in) ids: bench players in order replace those who didn't play, a keeper only a keeper, if the formation stays legal."""
-    from ..functions.rules import legal_lineup
-
-    final, moves, used = list(lineup), [], set()
-    for i, p in enumerate(final):
-        if p["minutes"]:
-            continue
-        for b in bench:
-            if not b["minutes"] or b["player_id"] in used or (b["position"] == "GK") != (p["position"] == "GK"):
-                continue
-            trial = [*final[:i], b, *final[i + 1 :]]
-            counts: dict[str, int] = {}
-            for x in trial:
-                counts[x["position"]] = counts.get(x["position"], 0) + 1
-            if legal_lineup(counts):
-                final = trial
-                used.add(b["player_id"])
-                moves.append((p["player_id"], b["player_id"]))
-                break
-    return moves
-
-
-def automatic_substitutions(picks: DataFrame) -> DataFrame:
-    """(squad_id, out_id, in_id) of each squad; ``picks`` has squad_id, place (1 to 15, bench from 12), player_id, position, minutes."""
-
-    def run(squad: pd.DataFrame) -> pd.DataFrame:
-        rows = squad.sort_values("place").to_dict("records")
-        moves = substitute(rows[:11], rows[11:])
-        return pd.DataFrame({"squad_id": [rows[0]["squad_id"]] * len(moves), "out_id": [a for a, _ in moves], "in_id": [b for _, b in moves]})
-
-    return picks.groupBy("squad_id").applyInPandas(run, "squad_id long, out_id long, in_id long")

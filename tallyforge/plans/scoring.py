@@ -266,17 +266,6 @@ def o01_squad(spark: SparkSession, sf: str) -> DataFrame:
     return select_squads(pool, "pool")
 
 
-@plans()
-def r07_automatic_substitutions(spark: SparkSession, sf: str) -> DataFrame:
-    """Substitutions in squads of fifteen customers each, over all customers."""
-    from ..operators.optimise import automatic_substitutions
-
-    place = "c_custkey % 15 + 1"
-    position = f"CASE WHEN {place} IN (1, 12) THEN 'GK' WHEN {place} <= 5 OR {place} = 13 THEN 'DEF' WHEN {place} <= 9 OR {place} = 14 THEN 'MID' ELSE 'FWD' END"
-    picks = table(spark, sf, "customer").selectExpr("c_custkey div 15 AS squad_id", f"CAST({place} AS INT) AS place", "c_custkey AS player_id", f"{position} AS position", "CAST(CASE WHEN c_acctbal < 1500 THEN 0 ELSE 90 END AS INT) AS minutes")
-    return automatic_substitutions(picks)
-
-
 @plans("""WITH b AS (SELECT l_orderkey, avg(l_quantity) AS e, stddev_pop(l_quantity) AS sd, avg(CASE WHEN l_quantity >= 40 THEN 1.0 ELSE 0 END) AS haul FROM lineitem GROUP BY 1)
 SELECT l_orderkey, round(e + 0.1 * sd + 0.5 * 1.8 * haul, 6) AS utility FROM b""")
 def o07_utility(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,7 +20,7 @@ from tallyforge.operators import entities as E
 from tallyforge.operators import joins as J
 from tallyforge.operators import models as M
 from tallyforge.operators import windows as W
-from tallyforge.operators.optimise import best_lineup, best_squad, substitute
+from tallyforge.operators.optimise import best_lineup, best_squad
 from tallyforge.operators.simulate import simulate_fixture
 from tallyforge.sources import readers
 from tallyforge.streaming import jobs
@@ -190,6 +190,27 @@ def test_plan_matches_full_search():
     assert value <= best + 1e-9 and value >= 0.95 * best and moves
 
 
+def substitute(lineup: list[dict], bench: list[dict]) -> list[tuple[int, int]]:
+    """(out, in) ids: bench players in order replace those who didn't play, a keeper only a keeper, if the formation stays legal."""
+    final, moves, used = list(lineup), [], set()
+    for i, p in enumerate(final):
+        if p["minutes"]:
+            continue
+        for b in bench:
+            if not b["minutes"] or b["player_id"] in used or (b["position"] == "GK") != (p["position"] == "GK"):
+                continue
+            trial = [*final[:i], b, *final[i + 1 :]]
+            counts: dict[str, int] = {}
+            for x in trial:
+                counts[x["position"]] = counts.get(x["position"], 0) + 1
+            if R.legal_lineup(counts):
+                final = trial
+                used.add(b["player_id"])
+                moves.append((p["player_id"], b["player_id"]))
+                break
+    return moves
+
+
 def test_substitutions():
     make = lambda i, pos, m: {"player_id": i, "position": pos, "minutes": m}
     lineup = [make(1, "GK", 0)] + [make(i, "DEF", 0 if i == 2 else 90) for i in (2, 3, 4)] + [make(i, "MID", 90) for i in range(5, 10)] + [make(i, "FWD", 90) for i in (10, 11)]
