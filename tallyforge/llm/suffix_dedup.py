@@ -12,8 +12,10 @@ modulo V. Hence two equal 200-byte strings share a sampled tuple of 200 - 132 =
    200-byte strings, at all offsets, in order, and equal neighbours are repeated.
 
 Equal texts are collapsed first and repeat by definition. Texts are packed into parts of a few MB, a bucketed table,
-so that each round joins the answers of the last to the texts without moving the texts again. Fingerprints are
-polynomial hashes: 48 bits in the first round, which only filters, then 128 and 96 bits.
+so that each round joins the answers of the last to the texts without moving the texts again. A part sends each name
+once, with a mark if it holds it again, so that a string which very many texts share costs a range one entry for each
+part instead of one for each place. Fingerprints are polynomial hashes: 48 bits in the first round, which only filters,
+then 128 and 96 bits.
 """
 
 from __future__ import annotations
@@ -93,6 +95,7 @@ class Part:
         names = self.first.of(self.data, at, at + TUPLE)
         order = np.lexsort((at, names >> FILTER_BITS))
         self.at, self.text, self.names = at[order], text[order], names[order]
+        self.runs = run_starts((self.names >> FILTER_BITS,))
 
     def keep(self, flags: np.ndarray) -> None:
         """Keep samples whose name repeats, in order of name, context and place."""
@@ -103,6 +106,7 @@ class Part:
         context = self.second.of(self.data, low, high) ^ mix64(((at - low) << 32 | (high - at)).astype(np.uint64))
         order = np.lexsort((at, context, names))
         self.at, self.text, self.names, self.context = at[order], text[order], names[order], context[order]
+        self.runs = run_starts((self.names, self.context))
 
     def windows_of(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last start of the strings that hold the flagged samples' tuples."""
@@ -120,11 +124,25 @@ class Part:
         h2 >>= np.uint64(32)
         order = np.lexsort((starts, h2, h1))
         self.starts, self.h1, self.h2 = starts[order], h1[order], h2[order]
+        self.again = run_starts((self.h1, self.h2))
 
 
 _SHARED: list[Fingerprints] = []
 
 
+def run_starts(words: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Where a run of equal words begins; the words are in order."""
+    new = np.ones(len(words[0]), bool)
+    if len(new):
+        new[1:] = np.any([w[1:] != w[:-1] for w in words], axis=0)
+    return new
+
+
+def of_runs(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Flags of runs, for each of their members."""
+    return flags[np.cumsum(starts) - 1]
+
+
 def pack_words(words: np.ndarray, size: int = 8) -> bytes:
     """Words as byte planes: in sorted order the high planes hardly take space."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes())
@@ -140,11 +158,14 @@ def pack_bits(bits: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes())
 
 
+def unpack_flags(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=max(1, n)), np.uint8), count=n).astype(bool)
+
+
 def unpack_bits(answers: list[dict] | None, column: str) -> np.ndarray:
     """A part's flags, joined over its ranges in order."""
-    unpack = zstandard.ZstdDecompressor()
-    parts = [np.unpackbits(np.frombuffer(unpack.decompress(a[column], max_output_size=max(1, a["n"])), np.uint8), count=a["n"]) for a in sorted(answers or [], key=lambda a: a["range"])]
-    return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+    parts = [unpack_flags(a[column], a["n"]) for a in sorted(answers or [], key=lambda a: a["range"])]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
 # -- texts into parts
@@ -195,9 +216,10 @@ def prepared(row: dict, until: int) -> Part:
     part = Part(row)
     part.samples()
     if until > 1:
-        part.keep(unpack_bits(row["answers1"], "flags"))
+        part.keep(of_runs(unpack_bits(row["answers1"], "flags"), part.runs))
     if until > 2:
-        part.merge(unpack_bits(row["answers2"], "more"))
+        # of a run its first suffix stands for all
+        part.merge(of_runs(unpack_bits(row["answers2"], "more"), part.runs) & part.runs)
     return part
 
 
@@ -206,14 +228,16 @@ def _send(batches: Iterator[pa.RecordBatch], stage: int, ranges: int) -> Iterato
         for row in batch.to_pylist():
             part = prepared(row, stage)
             if stage == 1:
-                sent, sizes = (part.names >> FILTER_BITS << FILTER_BITS,), (8,)
+                words, sizes, starts = (part.names >> FILTER_BITS << FILTER_BITS,), (8,), part.runs
             elif stage == 2:
-                sent, sizes = (part.names, part.context), (8, 8)
+                words, sizes, starts = (part.names, part.context), (8, 8), part.runs
             else:
-                sent, sizes = (part.h1, part.h2), (8, 4)
+                words, sizes, starts = (part.h1, part.h2), (8, 4), part.again
+            sent = tuple(w[starts] for w in words)
+            twice = np.diff(np.append(np.flatnonzero(starts), len(starts))) > 1
             cuts = _ranges(sent[0], ranges)
             blobs = [[pack_words(w[a:b] if stage > 1 else w[a:b] >> FILTER_BITS, 6 if stage == 1 else s) for w, s in zip(sent, sizes, strict=True)] for _, a, b in cuts]
-            yield pa.record_batch({"range": pa.array([r for r, *_ in cuts], pa.int32()), "part": pa.array([row["part"]] * len(cuts), pa.int64()), "n": pa.array([b - a for _, a, b in cuts], pa.int64()), "w1": pa.array([x[0] for x in blobs], pa.binary()), "w2": pa.array([x[1] if len(x) > 1 else b"" for x in blobs], pa.binary())})
+            yield pa.record_batch({"range": pa.array([r for r, *_ in cuts], pa.int32()), "part": pa.array([row["part"]] * len(cuts), pa.int64()), "n": pa.array([b - a for _, a, b in cuts], pa.int64()), "w1": pa.array([x[0] for x in blobs], pa.binary()), "w2": pa.array([x[1] if len(x) > 1 else b"" for x in blobs], pa.binary()), "twice": pa.array([pack_bits(twice[a:b]) for _, a, b in cuts], pa.binary())})
 
 
 def _answer(rows: pa.Table, stage: int) -> pa.Table:
@@ -230,6 +254,7 @@ def _answer(rows: pa.Table, stage: int) -> pa.Table:
         same = same_name & (w2[order][1:] == w2[order][:-1])
     flags, more = np.zeros(len(w1), bool), np.zeros(len(w1), bool)
     flags[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    flags |= np.concatenate([unpack_flags(x, k) for x, k in zip(rows["twice"].to_pylist(), n, strict=True)])
     if stage == 2 and len(w1):
         # one suffix of each context stands for it where its name has other contexts too
         leads = np.concatenate([[True], ~same])
@@ -246,10 +271,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             part = prepared(row, 3)
             marks = np.zeros(len(part.data) + LENGTH + 1, np.int32)
-            low, high = part.windows_of(unpack_bits(row["answers2"], "flags"))
+            low, high = part.windows_of(of_runs(unpack_bits(row["answers2"], "flags"), part.runs))
             np.add.at(marks, low, 1)
             np.add.at(marks, high + LENGTH, -1)
-            again = part.starts[unpack_bits(row["answers3"], "flags")]
+            again = part.starts[of_runs(unpack_bits(row["answers3"], "flags"), part.again)]
             marks[again] += 1
             marks[again + LENGTH] -= 1
             covered = np.cumsum(marks[: len(part.data)]) > 0
@@ -271,7 +296,7 @@ ANSWER_DDL = "part long, range int, n long, flags binary, more binary"
 
 def _round(parts: DataFrame, stage: int, ranges: int) -> DataFrame:
     """Answers of one round, a row for each part."""
-    sent = parts.mapInArrow(partial(_send, stage=stage, ranges=ranges), "range int, part long, n long, w1 binary, w2 binary")
+    sent = parts.mapInArrow(partial(_send, stage=stage, ranges=ranges), "range int, part long, n long, w1 binary, w2 binary, twice binary")
 
     def answer(rows: pa.Table) -> pa.Table:
         return _answer(rows, stage)

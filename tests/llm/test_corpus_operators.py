@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bitplane import crc32_joined, pack_block, read_index, read_segments, unpack_block, write_ids
@@ -423,3 +424,36 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
+
+
+def removed_by_brute_force(texts: list[bytes]) -> list[int]:
+    starts = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    gone = []
+    for t in texts:
+        covered = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if starts[t[i : i + 200]] > 1:
+                covered[i : i + 200] = True
+        gone.append(int(covered.sum()))
+    return gone
+
+
+def test_a_passage_in_every_text_costs_a_part_one_entry_for_each_name(spark):
+    from tallyforge.llm import suffix_dedup as S
+
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdef gh", k=450))
+    own = ["".join(rng.choices("ijklmnop q", k=rng.randrange(0, 900))) for _ in range(40)]
+    # in every text, in some twice, in some cut short; two texts repeat only themselves
+    texts = [passage[: 450 - i % 3 * 100] + t + (passage if i % 7 == 0 else "") for i, t in enumerate(own)] + ["xy" * 150, own[7] * 2, "", "x" * 199]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in S.suffix_dedup(docs.repartition(4)).collect()}
+    assert [found[i] for i in range(len(texts))] == removed_by_brute_force([t.encode() for t in texts])
+
+    def entries(copies: int) -> int:
+        data = passage.encode() * copies
+        row = {"part": 1, "lengths": np.array([450] * copies, np.int64).tobytes(), "z": zstandard.compress(data)}
+        return sum(sum(b["n"].to_pylist()) for b in S._send([pa.RecordBatch.from_pylist([row])], 1, 3))
+
+    # a text's places have 133 offsets to the cover, so that no more names than places of one text can be sent
+    assert entries(400) <= 450 and entries(4000) <= 450
