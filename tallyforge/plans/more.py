@@ -183,10 +183,11 @@ def d04_merge_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 @plans()
 def o05_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Moves over three periods for each pool of parts: the first parts of each position are owned."""
+    """Moves over three periods in markets of a hundred parts each, all of which are candidates; three of each position are owned.
+    The markets are as many as the parts ask for, and each is planned in a task of its own."""
     from ..operators.planner import plan_squads
     from .scoring import POSITION
 
-    parts = table(spark, sf, "part").selectExpr("p_size % 5 AS pool", "p_partkey AS player_id", POSITION.format(x="p_partkey") + " AS position", "p_partkey % 25 AS team_id", "CAST(40 + p_partkey % 60 AS INT) AS price", "array(p_partkey % 11, p_partkey % 13, p_partkey % 7) AS points")
-    ranked = top_per_group(parts, ["pool", "position"], [F.col("player_id")], 12)
-    return plan_squads(ranked.withColumn("owned", F.col("rn") <= 3).drop("rn"), "pool", 3)
+    parts = table(spark, sf, "part").selectExpr("p_partkey div 100 AS pool", "p_partkey AS player_id", POSITION.format(x="p_partkey") + " AS position", "p_partkey % 25 AS team_id", "CAST(40 + p_partkey % 60 AS INT) AS price", "array(p_partkey % 11, p_partkey % 13, p_partkey % 7) AS points")
+    first = F.row_number().over(Window.partitionBy("pool", "position").orderBy("player_id")) <= 3
+    return plan_squads(parts.withColumn("owned", first), "pool", 3)
