@@ -249,7 +249,9 @@ def candidate_edges(sets: DataFrame, small: int = SMALL, similarity: float = SIM
         out = _compare_large(first.join(sizes.filter(F.col("n") > small), "path"), sketches, small, candidate, split=False)
         found.append(out.select("a", "b"))
         groups = materialize(connected_components(found[0]), "groups")
-        rows = rows.drop("root").join(groups.select("node", F.col("component").alias("root")), "node", "left")
+        # roots meet the sets before their paths are dealt out: one row for each set
+        rooted = sets.select("node", "paths").join(groups.select("node", F.col("component").alias("root")), "node", "left")
+        rows = rooted.select("node", F.explode("paths").alias("path"), "root")
         sizes = _sizes(rows, 1)
         used += [out, groups, sizes]
     limit = small

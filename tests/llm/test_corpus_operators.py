@@ -126,6 +126,20 @@ def test_ngram_join_with_repeated_ids_and_empty_table(spark, empty):
     assert ngram_join(empty).count() == 0
 
 
+def test_roots_meet_sets_before_their_paths(spark, monkeypatch):
+    """Once a large bucket has given roots, the outer join with them has a row for each set, not for each path of a set."""
+    from tallyforge.llm import ngram_join as N
+
+    seen, sizes = [], N._sizes
+    monkeypatch.setattr(N, "_sizes", lambda rows, least: (seen.append(rows), sizes(rows, least))[1])
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base, f"x{k}"]) for k in range(60)]
+    assert {r.n_links for r in N.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small=40, tile=64).collect()} == {59}
+    plans = [rows._jdf.queryExecution().analyzed().toString() for rows in seen]
+    joined = [p for p in plans if "LeftOuter" in p]
+    assert joined and all(-1 < p.find("Generate explode") < p.find("LeftOuter") for p in joined)
+
+
 def test_ngram_join_of_a_large_group(spark):
     """Copies of one text with some words changed in each, in buckets far over the limit, against exact sets; some copies are
     changed too much to be near any pivot."""
