@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import broadcast_if_small
+from ..shared import broadcast_if_small, written
 
 #: Cells of a row that are read at most; a file with more columns is an error.
 MOST_COLUMNS = 120
@@ -23,7 +23,10 @@ def read_seasons(spark: SparkSession, path: str, columns: dict[str, str], anchor
     Whole numbers may be written as decimals. Files without a header are left out, and so are empty rows; of a name that a header has twice the first counts.
     A file's name is its last part, or its folder's where the folder is named season=....
     """
-    cells = [f"_c{i}" for i in range(MOST_COLUMNS + 1)]
+    # only as many cells as the widest line can have, as what is done with cells costs by their number
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    widest = spark.read.option("recursiveFileLookup", True).text(path).agg(F.max(commas + 1)).first()[0] or 1
+    cells = [f"_c{i}" for i in range(min(MOST_COLUMNS + 1, widest))]
     raw = spark.read.option("header", False).option("escape", "\"").schema(", ".join(f"{c} string" for c in cells)).option("recursiveFileLookup", True).csv(path)
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.array(*cells).alias("cells"))
     width = F.coalesce(F.array_max(F.transform("cells", lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
@@ -32,6 +35,7 @@ def read_seasons(spark: SparkSession, path: str, columns: dict[str, str], anchor
     is_header = F.array_contains(F.transform("cells", lambda x: F.trim(x)), anchor)
     head = rows.filter(is_header).groupBy("file").agg(F.min(F.transform("cells", lambda x: F.coalesce(F.trim(x), F.lit("")))).alias("header"))
     head = head.select("file", F.when(F.size("header") > MOST_COLUMNS, too_wide.cast("array<string>")).otherwise(F.col("header")).alias("header"))
+    head = written(head, "headers")
     met = rows.filter(~F.coalesce(is_header, F.lit(False))).join(broadcast_if_small(head), "file")
     # pairs of name and value; a name that comes again, or is empty, isn't one
     named = F.transform("header", lambda n, i: F.struct(n.alias("k"), F.get("cells", i).alias("v"), (F.array_position("header", n) == i + 1).alias("first")))

@@ -52,3 +52,12 @@ def test_votes(spark):
     got = {r.k: (r.s, r.v, r.n_rows, r.agreement and round(r.agreement, 3)) for r in voted(spark.createDataFrame(rows, "k int, s string, v double"), ["k"], ["s", "v"]).collect() if r.k is not None}
     assert got == {1: ("2", 3.5, 3, 0.667), 2: ("a", 1.0, 2, 0.5), 3: (None, None, 1, None)}
     assert voted(spark.createDataFrame([], "k int, s string, v double"), ["k"], ["s"]).count() == 0
+
+
+def test_only_as_many_cells_are_read_as_lines_have(spark):
+    folder = shared_folder(spark, "csv").removeprefix("file://")
+    Path(folder).mkdir(parents=True)
+    Path(folder, "a.csv").write_text('element,minutes\n1,90,"x,y"\n')
+    rows = read_seasons(spark, f"file://{folder}", COLUMNS, "element")
+    assert [(r.element, r.minutes, json.loads(r.rescued)) for r in rows.collect()] == [(1, 90, {"+1": "x,y"})]
+    assert "_c4" not in rows._jdf.queryExecution().optimizedPlan().toString()
