@@ -82,3 +82,14 @@ def test_near_hashes(spark, most, width):
     assert got == {(a, b, far(a, b)) for a in signed for b in signed if far(a, b) <= most}
     pairs = {(r.k, r.other_k) for r in hamming_pairs(df, "k", "h", most, width).collect()}
     assert pairs == {(i, j) for i, a in enumerate(signed) for j, b in enumerate(signed) if i < j and far(a, b) <= most}
+
+
+def test_hamming_pairs_are_compared_in_tiles(spark):
+    """Pairs within and across tiles, each once, without rows for pairs that only meet in a band."""
+    rng = random.Random(4)
+    rows = [(k, rng.getrandbits(60) & rng.getrandbits(60)) for k in range(90)] + [(90, None), (91, 5), (92, 5)]
+    df = spark.createDataFrame(rows, "k long, h long")
+    got = hamming_pairs(df, "k", "h", 20, 60, tile=16)
+    want = sorted((a, b, (x ^ y).bit_count()) for a, x in rows for b, y in rows if a < b and None not in (x, y) and (x ^ y).bit_count() <= 20)
+    assert want and sorted(map(tuple, got.collect())) == want
+    assert "part" not in got._jdf.queryExecution().optimizedPlan().toString().split()
