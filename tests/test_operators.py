@@ -272,6 +272,30 @@ def test_rivals_by_draw(spark):
     assert values(table) == [(1, "a", 8.0, 1.0, 1.0, 0.5), (1, "b", 5.0, 0.5, 1.5, 0.0)]
 
 
+def test_fixtures_are_simulated_in_batches(spark):
+    """Fixtures that go over several batches are played whole, as alone; points add up over a player's fixtures."""
+    from tallyforge.operators.simulate import player_draws, simulate, simulate_points
+
+    rows = [(f, p, (p + f) % 2 if p != 6 else None, ["GK", "DEF", None, "FWD"][p % 4], 0.1 * p if p else None) for f in range(40) for p in range(f % 8 + 1)]
+    players = spark.createDataFrame(rows, "fixture_id long, player_id long, team_id long, position string, p_start double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        plan = simulate(players, draws=50)
+        assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
+        got = {(r.fixture_id, r.player_id): r.mean_points for r in plan.collect()}
+        totals = {r.player_id: r.points for r in player_draws(players, draws=50).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {p: np.zeros(50) for p in range(8)}
+    for _, group in players.toPandas().groupby("fixture_id"):
+        group = group.sort_values(["team_id", "player_id"]).reset_index(drop=True)
+        points = simulate_points(group, 50, 1)
+        for (_, r), x in zip(group.iterrows(), points.T, strict=True):
+            assert got.pop((r.fixture_id, r.player_id)) == x.mean()
+            want[r.player_id] += x
+    assert not got and {p: list(x) for p, x in want.items()} == totals
+
+
 def test_every_player_of_every_fixture_is_predicted(spark, sf_dir):
     got = catalog.queries()["z09_predict"](spark, sf_dir).collect()
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect()
