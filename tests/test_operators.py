@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 
@@ -462,3 +463,21 @@ def test_adjustment_does_not_depend_on_the_order_of_claims(spark):
     # parts that no 18-place decimal holds are summed as doubles
     vast = spark.createDataFrame([(1, 1, 1, 1.0, 1e30), (1, 2, 1, 1.0, 1e30)], claims.schema)
     assert adjustment(vast, "e", "g", [F.col("t").desc()], "w", "s", F.lit(6.0), 1.5).first().adjustment == 1.5
+
+
+def test_simhash_shuffles_sums_and_no_features(spark):
+    """Texts are hashed where they lie; rows of one key add up, and texts without a word have no hash."""
+    def folded(*texts):
+        sums = [0] * 60
+        for w in map(str.split, texts):
+            for f, n in [*((x, 2) for x in w), *((f"{a}_{b}", 1) for a, b in zip(w, w[1:]))]:
+                x = int(hashlib.md5(f.encode()).hexdigest()[:15], 16)
+                sums = [s + (n if x >> b & 1 else -n) for b, s in enumerate(sums)]
+        return sum(1 << b for b, s in enumerate(sums) if s > 0)
+
+    long = " ".join(f"w{i * i % 97}" for i in range(3000))
+    docs = spark.createDataFrame([(1, "The cat, the CAT"), (2, "one"), (3, None), (4, " ?! "), (5, long), (6, "a b"), (6, "c d"), (None, "x y")], "k long, t string")
+    found = T.simhash60(docs, "k", "t")
+    assert {r.k: r.h for r in found.collect()} == {1: folded("the cat the cat"), 2: folded("one"), 5: folded(long), 6: folded("a b", "c d"), None: folded("x y")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
