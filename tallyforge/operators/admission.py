@@ -1,22 +1,72 @@
 """Near-duplicate admission in time order: a document is admitted unless an admitted one of the days before is nearly the same.
 
-Whether a document is admitted depends on those before it, so admission goes in rounds. Distinct hashes and their near pairs are
-made once. In each round the earliest undecided document of a hash is admitted where no near hash has an earlier undecided one; what
-lies in the days after it and is near is dropped at once, with all its copies, by the latest admitted time for each hash.
-So copies of one text cost an aggregate, never pairs. Rounds are as many as the longest chain of admissions that depend
-on each other: about one for each look-back of the time that is added at once.
+Whether a document is admitted depends on those before it, so documents go in blocks of bounded size, in order of time. Those of a
+block are compared with the admitted ones of the days before it, in tiles by brute force over many tasks; what is near one
+is dropped at once, and the rest of the block is decided in order by one task. Near pairs are never rows: the comparisons
+are as many as the documents times those admitted in a look-back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import forget, written
-from .joins import near_hashes
+from ..shared import forget, shared_folder, written
+
+#: Documents of a block, and of one of its tiles.
+BLOCK, TILE = 32_768, 2048
+#: Documents of a tile that are compared at once.
+STEP = 64
+PLACED = "pos long, at long, until long, h long, old boolean"
+
+
+def _first_near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """For each of a tile's documents the first admitted one of the other tile that is near and in its look-back, if there is one."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            pos, at, h, ends, admitted, known = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(6))
+            order = np.argsort(admitted)
+            ends, admitted, known = ends[order], admitted[order], known[order]
+            for low in range(0, len(h), STEP):
+                part = slice(low, low + STEP)
+                near = (np.bitwise_count(h[part, None] ^ known[None, :]) <= most) & (ends[None, :] > at[part, None])
+                hit = np.flatnonzero(near.any(axis=1))
+                yield pa.record_batch({"pos": pos[part][hit], "first": admitted[near[hit].argmax(axis=1)]})
+
+
+def _decide(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A block's documents in order, first null: those that are near no admitted one so far are admitted, others get the first such. Those that
+    have a first already, and old ones, stay as they are."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    pos, at, until, h, old, first = (table[c].to_numpy() for c in ("pos", "at", "until", "h", "old", "known"))
+    open_ = np.isnan(first) if first.dtype.kind == "f" else np.zeros(len(pos), bool)
+    out = table["known"].to_pylist()
+    known, ends, places, n = np.empty(len(pos), h.dtype), np.empty(len(pos), until.dtype), np.empty(len(pos), np.int64), 0
+    for i in np.flatnonzero(open_ | old):
+        if not old[i]:
+            near = (np.bitwise_count(known[:n] ^ h[i]) <= most) & (ends[:n] > at[i])
+            if near.any():
+                out[i] = int(places[near.argmax()])
+                continue
+        known[n], ends[n], places[n] = h[i], until[i], pos[i]
+        n += 1
+    yield pa.record_batch([*(table[c].combine_chunks() for c in ("pos", "at", "until", "h", "old")), pa.array(out, pa.int64())], names=["pos", "at", "until", "h", "old", "first"])
+
+
+def _micros(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Times as numbers, in whatever zone."""
+    for batch in batches:
+        yield pa.record_batch([c.cast(pa.int64()) if name in ("at", "until") else c for name, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
 
-def admissions(docs: DataFrame, key: str, ts: str, bits: str, days: int = 7, most: int = 14, width: int = 64, standing: DataFrame | None = None) -> DataFrame:
+def admissions(docs: DataFrame, key: str, ts: str, bits: str, days: int = 7, most: int = 14, width: int = 64, standing: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(key, ts, bits, admitted, first_id) of each document.
 
     Documents go in order of time, then key. One is dropped if an admitted document less than ``days`` days before it has a hash that
@@ -25,11 +75,11 @@ def admissions(docs: DataFrame, key: str, ts: str, bits: str, days: int = 7, mos
 
     ``standing`` is the answer for documents that came before, in an earlier call: what lies before the earliest new document stands, all from
     there on is decided again. So documents that come late, in whatever batches, give the answer of one batch; a key that is already
-    known keeps its first row.
+    known keeps its first row. Hashes have ``width`` bits; all 64 are compared. ``block`` bounds what is decided at once.
     """
     spark = docs.sparkSession
     fresh = docs.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(bits).alias("h"))
-    made, before = [], None
+    made, before, since = [], None, None
     if standing is not None:
         old = standing.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(bits).alias("h"), "admitted", "first_id")
         fresh = fresh.join(old.select("k"), "k", "left_anti")
@@ -39,39 +89,44 @@ def admissions(docs: DataFrame, key: str, ts: str, bits: str, days: int = 7, mos
         fresh = fresh.unionByName(old.filter(~stands).select("k", "t", "h"))
         made.append(before)
     rows = written(fresh, "fresh")
-    usable = rows.filter(F.col("t").isNotNull() & F.col("h").isNotNull())
+    made.append(rows)
     near_days = F.expr(f"INTERVAL {days} DAYS")
-    admitted = [before.filter(F.col("admitted") & F.col("t").isNotNull() & F.col("h").isNotNull()).select("k", "t", "h")] if before is not None else []
-    hashes = usable.select("h").distinct()
-    others = admitted[0].select("h").distinct().unionByName(hashes).distinct() if admitted else hashes
-    near = near_hashes(hashes, others, most, width).select("h", "g")
-    near = written(near.unionByName(near.select(F.col("g").alias("h"), F.col("h").alias("g"))).distinct(), "near")
-    made += [rows, near]
-
-    def without_near(left: DataFrame, new: DataFrame) -> DataFrame:
-        """Undecided documents that no newly admitted one drops; all of these are later than it if they are near."""
-        until = new.join(near, "h").groupBy("g").agg(F.max("t").alias("last"))
-        return left.join(until, F.col("h") == F.col("g"), "left").filter(F.col("last").isNull() | (F.col("t") >= F.col("last") + near_days)).select("k", "t", "h")
-
-    left = written(without_near(usable.select("k", "t", "h"), admitted[0]) if admitted else usable.select("k", "t", "h"), "left")
-    made.append(left)
-    while not left.isEmpty():
-        first = left.groupBy("h").agg(F.min(F.struct("t", "k")).alias("e"))
-        rival = near.filter("h <> g").join(first.select(F.col("h").alias("g"), F.col("e").alias("o")), "g").groupBy("h").agg(F.min("o").alias("o"))
-        new = first.join(rival, "h", "left").filter(F.col("o").isNull() | (F.col("e") < F.col("o"))).select("e.k", "e.t", "h")
-        new = written(new, "admitted")
-        left = written(without_near(left.join(new.select("k"), "k", "left_anti"), new), "left")
-        admitted.append(new)
-        made += [new, left]
-    known = admitted[0] if admitted else usable.select("k", "t", "h")
-    for more in admitted[1:]:
-        known = known.unionByName(more)
-    # the earliest admitted document of the days before, met by hash and by spans of the look-back
-    span = lambda t: F.floor(F.unix_micros(t) / (days * 86_400_000_000)).cast("long")
-    reach = known.join(near, "h").select("g", F.col("t").alias("at"), F.col("k").alias("ak"), F.explode(F.array(span(F.col("t").cast("timestamp")), span(F.col("t").cast("timestamp")) + 1)).alias("span"))
-    placed = usable.join(known.select("k"), "k", "left_anti").withColumn("span", span(F.col("t").cast("timestamp")))
-    hits = placed.join(reach.withColumnRenamed("g", "h"), ["h", "span"]).filter((F.struct("at", "ak") < F.struct("t", "k")) & (F.col("t") < F.col("at") + near_days))
-    dropped = hits.groupBy("k").agg(F.min(F.struct("at", "ak"))["ak"].alias("first_id"))
+    usable = rows.filter(F.col("t").isNotNull() & F.col("h").isNotNull()).select("k", "t", "h", F.lit(False).alias("old"))
+    if before is not None and since is not None:
+        reach = before.filter(F.col("admitted") & F.col("t").isNotNull() & F.col("h").isNotNull() & (F.col("t") + near_days > F.lit(since)))
+        usable = usable.unionByName(reach.select("k", "t", "h", F.lit(True).alias("old")))
+    # places in order of time; a place's upper bits are its part's number
+    time = F.col("t") if dict(usable.dtypes)["t"].startswith("timestamp") else F.col("t").cast("timestamp_ntz")
+    parts = usable.repartitionByRange(max(1, -(-4 * usable.count() // block)), "t", "k").sortWithinPartitions("t", "k")
+    parts = parts.select(F.monotonically_increasing_id().alias("pos"), time.alias("at"), (time + near_days).alias("until"), F.col("h").cast("long").alias("h"), "old", "k")
+    placed = written(parts.mapInArrow(_micros, f"{PLACED}, k {dict(rows.dtypes)['k']}"), "placed")
+    made.append(placed)
+    blocks: list[list] = []
+    for n, low, high, start, end in placed.groupBy(F.shiftright("pos", 33)).agg(F.count("*"), F.min("pos").alias("low"), F.max("pos"), F.min("at"), F.max("until")).orderBy("low").select("count(1)", "low", "max(pos)", "min(at)", "max(until)").collect():
+        if blocks and blocks[-1][0] + n <= block:
+            blocks[-1] = [blocks[-1][0] + n, blocks[-1][1], high, blocks[-1][3], max(blocks[-1][4], end)]
+        else:
+            blocks.append([n, low, high, start, end])
+    folder, schema = shared_folder(spark, "decided"), f"{PLACED}, first long, block int"
+    made.append(folder)
+    for i, (n, low, high, start, _) in enumerate(blocks):
+        here = placed.filter(F.col("pos").between(low, high)).select("pos", "at", "until", "h", "old")
+        earlier = [j for j in range(i) if blocks[j][4] > start]
+        if earlier:
+            known = spark.read.schema(schema).parquet(*(f"{folder}/{j}" for j in earlier)).filter(F.col("first").isNull() & (F.col("until") > start))
+            pool = known.groupBy("block").agg(F.collect_list(F.struct("until", "pos", "h")).alias("y")).select("block", F.col("y.until").alias("ends"), F.col("y.pos").alias("admitted"), F.col("y.h").alias("known"))
+            tiles = here.filter(~F.col("old")).groupBy(F.pmod(F.xxhash64("pos"), F.lit(-(-n // TILE))).alias("tile")).agg(F.collect_list(F.struct("pos", "at", "h")).alias("x"))
+            tiles = tiles.select("tile", "x.pos", "x.at", "x.h", F.explode(F.lit(earlier)).alias("block")).join(pool, "block")
+            met = tiles.repartition("tile", "block").select("pos", "at", "h", "ends", "admitted", "known").mapInArrow(partial(_first_near, most=most), "pos long, first long")
+            here = here.join(met.groupBy("pos").agg(F.min("first").alias("known")), "pos", "left")
+        else:
+            here = here.withColumn("known", F.lit(None).cast("long"))
+        decided = here.repartition(1).sortWithinPartitions("pos").mapInArrow(partial(_decide, most=most), f"{PLACED}, first long")
+        decided.withColumn("block", F.lit(i)).write.parquet(f"{folder}/{i}")
+    keys = placed.select("pos", "k")
+    firsts = spark.read.schema(schema).parquet(*(f"{folder}/{i}" for i in range(len(blocks)))) if blocks else keys.filter("false").withColumn("first", F.col("pos"))
+    firsts = firsts.filter(F.col("first").isNotNull()).select("pos", "first")
+    dropped = firsts.join(keys, "pos").select("k", "first").join(keys.select(F.col("pos").alias("first"), F.col("k").alias("first_id")), "first").select("k", "first_id")
     decided = rows.join(dropped, "k", "left").select("k", "t", "h", F.col("first_id").isNull().alias("admitted"), "first_id")
     out = written(decided if before is None else before.unionByName(decided), "admissions")
     forget(spark, *made)

@@ -93,3 +93,13 @@ def test_hamming_pairs_are_compared_in_tiles(spark):
     want = sorted((a, b, (x ^ y).bit_count()) for a, x in rows for b, y in rows if a < b and None not in (x, y) and (x ^ y).bit_count() <= 20)
     assert want and sorted(map(tuple, got.collect())) == want
     assert "part" not in got._jdf.queryExecution().optimizedPlan().toString().split()
+
+
+@pytest.mark.parametrize("block", [1, 30])
+def test_admissions_in_small_blocks(spark, block):
+    """Documents of many blocks, compared with the admitted ones of those before; late batches too."""
+    rows = story(5, 150 if block > 1 else 12)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert answer(admissions(df, "k", "t", "h", width=60, block=block)) == folded(rows)
+    standing = admissions(df.filter("k % 3 <> 1"), "k", "t", "h", width=60, block=block)
+    assert answer(admissions(df.filter("k % 3 = 1"), "k", "t", "h", width=60, standing=standing, block=block)) == folded(rows)
