@@ -171,15 +171,19 @@ def _large_bucket(rows: pa.Table, candidate: float, split: bool) -> pa.Table:
     if not len(members):
         return _edges(nodes[:0], nodes[:0])
     agree = _agree([sketches[i] for i in members], [sketches[i] for i in pivots]) if len(pivots) else np.zeros((len(members), 0))
+    # a group is its root here, so that a member brings no edge that its group has already
+    groups = np.where(roots < 0, nodes, roots)
     if whole:
         i, j = np.nonzero((agree >= candidate) & (roots[members][:, None] != roots[pivots][None, :]))
-        return _edges(nodes, local_roots(members[i], pivots[j], nodes))
+        met = np.unique(np.stack([groups[members[i]], groups[pivots[j]]]), axis=1)
+        ids, at = np.unique(met, return_inverse=True)
+        return _edges(ids, local_roots(*at.reshape(met.shape), ids))
     near = near_agreement(candidate)
     # pivots near each other are one group; all tiles of a bucket see the same pivots
     i, j = np.nonzero(_agree(*[[sketches[k] for k in pivots]] * 2) >= near) if len(pivots) else (pivots, pivots)
-    labels = local_roots(i, j, nodes[pivots])
+    labels = local_roots(i, j, groups[pivots])
     i, j = np.nonzero(agree >= near)
-    joins = np.unique(np.stack([nodes[members[i]], labels[j]]), axis=1)
+    joins = np.unique(np.stack([groups[members[i]], labels[j]]), axis=1)
     edges = _edges(*joins)
     left = np.flatnonzero(~(agree >= VERY_NEAR).any(axis=1))
     if not split or not len(left):

@@ -471,3 +471,14 @@ def test_a_passage_in_every_text_costs_a_part_one_entry_for_each_name(spark):
 
     # a text's places have 133 offsets to the cover, so that no more names than places of one text can be sent
     assert entries(400) <= 450 and entries(4000) <= 450
+
+
+def test_large_buckets_join_groups_and_not_their_members():
+    """Members of one group that meet an outsider make one edge, and none to pivots of their own group."""
+    sketch = np.arange(100, dtype=np.uint32).tobytes()
+    rows = [(7, n, None if n == 90 else 3, sketch, False, n == 90) for n in range(3, 91)]
+    columns = ["path", "node", "root", "sketch", "pivot", "whole"]
+    for whole, pivots in ((True, [(7, 90, None, sketch, True, True)]), (False, [(7, 90, None, sketch, True, False), (7, 20, 3, sketch, True, False)])):
+        table = [(p, n, r, s, pivot, whole) for p, n, r, s, pivot, _ in [*rows, *pivots]]
+        made = _large_bucket(pa.table(dict(zip(columns, map(list, zip(*table)), strict=True))).cast(pa.schema([("path", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("sketch", pa.binary()), ("pivot", pa.bool_()), ("whole", pa.bool_())])), 0.5, split=True)
+        assert [(r["a"], r["b"]) for r in made.to_pylist()] == [(90, 3)]
