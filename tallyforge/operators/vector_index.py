@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import forget, written
+from .asof import top_per_group
+from .joins import cosine
 
 #: Rows that centres are fitted on at most (in expectation, chosen by a hash of the key), and rounds of the fit.
 SAMPLE, ROUNDS, FIRST_LISTS, SLACK = 20_000, 8, 2, 1e-5
@@ -138,3 +140,67 @@ class Search:
         out = written(both.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "key"))).filter(F.col("rn") <= self.k), "found")
         forget(self.spark, pairs, begun, self.queries)
         return out
+
+
+#: Vectors and queries of a tile, and what a cosine by matrix product may be off, with the rounding to nine digits on both sides.
+TILE, ASKED, NEAR = 8192, 1024, 1.1e-9
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of a and b, added up component by component in order, as a fold over arrays does."""
+    dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        dot, aa, bb = dot + x * y, aa + x * x, bb + y * y
+    return dot / (np.sqrt(aa) * np.sqrt(bb))
+
+
+def _nearest_of_tile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """For each query of a tile the vectors of the other tile that may be among its k nearest by the rounded cosine, then key."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            asked, units, keys, points = (batch.column(i)[row].values for i in range(4))
+            asked, keys = asked.to_numpy(), keys.to_numpy()
+            q, v = (x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for x, n in ((units, len(asked)), (points, len(keys))))
+            # of equal vectors those with the k + 1 smallest keys are enough, as one may be the query itself
+            order = np.argsort(keys, kind="stable")
+            keys, v = keys[order], v[order]
+            _, of = np.unique(v, axis=0, return_inverse=True)
+            by = np.argsort(of.ravel(), kind="stable")
+            group = of.ravel()[by]
+            place = np.arange(len(by)) - np.searchsorted(group, group)
+            few = np.sort(by[place <= k])
+            keys, v = keys[few], v[few]
+            near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+            near[asked[:, None] == keys[None, :]] = -np.inf
+            least = np.partition(near, -k, axis=1)[:, -k, None] if near.shape[1] > k else np.full((len(asked), 1), -2.0)
+            i, j = np.nonzero(near >= np.maximum(least - NEAR, -2.0))
+            yield pa.record_batch({"q": asked[i], "key": keys[j], "cosine": _cosines(q[i], v[j])})
+
+
+def nearest_by_tiles(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int) -> DataFrame:
+    """(q, key, cosine, rn): the k nearest other vectors of each query by brute force, equal cosines (to nine digits) by key.
+
+    Tiles of queries meet tiles of vectors and are multiplied, and a few rows for each query leave a tile; the products grow with queries
+    times vectors. Vectors that are null, zero, beyond what squares can hold, or hold null or non-finite components meet all others one by one, with
+    what ``cosine`` makes of them, nulls last. All others have one length. Keys are unique; rows without one are left out.
+    """
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & F.exists("v", lambda x: F.abs(x) > 1e-150)
+    whole = [df.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<double>").alias("v")).filter("key is not null") for df in (queries, vectors)]
+    usable, others = ([df.filter(c) for df in whole] for c in (F.coalesce(fine, F.lit(False)), ~F.coalesce(fine, F.lit(False))))
+    n, least, most = usable[1].agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} components")
+
+    def packed(rows: DataFrame, tiles: int, names: tuple[str, str, str]) -> DataFrame:
+        dealt = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(tiles)).alias(names[0])).agg(F.collect_list(F.struct("key", "v")).alias("x"))
+        return dealt.select(names[0], F.col("x.key").alias(names[1]), F.col("x.v").alias(names[2]))
+
+    tiles = [max(1, -(-count // size)) for count, size in ((usable[0].count(), ASKED), (n, TILE))]
+    asked, points = packed(usable[0], tiles[0], ("one", "asked", "units")), packed(usable[1], tiles[1], ("two", "keys", "points"))
+    met = asked.withColumn("two", F.explode(F.sequence(F.lit(0), F.lit(tiles[1] - 1)))).join(points, "two")
+    met = met.repartition(min(2000, tiles[0] * tiles[1]), "one", "two").select("asked", "units", "keys", "points")
+    found = met.mapInArrow(partial(_nearest_of_tile, k=k), "q long, key long, cosine double")
+    for left, right in ((whole[0], others[1]), (others[0], usable[1])):
+        both = left.select(F.col("key").alias("q"), F.col("v").alias("u")).join(right, F.col("q") != F.col("key"))
+        found = found.unionByName(both.select("q", "key", cosine(F.col("u"), F.col("v")).alias("cosine")))
+    return top_per_group(found.withColumn("cosine", F.round("cosine", 9)), ["q"], [F.desc("cosine"), F.col("key")], k)

@@ -64,3 +64,23 @@ def test_empty_and_uneven_tables(spark):
     assert Search(spark, folder, none, "k", "e", 3).run().count() == 0
     with pytest.raises(ValueError, match="2 to 3"):
         build_index(spark.createDataFrame([(1, [1.0, 2.0], None), (2, [1.0, 2.0, 3.0], None)], SCHEMA), shared_folder(spark, "vectors"), "k", "e")
+
+
+def test_nearest_by_tiles(spark, monkeypatch):
+    """Copies, ties, vectors without a direction and several tiles, as by the cosines of all pairs; no row for each pair leaves a tile."""
+    from tallyforge.operators import vector_index as V
+    from tallyforge.operators.joins import cosine
+
+    rows = [(k, e) for k, e, _ in clustered(6, 300)] + [(400 + i, [1.0] * 12) for i in range(40)] + [(500, None), (501, [0.0] * 12), (502, [float("nan")] * 12), (503, [None] * 12), (None, [1.0] * 12)]
+    df = spark.createDataFrame(rows, "k long, e array<float>")
+    monkeypatch.setattr(V, "TILE", 100)
+    monkeypatch.setattr(V, "ASKED", 20)
+    asked = df.filter("k % 10 = 0 or k > 499")
+    got = V.nearest_by_tiles(df, asked, "k", "e", 4).collect()
+    pairs = df.join(asked.select(F.col("k").alias("q"), F.col("e").alias("u")), F.col("k") != F.col("q"))
+    pairs = pairs.withColumn("c", F.round(cosine(F.col("u"), F.col("e")), 9))
+    want = pairs.withColumn("rn", F.row_number().over(V.Window.partitionBy("q").orderBy(F.desc("c"), "k"))).filter("rn <= 4").select("q", "k", "c", "rn").collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(tuple(r)) for r in want)
+    usable = df.filter("k < 499")
+    plan = V.nearest_by_tiles(usable, usable, "k", "e", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan or "mapInArrow" in plan or "_nearest_of_tile" in plan
