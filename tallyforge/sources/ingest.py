@@ -72,8 +72,12 @@ def split_blobs(docs: DataFrame, key: str, payload: str, inline_bytes: int = INL
 
 
 def load_payloads(rows: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
-    """The inverse of ``split_blobs``: (key, payload)."""
-    return rows.join(blobs, "blob", "left").select(key, F.coalesce("inline", "payload").alias("payload"))
+    """The inverse of ``split_blobs``: (key, payload).
+
+    Rows with their payload inside meet no blob, so their payloads aren't shuffled.
+    """
+    apart = rows.filter(F.col("blob").isNotNull()).join(blobs, "blob", "left").select(key, "payload")
+    return rows.filter(F.col("blob").isNull()).select(key, F.col("inline").alias("payload")).unionByName(apart)
 
 
 def source_health(runs: DataFrame, source: str, started: list[str], status: str, rows: str, ok: list[str]) -> DataFrame:

@@ -481,3 +481,13 @@ def test_simhash_shuffles_sums_and_no_features(spark):
     assert {r.k: r.h for r in found.collect()} == {1: folded("the cat the cat"), 2: folded("one"), 5: folded(long), 6: folded("a b", "c d"), None: folded("x y")}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Aggregate") == 1
+
+
+def test_payloads_inside_rows_are_not_shuffled(spark):
+    from tallyforge.sources import ingest as I
+
+    docs = spark.createDataFrame([(i, "x" * (100 if i % 10 == 0 else 5) if i % 7 else None) for i in range(400)], "id long, text string")
+    back = I.load_payloads(*I.split_blobs(docs, "id", "text", 50), "id")
+    assert {r.id: r.payload for r in back.collect()} == {r.id: r.text for r in docs.collect()}
+    left = back._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "inline" not in left and back.count() == 400
