@@ -141,8 +141,8 @@ def common(index: np.ndarray, left: list[int], right: list[int], columns: int =
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.Table:
     off = np.flatnonzero(a != b)
-    none = pa.array([None] * len(off), pa.int64())
-    return pa.table({"a": pa.array(a[off], pa.int64()), "b": pa.array(b[off], pa.int64()), "path": none, "root": none})
+    none = lambda kind: pa.array([None] * len(off), kind)
+    return pa.table({"a": pa.array(a[off], pa.int64()), "b": pa.array(b[off], pa.int64()), "path": none(pa.list_(pa.int64())), "root": none(pa.int64())})
 
 
 def _opened(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -196,12 +196,15 @@ def _large_bucket(rows: pa.Table, candidate: float, split: bool) -> pa.Table:
     tokens, lengths = np.concatenate(of_left), np.array(list(map(len, of_left)))
     of = np.repeat(np.arange(len(left)), lengths)
     at, paths = picks(tokens, lengths[of], np.full(len(tokens), np.array(rows["path"][0].as_py(), np.int64).view(np.uint64)))
-    more = root[of[at]]
-    split_on = pa.table({"a": pa.array(nodes[members[left[of[at]]]], pa.int64()), "b": pa.array([None] * len(at), pa.int64()), "path": pa.array(paths, pa.int64()), "root": pa.array(more, pa.int64(), mask=more < 0)})
+    # one row for each set that picks something, with all its paths; picks are in the order of sets
+    some, first = np.unique(of[at], return_index=True)
+    paths = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(paths, pa.int64()))
+    split_on = pa.table({"a": pa.array(nodes[members[left[some]]], pa.int64()), "b": pa.array([None] * len(some), pa.int64()), "path": paths, "root": pa.array(root[some], pa.int64(), mask=root[some] < 0)})
     return pa.concat_tables([edges, split_on])
 
 
-EDGES = "a long, b long, path long, root long"
+#: An edge, or a set (a) that splits on, with the paths that it picks and its root.
+EDGES = "a long, b long, path array<long>, root long"
 
 
 def _sizes(rows: DataFrame, least: int) -> DataFrame:
@@ -273,7 +276,7 @@ def candidate_edges(sets: DataFrame, small: int = SMALL, similarity: float = SIM
         out = _compare_large(large, sketches, small, candidate, split=True)
         used.append(out)
         found.append(out.filter("path is null").select("a", "b"))
-        rows = out.filter("path is not null").select(F.col("a").alias("node"), "path", "root")
+        rows = out.filter("path is not null").select(F.col("a").alias("node"), F.explode("path").alias("path"), "root")
         sizes = _sizes(rows, 1)
         used.append(sizes)
     edges = found[0]

@@ -24,7 +24,7 @@ from tallyforge.llm.exact_dedup import chunk_ends, exact_dedup
 from tallyforge.llm.langid import identify_language, keep_identified
 from tallyforge.llm.line_dedup import line_dedup
 from tallyforge.llm.mixing import mix, mixed_rows, route, source_targets
-from tallyforge.llm.ngram_join import SKETCH, _large_bucket, least_agreement, ngram_join, runs_needed
+from tallyforge.llm.ngram_join import SKETCH, _large_bucket, least_agreement, ngram_join, picks, runs_needed
 from tallyforge.llm.pieces import split_texts
 from tallyforge.llm.pii import find_pii, redact
 from tallyforge.llm.shingles import shingle_sets
@@ -482,3 +482,18 @@ def test_large_buckets_join_groups_and_not_their_members():
         table = [(p, n, r, s, pivot, whole) for p, n, r, s, pivot, _ in [*rows, *pivots]]
         made = _large_bucket(pa.table(dict(zip(columns, map(list, zip(*table)), strict=True))).cast(pa.schema([("path", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("sketch", pa.binary()), ("pivot", pa.bool_()), ("whole", pa.bool_())])), 0.5, split=True)
         assert [(r["a"], r["b"]) for r in made.to_pylist()] == [(90, 3)]
+
+
+def test_a_set_that_splits_on_is_one_row_with_all_its_paths():
+    """Sets that no pivot settles leave a large bucket once each, however many shingles they pick."""
+    rows = [(7, n, None, np.arange(n * 200, n * 200 + 100, dtype=np.uint32).tobytes(), False, False) for n in range(60)]
+    columns = ["path", "node", "root", "sketch", "pivot", "whole"]
+    kinds = pa.schema([("path", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("sketch", pa.binary()), ("pivot", pa.bool_()), ("whole", pa.bool_())])
+    made = _large_bucket(pa.table(dict(zip(columns, map(list, zip(*rows)), strict=True))).cast(kinds), 0.5, split=True).to_pylist()
+    wanted = {}
+    for _, n, _, sketch, *_ in rows:
+        tokens = np.frombuffer(sketch, np.uint32)
+        if len(paths := picks(tokens, np.full(100, 100), np.full(100, 7, np.uint64))[1]):
+            wanted[n] = paths.tolist()
+    assert max(map(len, wanted.values())) > 1
+    assert [(r["a"], r["path"]) for r in made] == sorted(wanted.items()) and all(r["b"] is None and r["root"] is None for r in made)
