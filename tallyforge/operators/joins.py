@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import broadcast_if_small, written
+
 
 def update_join(target: DataFrame, source: DataFrame, keys: list[str], fill: list[str], overwrite: list[str]) -> DataFrame:
     """``target`` with columns taken from ``source``: those of ``fill`` only where null, those of ``overwrite`` always
@@ -92,7 +94,7 @@ def contained(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str
 
     Pieces between single spaces or newlines that aren't the needle's first or last are whole in any text that holds it.
     Candidates share the first ``words`` of these as an n-gram, or the first two where there are fewer; only keys and hashes of
-    n-grams meet in that join, and the texts of the few that met are fetched afterwards. Needles without two inner pieces are tried
+    n-grams meet in that join, which few needles' n-grams are broadcast for, and the texts of the few that met are looked at afterwards. Needles without two inner pieces are tried
     on every text. The substring test decides.
     """
     pieces = lambda c: F.transform(F.split(c, "[ \n]"), lambda w: F.xxhash64(w))
@@ -104,13 +106,15 @@ def contained(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str
         first = chosen.select("__n", F.xxhash64(F.slice("__pieces", 2, width)).alias("__gram"))
         places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__pieces") - width + 1))
         grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice("__pieces", i, width))))
-        return split.select("__t", F.explode(grams).alias("__gram")).join(first, "__gram").select("__t", "__n")
+        return split.select("__t", F.explode(grams).alias("__gram")).join(broadcast_if_small(first), "__gram").select("__t", "__n")
 
     least = min(2, words)
     met = anchored(words, asked.filter(F.col("__inner") >= words))
     if words > least:
         met = met.unionByName(anchored(least, asked.filter((F.col("__inner") >= least) & (F.col("__inner") < words))))
-    both = met.distinct().join(asked.select("__n", "__needle"), "__n").join(seen, "__t").filter(F.contains("__text", "__needle"))
+    # few met as a rule: with their needles they go to where the texts lie
+    met = written(met.distinct(), "met")
+    both = seen.join(broadcast_if_small(met), "__t").join(asked.select("__n", "__needle"), "__n").filter(F.contains("__text", "__needle"))
     short = asked.filter(F.col("__inner") < least).select("__n", "__needle").join(seen, F.contains("__text", "__needle"))
     return both.select("__n", "__t").unionByName(short.select("__n", "__t")).select(F.col("__n").alias(needle_key), F.col("__t").alias(text_key)).distinct()
 
