@@ -12,6 +12,7 @@ from ..operators import states as S
 from ..sources import ingest as I
 from ..sources import readers
 from ..streaming import jobs, states
+from ..shared import parts_for
 from .base import Plans, table
 from .columns import K, events
 from .form import GAMES, team_rows
@@ -132,6 +133,8 @@ def s14_lineups(spark: SparkSession, sf: str) -> DataFrame:
     """Line-ups of two providers, nested in different ways, in one shape."""
     side = F.when(F.col("l_suppkey") % 2 == 0, "home").otherwise("away")
     rows = table(spark, sf, "lineitem").select("l_orderkey", side.alias("side"), F.col("l_suppkey").alias("id"), (F.col("l_linenumber") <= 5).alias("starts"))
+    # as many parts as the rows need, so that a task's lists and counts don't grow with the table; all that follows stays in them
+    rows = rows.repartition(parts_for(rows), "l_orderkey")
     confirmed = rows.filter("l_orderkey % 2 = 0").groupBy("l_orderkey", "side").agg(F.collect_list(F.when(F.col("starts"), F.col("id"))).alias("startXI"), F.collect_list(F.when(~F.col("starts"), F.col("id"))).alias("substitutes"))
     confirmed = confirmed.groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct("side", "startXI", "substitutes"))).alias("p"))
     predicted = rows.filter("l_orderkey % 2 = 1").groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(F.struct("side", "id", F.when(F.col("starts"), 11).otherwise(12).alias("type_id"))).alias("lineups"))).alias("p"))
@@ -139,7 +142,9 @@ def s14_lineups(spark: SparkSession, sf: str) -> DataFrame:
     groups = F.array(F.struct(F.lit(True).alias("starts"), F.col("startXI").alias("ids")), F.struct(F.lit(False).alias("starts"), F.col("substitutes").alias("ids")))
     a = blocks.select("l_orderkey", "side", F.inline(groups)).select("l_orderkey", F.lit("confirmed").alias("kind"), "side", F.explode("ids").alias("player"), "starts")
     b = predicted.select("l_orderkey", F.inline(F.from_json("p", "struct<lineups: array<struct<side: string, id: long, type_id: int>>>")["lineups"])).select("l_orderkey", F.lit("predicted").alias("kind"), "side", F.col("id").alias("player"), (F.col("type_id") == 11).alias("starts"))
-    return a.unionByName(b).groupBy(F.col("l_orderkey").alias("match_id"), "kind", "side", "player", "starts").agg(F.count("*").alias("n"))
+    # a match is of one kind, so either provider's rows are counted where they lie
+    counted = [x.groupBy(F.col("l_orderkey").alias("match_id"), "kind", "side", "player", "starts").agg(F.count("*").alias("n")) for x in (a, b)]
+    return counted[0].unionByName(counted[1])
 
 
 @plans("SELECT page_id, url AS link, 'Story ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 10:00:00' + to_hours(CAST(page_id AS INT)) END AS published FROM pages")

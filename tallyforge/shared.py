@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that is broadcast at most, and bytes that a row of such a side is taken to have.
 BROADCAST_ROWS = 200_000
+#: Narrow rows of a part that one task groups, about.
+PART_ROWS = 250_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -51,3 +53,8 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     For narrow sides (keys and numbers) only.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def parts_for(df: DataFrame, rows: int = PART_ROWS) -> int:
+    """Shuffle partitions for ``df``, whose rows are counted: about ``rows`` in each, and not fewer than the session has."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-df.count() // rows))
