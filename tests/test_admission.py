@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 
 from tallyforge.operators.admission import admissions
-from tallyforge.operators.joins import hamming_pairs, near_hashes
+from tallyforge.operators.joins import _near_in_tiles, hamming_pairs, near_hashes
 
 SCHEMA = "k long, t timestamp_ntz, h long"
 START = datetime(2024, 3, 1)
@@ -95,6 +96,13 @@ def test_hamming_pairs_are_compared_in_tiles(spark):
     assert "part" not in got._jdf.queryExecution().optimizedPlan().toString().split()
 
 
+def test_hamming_pairs_of_a_tile_that_was_collected_in_two_orders():
+    """Shuffled rows arrive in any order, so both lists of a tile with itself need not agree."""
+    row = {"one": [0], "two": [0], "left": [[1, 3, 7]], "right": [[7, 1, 3]], "a": [[10, 11, 12]], "b": [[12, 10, 11]]}
+    got = [tuple(r.values()) for batch in _near_in_tiles(iter([pa.RecordBatch.from_pydict(row)]), 1) for r in batch.to_pylist()]
+    assert sorted((min(a, b), max(a, b), d) for a, b, d in got) == [(10, 11, 1), (11, 12, 1)]
+
+
 @pytest.mark.parametrize("block", [1, 30])
 def test_admissions_in_small_blocks(spark, block):
     """Documents of many blocks, compared with the admitted ones of those before; late batches too."""
