@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from .states import best_lineups
 
 #: Kinds of edits: the first two begin a draft from the set squad, or end it.
 SEED, DISCARD, ADD, DROP, PRICE, CAPTAIN, VICE = "seed", "discard", "add", "drop", "price", "captain", "vice"
@@ -98,27 +97,48 @@ def accepted(plans: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame
     return answered, planned.withColumn("place", F.col("place") + 1)
 
 
+def _best_total(squad: Column) -> Column:
+    """The utility of the best line-up of a squad, given as an array with position and utility; null if it can field none."""
+
+    def first(position: str, n: int) -> Column:
+        best = F.sort_array(F.transform(F.filter(squad, lambda x: x["position"] == position), lambda x: x["utility"]), asc=False)
+        return F.when(F.size(best) >= n, F.aggregate(F.slice(best, 1, n), F.lit(0.0), lambda s, u: s + F.coalesce(u.cast("double"), F.lit(0.0))))
+
+    totals = {(p, n): first(p, n) for p, n in {("GK", 1), *((p, f[i]) for f in R.FORMATIONS for i, p in enumerate(("DEF", "MID", "FWD")))}}
+    return F.array_max(F.array(*(totals["GK", 1] + totals["DEF", d] + totals["MID", m] + totals["FWD", f] for d, m, f in R.FORMATIONS)))
+
+
+def _squad_errors(squad: Column, budget: int) -> Column:
+    """``R.squad_errors`` of a squad as an array with position, club and price."""
+    clubs, most = F.sort_array(F.transform(squad, lambda x: x["club"])), R.MOST_PER_CLUB
+    crowded = F.exists(F.sequence(F.lit(0), F.size(squad) - 1), lambda i: (i + most < F.size(clubs)) & F.get(clubs, i).eqNullSafe(F.get(clubs, i + most)))
+    spend = F.aggregate(squad, F.lit(0.0), lambda s, x: s + F.coalesce(x["price"].cast("double"), F.lit(0.0)))
+    count = lambda p: F.size(F.filter(squad, lambda x: x["position"] == p))
+    tests = [F.when(F.size(squad) != sum(R.QUOTA.values()), "size"), *(F.when(count(p) != q, p) for p, q in R.QUOTA.items())]
+    return F.array_compact(F.array(*tests, F.when(crowded, "club"), F.when(spend > budget, "budget")))
+
+
 def forced_swaps(picks: DataFrame, swaps: DataFrame, players: DataFrame, budget: int = 1000) -> DataFrame:
     """(swap, delta, note) of each proposed swap: the line-up is chosen anew with it, and its gain is what is really gained.
 
     ``picks``: squad, player. ``swaps``: swap, squad, out_player, in_player. ``players``: player, position, club, price, utility.
-    ``delta`` is null with a note where a name is unknown or the squad would break a rule.
+    ``delta`` is null with a note where a name is unknown or the squad would break a rule. A squad has fifteen places, so it is one
+    array of that bound; a swap is tried where it meets its squad, so that no row is made for a player of a trial.
     """
-    meta = players.select("player", "position", "club", "price", "utility")
-    before = best_lineups(picks.join(meta, "player"), "squad", "position", "utility", "player", list(R.FORMATIONS)).select("squad", F.col("total").alias("was"))
-    mine = picks.select("squad", F.col("player").alias("out_player"), F.lit(True).alias("holds"))
-    theirs = picks.select("squad", F.col("player").alias("in_player"), F.lit(True).alias("already"))
-    real = meta.select(F.col("player").alias("in_player"), F.lit(True).alias("known"))
-    asked = swaps.select("swap", "squad", "out_player", "in_player").join(mine, ["squad", "out_player"], "left").join(theirs, ["squad", "in_player"], "left").join(real, "in_player", "left")
-    clear = asked.filter("holds and known and already is null")
-    kept = clear.join(picks.select("squad", "player"), "squad").filter(F.col("player") != F.col("out_player")).select("swap", "player")
-    trial = kept.unionByName(clear.select("swap", F.col("in_player").alias("player"))).join(meta, "player")
-    legal = R.squad_errors(trial, "swap", "position", "club", "price", budget)
-    after = best_lineups(trial, "swap", "position", "utility", "player", list(R.FORMATIONS)).select("swap", F.col("total").alias("becomes"))
-    rows = asked.join(legal, "swap", "left").join(after, "swap", "left").join(before, "squad", "left")
-    ok = F.size("errors") == 0
-    note = F.when(F.col("out_player").isNull() | F.col("in_player").isNull() | F.col("known").isNull(), "unknown player").when(F.col("holds").isNull(), "not held").when(F.col("already"), "already held").when(~ok, F.concat(F.lit("breaks "), F.array_join("errors", ",")))
-    return rows.select("swap", F.when(note.isNull(), F.round(F.col("becomes") - F.col("was"), 2)).alias("delta"), note.alias("note"))
+    what = ("position", "club", "price", "utility")
+    meta = players.select("player", F.struct(*what).alias("is"))
+    listed = picks.filter("squad is not null and player is not null").join(meta, "player", "left").groupBy("squad").agg(F.collect_list(F.struct("player", "is")).alias("held"))
+    real = lambda held: F.transform(F.filter(held, lambda x: x["is"].isNotNull()), lambda x: x["is"])
+    squads = listed.select("squad", "held", _best_total(real(F.col("held"))).alias("was"))
+    has = lambda c: F.coalesce(F.exists("held", lambda x: x["player"] == F.col(c)), F.lit(False))
+    asked = swaps.select("swap", "squad", "out_player", "in_player").join(meta.select(F.col("player").alias("in_player"), F.col("is").alias("in_is")), "in_player", "left").join(squads, "squad", "left")
+    unclear = F.when(F.col("out_player").isNull() | F.col("in_player").isNull() | F.col("in_is").isNull(), "unknown player").when(~has("out_player"), "not held").when(has("in_player"), "already held")
+    rows = asked.withColumn("unclear", unclear)
+    trial = F.concat(real(F.filter("held", lambda x: x["player"] != F.col("out_player"))), F.array("in_is"))
+    tried = rows.withColumn("trial", F.when(F.col("unclear").isNull(), trial)).select("swap", "unclear", "was", "trial", _squad_errors(F.col("trial"), budget).alias("errors"))
+    note = F.when(F.col("unclear").isNotNull(), F.col("unclear")).when(F.size("errors") > 0, F.concat(F.lit("breaks "), F.array_join("errors", ",")))
+    noted = tried.withColumn("note", note)
+    return noted.select("swap", F.when(F.col("note").isNull(), F.round(_best_total(F.col("trial")) - F.col("was"), 2)).alias("delta"), "note")
 
 
 def chip_calendar(clubs: DataFrame, fixtures: DataFrame, weeks: list[int], used: DataFrame, halves: int, forecast: DataFrame | None = None) -> DataFrame:

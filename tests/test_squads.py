@@ -147,3 +147,23 @@ def test_short_squads_and_missing_minutes_are_substituted_by_the_rules(spark):
     short = [(2, i, 200 + i, p, 0) for i, p in enumerate(spots[:9], 1)]
     picks = spark.createDataFrame([*full, *short], "squad_id int, place int, player_id int, position string, minutes int")
     assert Q.substitutions(picks).collect() == [(1, 102, 113)] and Q.substitutions(picks.limit(0)).count() == 0
+
+
+def test_forced_swaps_make_no_row_for_each_player_of_a_trial(spark):
+    """Clubs and utilities that aren't known, unknown picks and squads that aren't there; a swap is one row all the way."""
+    rows = fifteen()
+    players = [*[list(r[1:]) for r in rows], [60, "FWD", None, 50, 500.0], [61, "FWD", 9, 50, None]]
+    for p in players[:3]:
+        p[2] = None
+    players = spark.createDataFrame([tuple(p) for p in players], "player int, position string, club int, price int, utility double")
+    picks = spark.createDataFrame([*[r[:2] for r in rows], (0, 900), (None, 3), (0, None), (1, 60)], "squad int, player int")
+    swaps = [(1, 0, 14, 60), (2, 0, 14, 61), (3, 7, 14, 61), (4, 0, 900, 61), (5, 1, 60, 61)]
+    plan = Q.forced_swaps(picks, spark.createDataFrame(swaps, "swap int, squad int, out_player int, in_player int"), players)
+    found = {r.swap: (r.delta, r.note) for r in plan.collect()}
+    # three without a club and a fourth are one too many; a pick that no one knows can be given up, which makes sixteen
+    assert found[1] == (None, "breaks club") and found[3] == (None, "not held")
+    assert found[4][1].startswith("breaks size") and found[5][1].startswith("breaks size")
+    # a forward of unknown worth counts nothing, and another one is fielded
+    assert found[2][1] is None and found[2][0] <= 0
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "Union" not in text
