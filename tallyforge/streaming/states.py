@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,27 +27,29 @@ class InOrder(StatefulProcessor):
         self.fold, self.key, self.columns, self.idle_ms = fold, key, columns, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.handle, self.now, self.done = handle, None, set()
         self.waiting = handle.getListState("waiting", "row string")
         self.memory = handle.getValueState("memory", "memory string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = None
-        for batch in rows:
-            found = batch[["at", "id", *self.columns]].rename(columns={"at": "ts"})
-            rows_of = [(json.dumps(r),) for r in found.astype(object).where(found.notna(), None).to_dict("records")]
-            if rows_of:
-                self.waiting.appendList(rows_of)
-                last = max(int(found["ts"].max()), last or 0)
-        if last is not None:
-            self.handle.registerTimer(last + 1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        found = [{"ts": r["at"], "id": r["id"], **{c: r[c] for c in self.columns}} for r in rows]
+        if found:
+            self.waiting.appendList([(json.dumps(r),) for r in found])
+            self.handle.registerTimer(max(r["ts"] for r in found) + 1)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = [json.loads(row[0]) for row in self.waiting.get()] if self.waiting.exists() else []
+        if now != self.now:
+            self.now, self.done = now, set()
+        # a key's first timer of a batch folds all that is due, so that its others find nothing to do
+        if key in self.done:
+            return
+        self.done.add(key)
+        waiting = [json.loads(row[0]) for row in self.waiting.get()]
         due = sorted((r for r in waiting if r["ts"] < now), key=lambda r: (r["ts"], r["id"]))
-        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else None
+        memory = self.memory.get()
+        memory = json.loads(memory[0]) if memory is not None else None
         out = []
         for row in due:
             if memory is not None and row["ts"] - memory["at"] >= self.idle_ms:
@@ -63,10 +65,7 @@ class InOrder(StatefulProcessor):
         elif memory is not None and due:
             self.memory.update((json.dumps(memory),))
             self.handle.registerTimer(memory["at"] + self.idle_ms)
-        if out:
-            frame = pd.DataFrame(out)
-            frame.insert(0, self.key, key[0])
-            yield frame
+        yield from (Row(**{self.key: key[0]}, **event) for event in out)
 
     def close(self) -> None:
         pass
@@ -82,7 +81,8 @@ def in_order(stream: DataFrame, key: str, columns: list[str], schema: str, fold:
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("at"), "id", *columns)
     kind = dict(timed.dtypes)[key]
-    found = timed.groupBy(key).transformWithStateInPandas(InOrder(fold, key, columns, idle_ms), f"{key} {kind}, {schema}", "Append", "eventTime")
+    # keys have few rows each: as rows, not as a frame for each of them
+    found = timed.groupBy(key).transformWithState(InOrder(fold, key, columns, idle_ms), f"{key} {kind}, {schema}", "Append", "eventTime")
     return found.withColumns({t: F.timestamp_millis(t) for t in times})
 
 

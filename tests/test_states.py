@@ -101,3 +101,32 @@ def test_windows_are_written_when_they_are_over(spark):
     want = spark.createDataFrame(rows, SCHEMA).groupBy(F.window("ts", "1 day"), "source").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     key = lambda r: (r.window.start, r.source, r.n, r.total)
     assert sorted(map(key, found.collect())) == sorted(map(key, want.collect()))
+
+
+def test_a_key_is_folded_once_a_batch_and_never_as_a_frame():
+    """Several timers of a key that are due together read its state once; events are rows with the key's name."""
+    from types import SimpleNamespace
+
+    calls = []
+
+    class Kept:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Memory(Kept):
+        def get(self):
+            return None
+
+    job = states.InOrder(states.silent(1), "source", ["empty"], 10)
+    job.init(SimpleNamespace(getListState=lambda *_: Kept([('{"ts": 3, "id": 2, "empty": true}',), ('{"ts": 1, "id": 1, "empty": true}',)]), getValueState=lambda *_: Memory([]), registerTimer=lambda _: None))
+    at = lambda now: SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+    rows = [r for _ in range(3) for r in job.handleExpiredTimer((5,), at(100), None)]
+    assert [r.asDict() for r in rows] == [{"source": 5, "ts": 1, "id": 1, "first_ts": 1}] and calls == ["get"]
+    assert list(job.handleExpiredTimer((5,), at(200), None)) == [] and calls == ["get", "get"]
