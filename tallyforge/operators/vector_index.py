@@ -24,6 +24,8 @@ from .joins import cosine
 SAMPLE, ROUNDS, FIRST_LISTS, SLACK = 20_000, 8, 2, 1e-5
 #: Lists at most, unless more are asked for: their centres go to every task.
 MOST_LISTS = 4096
+#: Vectors and queries of a tile, queries of a product, and what a cosine by matrix product may be off, with the rounding to nine digits on both sides.
+TILE, ASKED, STEP, NEAR = 8192, 1024, 128, 1.1e-9
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -97,8 +99,28 @@ def _to_centres(batches: Iterator[pa.RecordBatch], centres: np.ndarray, lists: l
             yield pa.record_batch({"q": part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(lists)))), "list": repeat(np.array(lists, np.int32)), "radius": repeat(np.array(radius, float)), "n": repeat(np.array(sizes, np.int64)), "to_centre": pa.array(away.ravel())})
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _met_in_lists(batches: Iterator[pa.RecordBatch], k: int, not_itself: bool) -> Iterator[pa.RecordBatch]:
+    """(q, key, d) of the points of a list that may be among the k nearest of some queries by the rounded cosine, and that the bounds don't leave out."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            asked, units, to_centre, most, keys, away, points = (batch.column(i)[row].values for i in range(7))
+            asked, to_centre, most, keys, away = (x.to_numpy() for x in (asked, to_centre, most, keys, away))
+            q, v = (x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for x, n in ((units, len(asked)), (points, len(keys))))
+            for low in range(0, len(asked), STEP):
+                here = slice(low, low + STEP)
+                near = q[here] @ v.T
+                near[np.abs(to_centre[here, None] - away[None, :]) > most[here, None]] = -np.inf
+                if not_itself:
+                    near[asked[here, None] == keys[None, :]] = -np.inf
+                least = np.partition(near, -k, axis=1)[:, -k, None] if near.shape[1] > k else np.full((len(near), 1), -2.0)
+                i, j = np.nonzero(near >= np.maximum(least - NEAR, -2.0))
+                i += low
+                for first in range(0, len(i), TILE):
+                    at, to = i[first : first + TILE], j[first : first + TILE]
+                    d = np.zeros(len(at))
+                    for x, y in zip(q[at].T, v[to].T, strict=True):
+                        d += (x - y) * (x - y)
+                    yield pa.record_batch({"q": asked[at], "key": keys[to], "d": np.sqrt(d)})
 
 
 class Search:
@@ -107,6 +129,7 @@ class Search:
     def __init__(self, spark: SparkSession, folder: str, queries: DataFrame, key: str, embedding: str, k: int, not_itself: bool = False):
         self.spark, self.folder, self.k, self.not_itself = spark, folder, k, not_itself
         self.queries = written(_usable(queries, key, embedding).select(F.col("key").alias("q"), self._unit_of("v").alias("u")), "queries")
+        self.asked = self.queries.count()
         self.centres = spark.read.parquet(f"{folder}/centres").orderBy("list").collect()
 
     @staticmethod
@@ -116,11 +139,19 @@ class Search:
         return F.transform(scaled, lambda x: x / F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, y: s + y * y)))
 
     def _met(self, pairs: DataFrame) -> DataFrame:
-        """(q, key, distance) of the points of (q, list, to_centre, kth) that the bounds don't leave out."""
+        """(q, key, distance) of the points of (q, list, to_centre, kth) that the bounds don't leave out and that may be among the k nearest.
+
+        Tiles of a list's points and of the queries that read it are multiplied, and about k rows a query leave a tile.
+        """
         points = self.spark.read.schema("key long, away double, unit array<double>, list int").parquet(f"{self.folder}/points")
-        met = pairs.join(points, "list").filter(F.col("kth").isNull() | (F.abs(F.col("to_centre") - F.col("away")) <= F.col("kth") + SLACK))
-        met = met.filter(F.col("q") != F.col("key")) if self.not_itself else met
-        return met.join(self.queries, "q").select("q", "key", _distance("u", "unit").alias("d"))
+        parts, blocks = (max(1, -(-n // size)) for n, size in ((max((r.n for r in self.centres), default=0), TILE), (self.asked, ASKED)))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        tiles = points.groupBy("list", dealt("key", parts).alias("part")).agg(F.collect_list(F.struct("key", "away", "unit")).alias("p"))
+        asking = pairs.join(self.queries, "q").withColumn("most", F.coalesce("kth", F.lit(float("inf"))) + SLACK)
+        asking = asking.groupBy("list", dealt("q", blocks).alias("block")).agg(F.collect_list(F.struct("q", "u", "to_centre", "most")).alias("a"))
+        met = asking.join(tiles, "list").repartition(min(2000, max(1, len(self.centres)) * parts * blocks), "list", "part", "block")
+        met = met.select("a.q", "a.u", "a.to_centre", "a.most", "p.key", "p.away", "p.unit")
+        return met.mapInArrow(partial(_met_in_lists, k=self.k, not_itself=self.not_itself), "q long, key long, d double")
 
     def run(self) -> DataFrame:
         """(q, key, cosine, rn): the k nearest of each query, equal cosines (to nine digits) by key."""
@@ -142,10 +173,6 @@ class Search:
         return out
 
 
-#: Vectors and queries of a tile, and what a cosine by matrix product may be off, with the rounding to nine digits on both sides.
-TILE, ASKED, NEAR = 8192, 1024, 1.1e-9
-
-
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of the rows of a and b, added up component by component in order, as a fold over arrays does."""
     dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))

@@ -84,3 +84,20 @@ def test_nearest_by_tiles(spark, monkeypatch):
     usable = df.filter("k < 499")
     plan = V.nearest_by_tiles(usable, usable, "k", "e", 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan or "mapInArrow" in plan or "_nearest_of_tile" in plan
+
+
+def test_lists_are_searched_in_tiles(spark, monkeypatch):
+    """Several tiles of a list and blocks of queries give what one gives; about k rows a query leave a tile, not a row for each point."""
+    from tallyforge.operators import vector_index as V
+
+    for name, value in (("TILE", 16), ("ASKED", 5), ("STEP", 2)):
+        monkeypatch.setattr(V, name, value)
+    rows = clustered(8, 300)
+    folder = shared_folder(spark, "vectors")
+    build_index(spark.createDataFrame(rows, SCHEMA), folder, "k", "e", lists=4)
+    asked = [r for r in rows if r[0] % 23 == 0 or r[0] >= 300]
+    search = Search(spark, folder, spark.createDataFrame(asked, SCHEMA), "k", "e", 3, True)
+    every = search.queries.select("q", F.explode(F.array(*map(F.lit, range(4)))).alias("list")).selectExpr("q", "list", "0D AS to_centre", "CAST(NULL AS DOUBLE) AS kth")
+    assert search._met(every).count() <= len(asked) * (3 + 1) * (300 // 16 + 8)
+    got = {(r.q, r.key, round(r.cosine, 6), r.rn) for r in search.run().collect()}
+    assert got == nearest(rows, [(r[0], r[1]) for r in asked], 3, True)
